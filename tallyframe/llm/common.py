@@ -36,9 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    """df with its lineage cut by a reliable checkpoint in the shared folder; what only the old lineage needed may go."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    release(out.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:

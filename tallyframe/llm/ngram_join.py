@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, differences, hash_spans, mix64, null_safe_source_sizes, pack, release, text_buffers, unpack, words_of, _K
+from tallyframe.llm.common import cut, differences, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, words_of, _K
 from tallyframe.llm.components import connected_components
 
 #: n-grams that a task holds before it sends them on, and that a bucket should hold.
@@ -288,7 +288,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = sent.groupBy("part").applyInArrow(_count(buckets, parts), _SENT_DDL)
     table = cut(counted.groupBy("part").applyInArrow(_gather(num, den), _DOCS_DDL))
     del sent, counted
-    release(spark)
 
     sets = table.where("grams is not null")
     entries = sets.select("doc_id", "n", "alone", "same", "grams").mapInArrow(_prefixes(num, den), "gram long, class binary, doc_id long, n int, place int")
