@@ -136,3 +136,17 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 def differences(ordered: np.ndarray) -> np.ndarray:
     return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
+#: Rows of ids, or of other small keys, that may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (it should be cheap to count), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is among the one column of ids; null ids stay."""
+    return docs.join(bounded(ids.toDF(id_col)), id_col, "left_anti").select(*docs.columns)

@@ -8,8 +8,8 @@ How the work is dealt out:
    prefix is filled by them can have no partner and is out. So the text is read once, and only the shared n-grams
    of the remaining documents are kept, in rare-first order; overlaps are exact, as unshared ones never overlap.
 3. Documents with equal sets are one class. Prefix n-grams of the classes meet by n-gram. First each meets the least
-   class of its n-gram (a star); then, only where a prefix n-gram still joins different components, the pairs across
-   them. Pairs inside a component could change nothing and aren't made.
+   class of its n-gram (a star). Where a prefix n-gram still stands in different components, further turns choose other
+   centres, and at last all pairs across components are made. Pairs inside a component could change nothing and aren't.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, differences, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, words_of, _K
+from tallyframe.llm.common import cut, differences, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, without, words_of, _K
 from tallyframe.llm.components import connected_components
 
 #: n-grams that a task holds before it sends them on, and that a bucket should hold.
@@ -30,6 +30,8 @@ BLOCK, BUCKET = 1_000_000, 1_500_000
 DROPPED = np.uint64(8)
 #: Ranges of the hash space in the suffix filter's histogram.
 RANGES = 16
+#: Turns in which prefix n-grams meet at centres before what is left meets across components, and kinds of centres a turn.
+TURNS, CENTRES = 4, 8
 
 _SENT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rows", pa.int64()), ("alone", pa.int64()), ("same", pa.binary()), ("grams", pa.binary())])
@@ -269,6 +271,31 @@ def _fits(num: int, den: int):
     return (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (most >= least)
 
 
+def _still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The prefix entries, with their components, of n-grams that stand in more than one component."""
+    components = connected_components(links)
+    placed = entries.join(components, entries["doc_id"] == components["node"], "left").select("gram", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("comp"))
+    several = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("gram")
+    return cut(placed.join(several, "gram"))
+
+
+def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Each entry with a centre of its n-gram, if that is in another component. In the first turn the centre is the least
+    document, so that a group of copies makes few pairs; later turns choose others, by a hash, for each of CENTRES kinds of n-grams."""
+    choice = F.lit(0) if not turn else F.xxhash64("doc_id", F.pmod("gram", F.lit(CENTRES)), F.lit(turn))
+    centres = placed.groupBy("gram").agg(F.min(F.struct(choice.alias("by"), "doc_id", "n", "place", "comp")).alias("c"))
+    centres = centres.select("gram", F.col("c.doc_id").alias("doc2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"), F.col("c.comp").alias("comp2"))
+    return placed.join(centres, "gram").where("comp <> comp2")
+
+
+def _crossing_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs of entries of one n-gram in different components. Components of an n-gram meet first, their members after."""
+    meets = placed.select("gram", "comp").distinct()
+    across = meets.join(meets.select("gram", F.col("comp").alias("comp2")), "gram").where("comp < comp2")
+    other = placed.select("gram", F.col("comp").alias("comp2"), F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    return across.join(placed, ["gram", "comp"]).join(other, ["gram", "comp2"])
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents whose n-gram sets have Jaccard similarity num / den or more.
 
@@ -295,24 +322,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1")
     copies = sets.where("same is not null").select("doc_id", "same").join(classes, "same").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     copies = cut(copies)
-
-    centres = entries.groupBy("gram").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "n", "place")).alias("c")).where("members > 1")
-    star = entries.join(centres, "gram").where("doc_id <> c.doc_id").select("doc_id", "n", "place", F.col("c.doc_id").alias("doc2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"))
-    star = cut(star.where(_fits(num, den)).select(F.col("doc_id").alias("a"), F.col("doc2").alias("b")).distinct())
-    links = cut(_links(star, sets, num, den))
-    components = cut(connected_components(links))
-
-    placed = entries.join(components, entries["doc_id"] == components["node"], "left").select("gram", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("comp"))
-    meets = placed.groupBy("gram", "comp").agg(F.count("*").alias("members"))
-    open_grams = meets.groupBy("gram").agg(F.count("*").alias("comps")).where("comps > 1").select("gram")
-    placed = cut(placed.join(open_grams, "gram"))
-    meets = placed.select("gram", "comp").distinct()
-    across = meets.join(meets.select("gram", F.col("comp").alias("comp2")), "gram").where("comp < comp2")
-    other = placed.select("gram", F.col("comp").alias("comp2"), F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    crossing = across.join(placed, ["gram", "comp"]).join(other, ["gram", "comp2"]).where(_fits(num, den))
-    crossing = crossing.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct()
-    crossing = crossing.join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(cut(_links(crossing, sets, num, den)))
+    heads = cut(without(sets.select("doc_id", "n", "grams"), copies.select("a")))
+
+    links = tested = entries.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(TURNS + 1):
+        placed = _still_open(entries, links)
+        if placed.isEmpty():
+            break
+        pairs = _star_pairs(placed, turn) if turn < TURNS else _crossing_pairs(placed)
+        pairs = pairs.where(_fits(num, den)).select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        links = cut(links.union(_links(pairs, heads, num, den)))
 
     final = cut(connected_components(links.union(copies)))
     # a null id has no place in the table above: its n-grams are counted by themselves

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import ngram_join
+from tallyframe.llm import decontaminate, mixture, ngram_join, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,40 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the queries: a file of public tokenizers, not of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, as it is or with other values in its slots."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum of ids, read back from shard files."""
+    return wavelet.tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a factorization machine fitted on labelled rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and how many of them the mix takes."""
+    return mixture.taken_words(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_wavelet_tokens": op6_wavelet_tokens,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixture": op9_mixture,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixture": mixture.ORACLE_SQL}
