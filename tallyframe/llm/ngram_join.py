@@ -213,12 +213,12 @@ def _digest(grams: np.ndarray) -> bytes:
 
 
 def _prefixes(num: int, den: int):
-    """Rows of _DOCS to prefix n-grams: (gram, class, doc_id, n, place in the rare-first order, suffix histogram)."""
-    schema = pa.schema([("gram", pa.int64()), ("class", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+    """Rows of _DOCS to prefix n-grams: (gram, class, doc_id, n, place in the rare-first order, n-grams that nobody shares)."""
+    schema = pa.schema([("gram", pa.int64()), ("class", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("alone", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for doc, n, alone, same, blob in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "alone", "same", "grams")), strict=True):
                 g = np.frombuffer(blob, np.uint64)[: int(prefix_length(np.int64(n), num, den)) - alone].astype(np.int64)
                 cols[0].append(g)
@@ -226,6 +226,7 @@ def _prefixes(num: int, den: int):
                 cols[2].append(np.full(len(g), doc))
                 cols[3].append(np.full(len(g), n, np.int32))
                 cols[4].append(np.arange(alone, alone + len(g), dtype=np.int32))
+                cols[5].append(np.full(len(g), alone, np.int32))
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if i != 1 else c, f.type) for i, (c, f) in enumerate(zip(cols, schema, strict=True))], schema=schema)
 
@@ -265,16 +266,17 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _fits(num: int, den: int):
-    """Length and positional filters on columns n, place, n2, place2 of two prefix entries of one n-gram."""
+    """Length and positional filters on columns n, place, alone and n2, place2, alone2 of two prefix entries of one n-gram.
+    What nobody shares stands first and overlaps with nothing."""
     least = F.ceil(F.lit(num) * (F.col("n") + F.col("n2")) / F.lit(num + den))
-    most = F.lit(1) + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1) + F.least("place", "place2")
+    most = F.lit(1) + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1) + F.least(F.col("place") - F.col("alone"), F.col("place2") - F.col("alone2"))
     return (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (most >= least)
 
 
 def _still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
     """The prefix entries, with their components, of n-grams that stand in more than one component."""
     components = connected_components(links)
-    placed = entries.join(components, entries["doc_id"] == components["node"], "left").select("gram", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("comp"))
+    placed = entries.join(components, entries["doc_id"] == components["node"], "left").select("gram", "doc_id", "n", "place", "alone", F.coalesce("component", "doc_id").alias("comp"))
     several = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("gram")
     return cut(placed.join(several, "gram"))
 
@@ -283,8 +285,8 @@ def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
     """Each entry with a centre of its n-gram, if that is in another component. In the first turn the centre is the least
     document, so that a group of copies makes few pairs; later turns choose others, by a hash, for each of CENTRES kinds of n-grams."""
     choice = F.lit(0) if not turn else F.xxhash64("doc_id", F.pmod("gram", F.lit(CENTRES)), F.lit(turn))
-    centres = placed.groupBy("gram").agg(F.min(F.struct(choice.alias("by"), "doc_id", "n", "place", "comp")).alias("c"))
-    centres = centres.select("gram", F.col("c.doc_id").alias("doc2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"), F.col("c.comp").alias("comp2"))
+    centres = placed.groupBy("gram").agg(F.min(F.struct(choice.alias("by"), "doc_id", "n", "place", "alone", "comp")).alias("c"))
+    centres = centres.select("gram", F.col("c.doc_id").alias("doc2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"), F.col("c.alone").alias("alone2"), F.col("c.comp").alias("comp2"))
     return placed.join(centres, "gram").where("comp <> comp2")
 
 
@@ -292,7 +294,7 @@ def _crossing_pairs(placed: DataFrame) -> DataFrame:
     """All pairs of entries of one n-gram in different components. Components of an n-gram meet first, their members after."""
     meets = placed.select("gram", "comp").distinct()
     across = meets.join(meets.select("gram", F.col("comp").alias("comp2")), "gram").where("comp < comp2")
-    other = placed.select("gram", F.col("comp").alias("comp2"), F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    other = placed.select("gram", F.col("comp").alias("comp2"), F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("alone").alias("alone2"))
     return across.join(placed, ["gram", "comp"]).join(other, ["gram", "comp2"])
 
 
@@ -317,8 +319,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     del sent, counted
 
     sets = table.where("grams is not null")
-    entries = sets.select("doc_id", "n", "alone", "same", "grams").mapInArrow(_prefixes(num, den), "gram long, class binary, doc_id long, n int, place int")
-    entries = cut(entries.groupBy("gram", "class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("place").alias("place")).drop("class"))
+    entries = sets.select("doc_id", "n", "alone", "same", "grams").mapInArrow(_prefixes(num, den), "gram long, class binary, doc_id long, n int, place int, alone int")
+    entries = cut(entries.groupBy("gram", "class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("place").alias("place"), F.min("alone").alias("alone")).drop("class"))
     classes = sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1")
     copies = sets.where("same is not null").select("doc_id", "same").join(classes, "same").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     copies = cut(copies)
