@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, mixture, ngram_join, toxicity, wavelet
+from tallyframe.llm import decontaminate, license_scan, line_dedup, mixture, ngram_join, toxicity, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later of repeated runs of lines of 50 words or more."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum of ids, read back from shard files."""
     return wavelet.tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, base license phrases and labels, with those of the signature rules."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by a factorization machine fitted on labelled rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -46,10 +61,17 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_wavelet_tokens": op6_wavelet_tokens,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_mixture": op9_mixture,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixture": mixture.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_url_filter": url_filter.ORACLE_SQL,
+    "op9_mixture": mixture.ORACLE_SQL,
+}
