@@ -31,7 +31,9 @@ DROPPED = np.uint64(8)
 #: Ranges of the hash space in the suffix filter's histogram.
 RANGES = 16
 #: Turns in which prefix n-grams meet at centres before what is left meets across components, and kinds of centres a turn.
-TURNS, CENTRES = 4, 8
+TURNS, CENTRES = 2, 8
+#: Ranges of the histograms that stand in for the sets where pairs across components are made.
+SLICES = 512
 
 _SENT = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rows", pa.int64()), ("alone", pa.int64()), ("same", pa.binary()), ("grams", pa.binary())])
@@ -265,18 +267,25 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.mapInArrow(_verified(num, den), "a long, b long")
 
 
+def _least(num: int, den: int):
+    """The least overlap of two sets of n and n2 that link."""
+    return F.ceil(F.lit(num) * (F.col("n") + F.col("n2")) / F.lit(num + den))
+
+
 def _fits(num: int, den: int):
     """Length and positional filters on columns n, place, alone and n2, place2, alone2 of two prefix entries of one n-gram.
     What nobody shares stands first and overlaps with nothing."""
-    least = F.ceil(F.lit(num) * (F.col("n") + F.col("n2")) / F.lit(num + den))
     most = F.lit(1) + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1) + F.least(F.col("place") - F.col("alone"), F.col("place2") - F.col("alone2"))
-    return (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (most >= least)
+    return (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (most >= _least(num, den)) & (F.least(F.col("n") - F.col("alone"), F.col("n2") - F.col("alone2")) >= _least(num, den))
 
 
-def _still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
+def _still_open(entries: DataFrame, links: DataFrame | None) -> DataFrame:
     """The prefix entries, with their components, of n-grams that stand in more than one component."""
-    components = connected_components(links)
-    placed = entries.join(components, entries["doc_id"] == components["node"], "left").select("gram", "doc_id", "n", "place", "alone", F.coalesce("component", "doc_id").alias("comp"))
+    if links is None:
+        placed = entries.withColumn("comp", F.col("doc_id"))
+    else:
+        components = connected_components(links)
+        placed = entries.join(components, entries["doc_id"] == components["node"], "left").select(*entries.columns, F.coalesce("component", "doc_id").alias("comp"))
     several = placed.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("gram")
     return cut(placed.join(several, "gram"))
 
@@ -286,16 +295,33 @@ def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
     document, so that a group of copies makes few pairs; later turns choose others, by a hash, for each of CENTRES kinds of n-grams."""
     choice = F.lit(0) if not turn else F.xxhash64("doc_id", F.pmod("gram", F.lit(CENTRES)), F.lit(turn))
     centres = placed.groupBy("gram").agg(F.min(F.struct(choice.alias("by"), "doc_id", "n", "place", "alone", "comp")).alias("c"))
-    centres = centres.select("gram", F.col("c.doc_id").alias("doc2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"), F.col("c.alone").alias("alone2"), F.col("c.comp").alias("comp2"))
+    centres = centres.select("gram", *(F.col(f"c.{c}").alias(t) for c, t in (("doc_id", "doc2"), ("n", "n2"), ("place", "place2"), ("alone", "alone2"), ("comp", "comp2"))))
     return placed.join(centres, "gram").where("comp <> comp2")
 
 
-def _crossing_pairs(placed: DataFrame) -> DataFrame:
-    """All pairs of entries of one n-gram in different components. Components of an n-gram meet first, their members after."""
-    meets = placed.select("gram", "comp").distinct()
-    across = meets.join(meets.select("gram", F.col("comp").alias("comp2")), "gram").where("comp < comp2")
-    other = placed.select("gram", F.col("comp").alias("comp2"), F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("alone").alias("alone2"))
-    return across.join(placed, ["gram", "comp"]).join(other, ["gram", "comp2"])
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffix filter's histogram: how many of a document's shared n-grams fall in each of SLICES ranges, up to four in unary bits, and the sum of what is over."""
+    for batch in batches:
+        bits, over = [], []
+        for blob in batch.column("grams").to_pylist():
+            counts = np.bincount((np.frombuffer(blob, np.uint64) >> np.uint64(56 - 9)).astype(np.int64), minlength=SLICES)
+            unary = np.array([0, 1, 3, 7, 15], np.uint8)[np.minimum(counts, 4)]
+            bits.append((unary[0::2] | unary[1::2] << 4).astype(np.uint8).view(np.int64).tolist())
+            over.append(int(np.maximum(counts - 4, 0).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64())), pa.array(over, pa.int32())], names=["doc_id", "bits", "over"])
+
+
+def _crossing_pairs(placed: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of entries of one n-gram in different components that pass all filters. One side leaves out the n-gram's largest
+    component, so that a large group that is linked already meets only what isn't in it. The smaller document of a pair
+    must share nearly all it has: unary histograms under AND, counted, bound the overlap from above."""
+    largest = placed.groupBy("gram", "comp").agg(F.count("*").alias("members")).groupBy("gram").agg(F.max(F.struct("members", "comp")).alias("top")).select("gram", F.col("top.comp").alias("top"))
+    full = cut(placed.join(largest, "gram").join(heads.select("doc_id", "grams").mapInArrow(_signatures, "doc_id long, bits array<long>, over int"), "doc_id"))
+    other = full.select("gram", "top", *(F.col(c).alias("doc2" if c == "doc_id" else f"{c}2") for c in ("doc_id", "n", "place", "alone", "comp", "bits", "over")))
+    common = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("bits2", F.lit(i)))) for i in range(SLICES // 16)), F.least("over", "over2"))
+    left = full.where("comp <> top").drop("top")
+    joined = left.join(other, (left["gram"] == other["gram"]) & F.expr("comp <> comp2 and (comp2 = top or doc_id < doc2)") & _fits(num, den) & (common >= _least(num, den)))
+    return joined.drop(other["gram"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -326,18 +352,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = cut(copies)
     heads = cut(without(sets.select("doc_id", "n", "grams"), copies.select("a")))
 
-    links = tested = entries.sparkSession.createDataFrame([], "a long, b long")
+    links = tested = None
     for turn in range(TURNS + 1):
         placed = _still_open(entries, links)
         if placed.isEmpty():
             break
-        pairs = _star_pairs(placed, turn) if turn < TURNS else _crossing_pairs(placed)
-        pairs = pairs.where(_fits(num, den)).select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        links = cut(links.union(_links(pairs, heads, num, den)))
-
-    final = cut(connected_components(links.union(copies)))
+        pairs = _star_pairs(placed, turn).where(_fits(num, den)) if turn < TURNS else _crossing_pairs(placed, heads, num, den)
+        pairs = pairs.select(F.greatest("doc_id", "doc2").alias("a"), F.least("doc_id", "doc2").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+        tested = tested.union(pairs) if tested else pairs
+        found = _links(pairs, heads, num, den)
+        links = cut(links.union(found) if links else found)
+
+    final = cut(connected_components(links.union(copies) if links else copies))
     # a null id has no place in the table above: its n-grams are counted by themselves
     unnamed = rows.where("id is null").mapInArrow(_sizes(size), "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     named = table.select("doc_id", "n", "rows").join(final, F.col("doc_id") == F.col("node"), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, license_scan, line_dedup, mixture, ngram_join, toxicity, url_filter, wavelet
+from tallyframe.llm import decontaminate, license_scan, line_dedup, mixture, neighbours, ngram_join, toxicity, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each vector whose id is divisible by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum of ids, read back from shard files."""
     return wavelet.tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_wavelet_tokens": op6_wavelet_tokens,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
