@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, license_scan, line_dedup, mixture, neighbours, ngram_join, toxicity, url_filter, wavelet
+from tallyframe.llm import decontaminate, html_text, license_scan, line_dedup, mixture, neighbours, ngram_join, toxicity, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer of the queries: a file of public tokenizers, not of this repository."""
     import public_tokenizers
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_mixture": op9_mixture,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
