@@ -1,11 +1,324 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library over the driver's tables, and the same results as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions import money, narration
+from tallyframe.operators import matching as M
+from tallyframe.operators import reports as R
+from tallyframe.operators import scoring as G
+from tallyframe.operators import settlements as S
+from tallyframe.operators import verifier as V
+from tallyframe.plans import projection as P
 
 FLAGSHIP = "all_matches"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    """Register a function by its name; sql follows the projection's tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {P.SQL} {sql}"
+        return f
+
+    return add
+
+
+def _run(spark: SparkSession, sf_dir: str) -> M.Reconciliation:
+    return M.reconcile(P.orders(spark, sf_dir), P.psp(spark, sf_dir), P.bank(spark, sf_dir))
+
+
+@_query("SELECT * FROM register")
+def canonical_orders(spark, sf_dir):
+    return P.orders(spark, sf_dir)
+
+
+@_query("SELECT * FROM psp")
+def canonical_psp(spark, sf_dir):
+    return P.psp(spark, sf_dir)
+
+
+@_query("SELECT * FROM bank")
+def canonical_bank(spark, sf_dir):
+    return P.bank(spark, sf_dir)
+
+
+@_query(
+    "SELECT line_id, upper(trim(regexp_replace(narration, '\\s+', ' ', 'g'))) AS squashed, nullif(regexp_extract(narration, '\\b(setl_[A-Za-z0-9]+)\\b', 1), '') AS settlement_ref, "
+    "nullif(regexp_extract(upper(trim(regexp_replace(narration, '\\s+', ' ', 'g'))), '(?:RZPX|RAZORPAY)\\*?([A-Z][A-Z ]{2,}?)(?:\\s+(?:PL|PVT|LTD)\\b|$)', 1), '') AS counterparty FROM bank"
+)
+def narration_signals(spark, sf_dir):
+    n = F.col("narration")
+    return P.bank(spark, sf_dir).select("line_id", narration.squashed(n).alias("squashed"), narration.settlement_ref(n).alias("settlement_ref"), narration.counterparty(n).alias("counterparty"))
+
+
+@_query("SELECT txn_id, settlement_id, suppressed FROM marked")
+def duplicate_suppression(spark, sf_dir):
+    return S.suppress_duplicates(P.psp(spark, sf_dir)).select("txn_id", "settlement_id", "suppressed")
+
+
+@_query("SELECT txn_type, order_id, captured_at, amount, count(DISTINCT settlement_id) AS settlements FROM psp WHERE txn_type IN ('payment', 'refund', 'chargeback') AND order_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT settlement_id) > 1")
+def cross_settlement_twins(spark, sf_dir):
+    return S.suppress_duplicates(P.psp(spark, sf_dir)).where("twins > 1").groupBy(*S.EVENT).agg(F.max("twins").alias("settlements"))
+
+
+@_query("SELECT * FROM active")
+def active_legs(spark, sf_dir):
+    return S.active_legs(P.psp(spark, sf_dir))
+
+
+@_query("SELECT * FROM totals")
+def settlement_totals(spark, sf_dir):
+    return S.settlement_totals(S.active_legs(P.psp(spark, sf_dir)))
+
+
+@_query("""SELECT t.settlement_id, CAST(coalesce(g.pg, 0) AS BIGINT) AS payment_gross, CAST((coalesce(g.pg, 0) * 236 - (coalesce(g.pg, 0) * 236) % 10000) // 10000 AS BIGINT) AS expected_fee,
+  CAST((f * 1800 - (f * 1800) % 10000) // 10000 AS BIGINT) AS expected_tax, CAST(t.fees - f AS BIGINT) AS fee_gap, CAST(t.tax - (f * 1800 - (f * 1800) % 10000) // 10000 AS BIGINT) AS tax_gap, gross - fees - tax - refunds - holds - net AS residual
+  FROM totals t LEFT JOIN (SELECT settlement_id, sum(amount) AS pg FROM active WHERE txn_type = 'payment' GROUP BY ALL) g USING (settlement_id), LATERAL (SELECT (coalesce(g.pg, 0) * 236 - (coalesce(g.pg, 0) * 236) % 10000) // 10000 AS f)""")
+def fee_diagnosis(spark, sf_dir):
+    active = S.active_legs(P.psp(spark, sf_dir))
+    return S.fee_diagnosis(S.settlement_totals(active), active)
+
+
+@_query("SELECT txn_id, order_id FROM recovered")
+def order_recovery(spark, sf_dir):
+    psp = P.psp(spark, sf_dir)
+    return S.recover_orders(psp, S.active_legs(psp), P.orders(spark, sf_dir))
+
+
+@_query("SELECT txn_id, txn_type, order_id, settlement_id FROM active WHERE txn_type IN ('payment', 'refund', 'chargeback') AND order_id IS NOT NULL AND order_id NOT IN (SELECT order_id FROM register)")
+def dangling_refs(spark, sf_dir):
+    return S.dangling_refs(S.active_legs(P.psp(spark, sf_dir)), P.orders(spark, sf_dir))
+
+
+@_query("SELECT * FROM sets")
+def order_sets(spark, sf_dir):
+    psp, orders = P.psp(spark, sf_dir), P.orders(spark, sf_dir)
+    active = S.active_legs(psp)
+    return S.order_sets(active, orders, S.recover_orders(psp, active, orders))
+
+
+@_query("SELECT * FROM refs")
+def line_references(spark, sf_dir):
+    return M.referenced_settlements(P.bank(spark, sf_dir), S.settlement_totals(S.active_legs(P.psp(spark, sf_dir)))).select("line_id", "settlement_id")
+
+
+@_query("SELECT b.line_id, t.settlement_id, t.net - b.credit AS delta FROM bank b JOIN totals t ON t.net BETWEEN b.credit - 100 AND b.credit + 100")
+def band_join_candidates(spark, sf_dir):
+    from tallyframe.operators.bandjoin import band_join
+
+    lines = P.bank(spark, sf_dir).where("credit is not null")
+    return band_join(lines, S.settlement_totals(S.active_legs(P.psp(spark, sf_dir))), "credit", "net", 100).select("line_id", "settlement_id", (F.col("net") - F.col("credit")).alias("delta"))
+
+
+for _tier in ("T0", "T1", "T2", "T3"):
+
+    def _of_tier(spark, sf_dir, tier=_tier):
+        return _run(spark, sf_dir).matches.where(F.col("tier") == tier).select("line_id", "settlement_id", "payment_legs", "net", "credit")
+
+    QUERIES[f"{_tier.lower()}_matches"] = _of_tier
+    ORACLE_SQL[f"{_tier.lower()}_matches"] = f"WITH {P.SQL} SELECT line_id, settlement_id, payment_legs, net, credit FROM {_tier.lower()}"
+
+
+@_query("SELECT line_id, settlement_id, tier, confidence, payment_legs, net, credit, delta FROM matched")
+def all_matches(spark, sf_dir):
+    return _run(spark, sf_dir).matches
+
+
+@_query("""SELECT m.line_id, m.settlement_id, tier, confidence, gross, fees, tax, refunds, holds, m.credit AS net, delta, m.payment_legs, coalesce(order_ids, '') AS order_ids
+  FROM matched m JOIN totals t ON t.settlement_id = m.settlement_id LEFT JOIN sets s ON s.settlement_id = m.settlement_id""")
+def match_groups(spark, sf_dir):
+    return M.match_groups(_run(spark, sf_dir)).drop("evidence")
+
+
+@_query("SELECT tier, line_id, why, width FROM undecided")
+def undecided_lines(spark, sf_dir):
+    return _run(spark, sf_dir).undecided.select("tier", "line_id", "why", "width")
+
+
+@_query("SELECT line_id, reason_code, coalesce(credit, debit, 0) AS amount FROM loose")
+def bank_line_exceptions(spark, sf_dir):
+    return M.line_exceptions(_run(spark, sf_dir))
+
+
+@_query("SELECT txn_id, reason_code, amount FROM badlegs WHERE reason_code IS NOT NULL")
+def psp_exceptions(spark, sf_dir):
+    return M.leg_exceptions(_run(spark, sf_dir))
+
+
+@_query("SELECT line_id, CAST(0 AS BIGINT) AS times FROM bank WHERE line_id NOT IN (SELECT line_id FROM matched UNION ALL SELECT line_id FROM loose)")
+def partition_check(spark, sf_dir):
+    return M.partition_check(_run(spark, sf_dir))
+
+
+@_query("SELECT subject_type, reason_code, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM excepted GROUP BY ALL")
+def reason_census(spark, sf_dir):
+    return R.reason_census(M.exceptions(_run(spark, sf_dir)))
+
+
+@_query("SELECT t.tier, count(m.line_id) AS n FROM (VALUES ('T0'), ('T1'), ('T2'), ('T3'), ('LLM')) t(tier) LEFT JOIN matched m ON m.tier = t.tier GROUP BY t.tier")
+def tier_counts(spark, sf_dir):
+    return M.tier_counts(_run(spark, sf_dir).matches)
+
+
+@_query("SELECT tier, CASE WHEN count(DISTINCT confidence) = 1 THEN min(confidence) END AS confidence, count(DISTINCT confidence) > 1 AS conflict FROM matched GROUP BY tier")
+def tier_confidence(spark, sf_dir):
+    return M.tier_confidence(_run(spark, sf_dir).matches)
+
+
+@_query("SELECT t.settlement_id, gross, fees, tax, refunds, holds, t.net, t.payment_legs, m.line_id IS NOT NULL AS matched, m.line_id, m.tier FROM totals t LEFT JOIN matched m ON m.settlement_id = t.settlement_id")
+def settlements_listing(spark, sf_dir):
+    r = _run(spark, sf_dir)
+    return R.settlement_listing(r.totals, r.matches)
+
+
+@_query("SELECT m.settlement_id, m.line_id, s.order_id, g.gross_amount FROM matched m JOIN setlegs s ON s.settlement_id = m.settlement_id JOIN register g ON g.order_id = s.order_id")
+def batch_netting(spark, sf_dir):
+    r = _run(spark, sf_dir)
+    return R.batch_netting(r.order_sets, r.matches, r.orders)
+
+
+_INVOICED = "invoices AS (SELECT period, CASE WHEN substr(period, 6) = '03' THEN computed - 5000 WHEN substr(period, 6) = '07' THEN computed + 7000 ELSE computed END AS invoiced FROM computed WHERE substr(period, 6) <> '11')"
+_ITC = f"""{P.SQL}, firsts AS (SELECT m.settlement_id, min(b.txn_date) AS on_day, max(t.tax) AS tax FROM matched m JOIN bank b ON b.line_id = m.line_id JOIN totals t ON t.settlement_id = m.settlement_id GROUP BY ALL),
+computed AS (SELECT strftime(on_day, '%Y-%m') AS period, CAST(sum(tax) AS BIGINT) AS computed FROM firsts GROUP BY ALL), {_INVOICED},
+loosemonths AS (SELECT DISTINCT strftime(txn_date, '%Y-%m') AS period FROM loose WHERE credit IS NOT NULL),
+periods AS (SELECT c.period, c.computed, coalesce(i.invoiced, 0) AS invoiced, c.computed - coalesce(i.invoiced, 0) AS variance, least(c.computed, coalesce(i.invoiced, 0)) AS substantiated, abs(c.computed - coalesce(i.invoiced, 0)) AS at_risk,
+  CASE WHEN i.invoiced IS NULL THEN 'no_invoice' WHEN c.computed > i.invoiced THEN 'under_invoiced' WHEN c.computed < i.invoiced AND l.period IS NOT NULL THEN 'unmatched_settlements' WHEN c.computed < i.invoiced THEN 'over_invoiced' ELSE 'substantiated' END AS status
+  FROM computed c LEFT JOIN invoices i ON i.period = c.period LEFT JOIN loosemonths l ON l.period = c.period)"""
+
+
+def _itc(spark, sf_dir):
+    """Invoices for the demonstration: every month's own tax, some short, some over, November missing."""
+    r = _run(spark, sf_dir)
+    groups = M.match_groups(r)
+    own = G.itc_periods(groups, r.bank, M.exceptions(r), None)
+    month = F.substring("period", 6, 2)
+    stated = own.where(month != "11").select("period", (F.col("computed") + F.when(month == "03", -5000).when(month == "07", 7000).otherwise(0)).cast("long").alias("gst_amount"))
+    return G.itc_periods(groups, r.bank, M.exceptions(r), stated)
+
+
+@_query()
+def itc_periods(spark, sf_dir):
+    return _itc(spark, sf_dir)
+
+
+@_query()
+def itc_totals(spark, sf_dir):
+    return G.itc_totals(_itc(spark, sf_dir))
+
+
+ORACLE_SQL["itc_periods"] = f"WITH {_ITC} SELECT * FROM periods"
+ORACLE_SQL["itc_totals"] = f"WITH {_ITC} SELECT CAST(sum(substantiated) AS BIGINT) AS substantiated, CAST(sum(at_risk) AS BIGINT) AS at_risk, CAST(sum(variance) AS BIGINT) AS variance FROM periods"
+
+_VERDICTS = f"""{P.SQL}, linked AS (SELECT line_id, substr(line_id, 4) AS settlement_id FROM bank WHERE credit IS NOT NULL),
+traps AS (SELECT line_id FROM linked WHERE line_id LIKE '%c' UNION SELECT substr(line_id, 1, length(line_id) - 1) FROM linked WHERE line_id LIKE '%c'),
+verdicts AS (SELECT coalesce(l.line_id, m.line_id) AS line_id, CASE WHEN m.line_id IS NOT NULL AND t.line_id IS NOT NULL THEN 'trapped' WHEN t.line_id IS NOT NULL THEN 'declined'
+  WHEN m.line_id IS NULL THEN 'missed' WHEN m.settlement_id = l.settlement_id THEN 'correct' ELSE 'wrong' END AS verdict FROM linked l FULL JOIN matched m ON m.line_id = l.line_id LEFT JOIN traps t ON t.line_id = coalesce(l.line_id, m.line_id))"""
+
+
+def _graded(spark, sf_dir):
+    r = _run(spark, sf_dir)
+    linkages, traps = P.truth(spark, sf_dir)
+    orders = r.order_sets.select("settlement_id", "order_ids")
+    with_orders = lambda t: t.join(orders, "settlement_id", "left").select("line_id", "settlement_id", F.coalesce("order_ids", F.lit("")).alias("order_ids"))
+    return r, with_orders(linkages), traps, with_orders(r.matches)
+
+
+@_query()
+def score_explain(spark, sf_dir):
+    _, linkages, traps, made = _graded(spark, sf_dir)
+    return G.verdicts(linkages, traps, made)
+
+
+@_query()
+def scorecard(spark, sf_dir):
+    r, linkages, traps, made = _graded(spark, sf_dir)
+    return G.scorecard(linkages, traps, made, M.line_exceptions(r))
+
+
+ORACLE_SQL["score_explain"] = f"WITH {_VERDICTS} SELECT line_id, verdict FROM verdicts"
+ORACLE_SQL["scorecard"] = f"""WITH {_VERDICTS}, c AS (SELECT count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'trapped') AS trapped,
+  count(*) FILTER (verdict = 'missed') AS missed, count(*) FILTER (verdict = 'declined') AS declined, (SELECT count(*) FROM matched) AS matched, (SELECT count(*) FROM loose) AS excepted FROM verdicts)
+SELECT CAST(correct AS DOUBLE) / (correct + wrong + missed) AS auto_match_rate, CAST(correct AS DOUBLE) / (correct + wrong + missed) AS recall_on_resolvable, CAST(correct AS DOUBLE) / (correct + wrong + trapped) AS precision,
+  CAST(wrong + trapped AS DOUBLE) / (correct + wrong + trapped) AS false_match_rate, CAST(declined AS DOUBLE) / (declined + trapped) AS trap_capture_rate, CAST(excepted AS DOUBLE) / (matched + excepted) AS exception_rate,
+  correct, wrong, trapped, missed, declined, matched, excepted FROM c"""
+
+
+@_query("""SELECT coalesce(x.reason_code, y.reason_code) AS reason_code, coalesce(x.n, 0) AS before, coalesce(y.n, 0) AS after, coalesce(y.n, 0) - coalesce(x.n, 0) AS delta, coalesce(x.n, 0) = 0 AS appeared FROM
+  (SELECT reason_code, count(*) AS n FROM excepted WHERE subject_type = 'bank_line' GROUP BY ALL) x FULL JOIN (SELECT reason_code, count(*) AS n FROM excepted GROUP BY ALL) y ON x.reason_code = y.reason_code WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
+def drift_reasons(spark, sf_dir):
+    """Moves from a run that saw bank lines alone to one that saw the legs too."""
+    every = M.exceptions(_run(spark, sf_dir))
+    count = lambda df: df.groupBy("reason_code").agg(F.count("*").alias("n"))
+    return G.reason_moves(count(every.where("subject_type = 'bank_line'")), count(every))
+
+
+@_query("""SELECT metric, before, after, after - before AS delta, CASE WHEN before <> 0 THEN after / before - 1 END AS relative, CASE WHEN after = before THEN false WHEN before = 0 THEN true ELSE abs(after - before) / abs(before) >= 0.05 END AS material FROM (
+  SELECT 'n_' || tier AS metric, CAST(count(*) AS DOUBLE) AS after, CAST(count(*) FILTER (txn_date < DATE '1999-01-01') AS DOUBLE) AS before FROM matched JOIN bank USING (line_id) GROUP BY tier)""")
+def drift_moves(spark, sf_dir):
+    """Moves of the tiers' sizes from the lines before 1999 to all lines."""
+    r = _run(spark, sf_dir)
+    dated = r.matches.join(r.bank.select("line_id", "txn_date"), "line_id").withColumn("metric", F.concat(F.lit("n_"), "tier"))
+    both = dated.groupBy("metric").agg(F.count_if(F.col("txn_date") < "1999-01-01").cast("double").alias("b"), F.count("*").cast("double").alias("a"))
+    return G.metric_moves(both.select("metric", F.col("b").alias("value")), both.select("metric", F.col("a").alias("value")))
+
+
+def _proposals(r: M.Reconciliation) -> DataFrame:
+    """For each excepted line a proposal: all raw legs of the settlement that its id names; those of ids divisible by 3 lack a leg."""
+    lines = M.line_exceptions(r).select("line_id", F.expr("substring(line_id, 4)").alias("settlement_id"))
+    legs = r.psp.groupBy("settlement_id").agg(F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
+    joined = lines.join(legs, "settlement_id")
+    short = F.length("line_id") % 3 == 0
+    return joined.select(F.col("line_id").alias("proposal_id"), "line_id", F.when(short, F.slice("txn_ids", 2, F.size("txn_ids"))).otherwise(F.col("txn_ids")).alias("txn_ids")).where("size(txn_ids) > 0")
+
+
+@_query("""SELECT l.line_id AS proposal_id, l.line_id, s.settlement_id, CAST(s.total AS BIGINT) AS total, CASE WHEN l.credit IS NULL OR l.credit <= 0 THEN 'existence' WHEN s.settlement_id IN (SELECT settlement_id FROM matched) THEN 'exclusivity'
+    WHEN s.last_settled > l.txn_date THEN 'causality' WHEN abs(s.total - l.credit) > 100 THEN 'arithmetic' WHEN s.n <> s.all_legs THEN 'existence' WHEN (SELECT count(*) FROM totals t WHERE t.settlement_id NOT IN (SELECT settlement_id FROM matched) AND abs(t.net - l.credit) <= 100) > 1 THEN 'uniqueness' ELSE 'accepted' END AS verdict
+  FROM loose l JOIN (SELECT settlement_id, sum(amount) FILTER (r > 1 OR even) AS total, count(*) FILTER (r > 1 OR even) AS n, count(*) AS all_legs, max(settled_at) AS last_settled, even FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY settlement_id ORDER BY txn_id) AS r, (length(settlement_id) + 3) % 3 <> 0 AS even FROM psp p WHERE settlement_id IS NOT NULL) GROUP BY settlement_id, even) s ON s.settlement_id = substr(l.line_id, 4) WHERE s.n > 0""")
+def hypothesis_verdicts(spark, sf_dir):
+    r = _run(spark, sf_dir)
+    return V.check(_proposals(r), r.psp, r.bank, r.totals, r.matches)
+
+
+@_query()
+def analyst_accept(spark, sf_dir):
+    r = _run(spark, sf_dir)
+    return V.accepted_matches(V.accept(_proposals(r), r.psp, r.bank, r.totals, r.matches), r.totals, r.bank)
+
+
+@_query()
+def audit_trail(spark, sf_dir):
+    return M.audit(_run(spark, sf_dir))
+
+
+@_query("SELECT account, line_id, txn_date, credit, debit, CAST(sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER (PARTITION BY account ORDER BY txn_date, line_id) AS BIGINT) AS running FROM (SELECT *, regexp_extract(line_id, 'setl_([0-9]+)x', 1) AS account FROM bank)")
+def running_balance(spark, sf_dir):
+    lines = P.bank(spark, sf_dir).withColumn("account", F.regexp_extract("line_id", "setl_([0-9]+)x", 1))
+    return R.running_balance(lines).select("account", "line_id", "txn_date", "credit", "debit", "running")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS paise FROM lineitem""")
+def parse_paise(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.concat(F.lit("₹"), F.format_number(F.col("l_extendedprice"), 2))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", money.parse_paise(text).alias("paise"))
+
+
+@_query("SELECT line_id, reason_code, amount FROM (SELECT line_id, reason_code, coalesce(credit, debit, 0) AS amount FROM loose) ORDER BY reason_code, line_id LIMIT 50 OFFSET 100")
+def page_exceptions(spark, sf_dir):
+    return R.page(M.line_exceptions(_run(spark, sf_dir)), ["reason_code", "line_id"], 100, 50)
+
+
+@_query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
