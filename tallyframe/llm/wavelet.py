@@ -24,7 +24,7 @@ SHARD_TOKENS = 2_000_000
 #: Bits of a rank directory's block.
 BLOCK_BITS = 512
 #: Pieces of text whose ids a task remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 END_ID = 0
 MAGIC = b"WVM1"
 
@@ -183,7 +183,7 @@ class Encoder:
             self.known = {}
             new = {p for ps in cut for p in ps}
         asked = list(new)
-        for p, e in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
+        for p, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, np.uint32).tobytes()
         known = self.known
         return [np.frombuffer(b"".join([known[p] for p in ps]), np.uint32) for ps in cut]
@@ -205,8 +205,8 @@ def _sharded(path: str, shard_tokens: int):
         encoder = Encoder(path)
         keys, lengths, ids, held = [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 for key, own in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
                     if held and held + len(own) + 1 > shard_tokens:
                         yield row(keys, lengths, ids)
