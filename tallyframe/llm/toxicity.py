@@ -145,7 +145,7 @@ def train(labels: np.ndarray, counts: np.ndarray, own: np.ndarray, slots: np.nda
             v = model.factors[own, f]
             sums = np.bincount(rows, v, minlength=n)
             grad[m + 1 + f :: FACTORS] = np.bincount(own, error[rows] * (sums[rows] - v), minlength=m)
-        grad[1:] += DECAY / m * theta[1:]
+        grad[1:] += DECAY / max(m, 1) * theta[1:]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta = theta - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return Model(slots, float(theta[0]), theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS))
