@@ -379,3 +379,22 @@ def _sizes(size: int):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*text_buffers(batch.column(1)), size)[1])], names=["n_shingles"])
 
     return run
+
+
+#: The same by all pairs of shared n-grams and a recursive walk over the links; for small tables only.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS start FROM documents UNION SELECT l.y, r.start FROM reach r JOIN links l ON l.x = r.node
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, (SELECT min(start) FROM reach WHERE node = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""

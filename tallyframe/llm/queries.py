@@ -85,5 +85,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
+    "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_mixture": mixture.ORACLE_SQL,
 }
