@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ BLOCK_BITS = 512
 #: Pieces of text whose ids a task remembers; beyond it the memory starts afresh.
 REMEMBERED = 1_000_000
 END_ID = 0
+#: Stands for a null id in shards.
+NO_ID = -(2**63)
 MAGIC = b"WVM1"
 
 
@@ -46,11 +49,11 @@ class WaveletMatrix:
         rest = ids.astype(np.uint32 if len(ids) and int(ids.max()) > 0xFFFF else np.uint16)
         planes, zeros = [], []
         for bit in range(max(1, int(ids.max()).bit_length() if len(ids) else 1) - 1, -1, -1):
-            ones = ((rest >> rest.dtype.type(bit)) & 1).astype(bool)
+            ones = (rest & rest.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            low = rest[~ones]
+            low = np.flatnonzero(~ones)
             zeros.append(len(low))
-            rest = np.concatenate([low, rest[ones]])
+            rest = rest.take(np.concatenate([low, np.flatnonzero(ones)]))
         return cls(len(ids), planes, zeros)._index()
 
     def _index(self) -> WaveletMatrix:
@@ -124,8 +127,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(values)
-            out[~ones] = values[: self.zeros[level]]
-            out[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.planes) - 1 - level))
+            out[np.flatnonzero(~ones)] = values[: self.zeros[level]]
+            out[np.flatnonzero(ones)] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.planes) - 1 - level))
             values = out
         return values
 
@@ -152,75 +155,142 @@ class Encoder:
     """Ids of texts by the tokenizers library, which sees each different piece of text once.
 
     A text is cut before a space between two other characters. A byte-level pre-tokenizer always parts there, with the
-    space at the head of what follows, so the ids of the pieces are those of the text.
+    space at the head of what follows, so the ids of the pieces are those of the text. For the same reason a piece may
+    be cut around a single line feed, and between letters and a run of plain punctuation that ends it.
     """
 
+    #: Punctuation that ends a piece; without the apostrophe, which can begin an ending of its own.
+    MARKS = '.,;:!?%*&$#@|"()[]{}<>/+=~^_-'
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        #: ids of pieces with a space before them, and without
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this process, so that a task finds what earlier tasks of a worker have seen."""
+        import sys
+        import types
+
+        memory = vars(sys.modules.setdefault("tallyframe_task_memory", types.ModuleType("tallyframe_task_memory")))
+        if path not in memory:
+            memory[path] = cls(path)
+        return memory[path]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """A text cut where white space isn't a single space too: parts that touch more than one join their neighbours."""
         parts = text.split(" ")
-        # a part that is empty or has white space at an end doesn't stand between two single spaces: it joins its neighbours
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            out, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
-            for p in parts[1:]:
-                if glue or not p or p[0].isspace():
-                    out[-1] += " " + p
-                else:
-                    out.append(" " + p)
-                glue = not p or p[-1].isspace()
-            return out
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = {p for ps in cut for p in ps} - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {p for ps in cut for p in ps}
-        asked = list(new)
-        for p, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), np.uint32) for ps in cut]
+        out, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
+        for p in parts[1:]:
+            if glue or not p or p[0].isspace():
+                out[-1] += " " + p
+            else:
+                out.append(" " + p)
+            glue = not p or p[-1].isspace()
+        return out
+
+    def _parts(self, word: str, spaced: bool) -> list[tuple[str, bool]]:
+        """A word as pieces (text, whether a space goes before)."""
+        lines = word.split("\n") if "\n" in word and not any(c.isspace() for c in word.replace("\n", "")) and "\n\n" not in word else [word]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append(("\n", False))
+            stem = line.rstrip(self.MARKS)
+            cut = len(stem) < len(line) and stem.isalpha()
+            out += [(stem, spaced and not i), (line[len(stem) :], False)] if cut else [(line, spaced and not i)]
+        return out
+
+    def resolve(self, words: list[str], spaced: bool) -> list[bytes]:
+        """The ids, as bytes, of each word with or without a space before it."""
+        known = self.known[not spaced]
+        split = {w: self._parts(w, spaced) for w in words if w not in known}
+        fresh: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        for space in (True, False):
+            have = self.known[not space]
+            new = list({p for parts in split.values() for p, s in parts if s == space and p not in have})
+            coded = self.tokenizer.encode_batch_fast([" " + p for p in new] if space else new, add_special_tokens=False)
+            found = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(new, coded, strict=True)}
+            fresh[not space].update(found)
+            if len(have) + len(found) <= REMEMBERED:
+                have.update(found)
+        get = lambda p, s: self.known[not s].get(p) or fresh[not s].get(p, b"")
+        return [known[w] if w in known else b"".join([get(p, s) for p, s in split[w]]) for w in words]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids of each text) of a string column without nulls."""
+        lists = pc.split_pattern(column, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        strange = np.flatnonzero(np.add.reduceat(odd[index], offsets[:-1]) > 0) if len(index) else np.zeros(0, np.int64)
+        table = self.resolve(words, True)
+        # the first word of each text has no space before it
+        table += self.resolve([words[i] for i in index[offsets[:-1]]], False)
+        index[offsets[:-1]] = len(words) + np.arange(len(column))
+        for row in strange.tolist():
+            text = column[row].as_py()
+            ids = b"".join(self.resolve([p for p in self.pieces(text)], False)) if text else b""
+            index[offsets[row] : offsets[row + 1]] = -1
+            index[offsets[row]] = len(table)
+            table.append(ids)
+        table.append(b"")  # what -1 means
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), np.uint32)
+        own = sizes[index]
+        ends = np.cumsum(own)
+        places = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - own), own)
+        places += np.arange(len(places))
+        before = np.concatenate([[0], ends])
+        return flat[places], before[offsets[1:]] - before[offsets[:-1]]
 
 
 def _sharded(path: str, shard_tokens: int):
     names = ["first_id", "doc_ids", "lengths", "n_docs", "n_tokens", "matrix"]
 
-    def row(keys: list, lengths: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(ids)
-        known = np.array([k if k is not None else -(2**63) for k in keys], np.int64)
-        cols = [[int(known[0])], [known.tobytes()], [np.array(lengths, np.int64).tobytes()], [len(keys)], [len(flat)], [WaveletMatrix.build(flat).to_bytes()]]
+    def row(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        cols = [[int(keys[0])], [keys.tobytes()], [lengths.tobytes()], [len(keys)], [len(ids)], [WaveletMatrix.build(ids).to_bytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
-        keys, lengths, ids, held = [], [], [], 0
+        encoder = Encoder.of(path)
+        keys, lengths, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                for key, own in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
-                    if held and held + len(own) + 1 > shard_tokens:
-                        yield row(keys, lengths, ids)
-                        keys, lengths, ids, held = [], [], [], 0
-                    keys.append(key)
-                    lengths.append(len(own) + 1)
-                    ids += [own, np.array([END_ID], np.uint32)]
-                    held += len(own) + 1
-        if keys:
+            for part in _slices(batch, 8_000_000):
+                own, sizes = encoder.encode(part.column(1))
+                keys = np.concatenate([keys, pc.fill_null(part.column(0), NO_ID).to_numpy()])
+                lengths = np.concatenate([lengths, sizes + 1])
+                ids = np.concatenate([ids, np.insert(own, np.cumsum(sizes), END_ID).astype(np.uint32)])
+                while len(ids) > shard_tokens and len(keys) > 1:
+                    n = max(1, int(np.searchsorted(np.cumsum(lengths), shard_tokens, side="right")))
+                    at = int(lengths[:n].sum())
+                    yield row(keys[:n], lengths[:n], ids[:at])
+                    keys, lengths, ids = keys[n:], lengths[n:], ids[at:]
+        if len(keys):
             yield row(keys, lengths, ids)
 
     return run
 
 
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about size bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write docs' ids below path, one file for each shard, in ascending doc_id order over all shards.
 
@@ -250,7 +320,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = memoryview(ids).cast("B")
             crc = np.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(known, mask=known == -(2**63)), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                [pa.array(known, mask=known == NO_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
 

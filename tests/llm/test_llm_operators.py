@@ -245,9 +245,13 @@ def test_encoder_is_the_tokenizer():
 
     path = queries.tokenizer_path()
     plain, ours, rng = Tokenizer.from_file(path), wavelet.Encoder(path), random.Random(1)
-    parts = ["a", "b", " ", "  ", "\n", "é", "1", ".", "'s", "\t", "\xa0", "\x1c", "<|endoftext|>", "中", "Ab", " \n ", "!", "\x85"]
+    parts = ["a", "b", " ", "  ", "\n", "é", "1", ".", "'s", "\t", "\xa0", "\x1c", "<|endoftext|>", "中", "Ab", " \n ", "!", "\x85", ".", "***", "-", "_", "x,", "²", "\u0301", "..."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
-    assert [x.tolist() for x in ours.ids(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    import pyarrow as pa
+
+    for _ in range(2):  # the second time from memory
+        flat, sizes = ours.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def round_trip(spark, table, tmp_path, shard):
