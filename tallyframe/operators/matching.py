@@ -133,14 +133,20 @@ def exceptions(r: Reconciliation) -> DataFrame:
 
 
 def audit(r: Reconciliation) -> DataFrame:
-    """What was decided, in a fixed order: (sequence, stage, rule, subject_id, evidence). For display; the sequence is one sort."""
+    """What was decided: (phase, stage, rule, subject_id, evidence). Its order is that of phase, stage, subject and rule; numbered() counts a part of it."""
     dedup = r.psp.where("suppressed").select(F.lit(0).alias("phase"), F.lit("prepare").alias("stage"), F.lit("dedup:suppressed").alias("rule"), F.col("txn_id").alias("subject_id"), F.lit("copy of an event").alias("evidence"))
     recovered = r.recovered.select(F.lit(1).alias("phase"), F.lit("prepare").alias("stage"), F.lit("recovery:order").alias("rule"), F.col("txn_id").alias("subject_id"), F.col("order_id").alias("evidence"))
     stuck = r.undecided.select(F.lit(2).alias("phase"), F.col("tier").alias("stage"), F.col("why").alias("rule"), F.col("line_id").alias("subject_id"), F.format_string("%d ways", "width").alias("evidence"))
     matched = match_groups(r).select(F.lit(2).alias("phase"), F.col("tier").alias("stage"), F.lit("matched").alias("rule"), F.col("line_id").alias("subject_id"), "evidence")
     out = exceptions(r).select(F.lit(3).alias("phase"), F.lit("residue").alias("stage"), F.col("reason_code").alias("rule"), "subject_id", F.lit("").alias("evidence"))
     every = dedup.unionByName(recovered).unionByName(stuck).unionByName(matched).unionByName(out)
-    return every.select(F.row_number().over(Window.orderBy("phase", "stage", "subject_id", "rule")).alias("sequence"), "stage", "rule", "subject_id", "evidence")
+    return every.select("phase", "stage", "rule", "subject_id", "evidence")
+
+
+def numbered(entries: DataFrame, subjects: DataFrame) -> DataFrame:
+    """The audit entries of some subjects (subject_id), each subject's numbered in order."""
+    own = entries.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
+    return own.withColumn("sequence", F.row_number().over(Window.partitionBy("subject_id").orderBy("phase", "stage", "rule")))
 
 
 def tier_counts(matches: DataFrame) -> DataFrame:

@@ -322,3 +322,75 @@ def page_exceptions(spark, sf_dir):
 def hourly_events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+
+
+_RUNS = "runs AS (SELECT o_orderkey AS run_id, 'org' || (o_custkey % 7) AS org_id, CASE WHEN o_custkey % 5 > 0 THEN 'set' || (o_custkey % 5) END AS dataset, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'completed' END AS status, o_orderdate AS created_at FROM orders)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as a registry of runs."""
+    k = F.col("o_custkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("org"), k % 7).alias("org_id"), F.when(k % 5 > 0, F.concat(F.lit("set"), k % 5)).alias("dataset"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@_query()
+def previous_run(spark, sf_dir):
+    return R.previous_runs(_runs(spark, sf_dir)).select("run_id", "org_id", "dataset", "previous_run_id")
+
+
+@_query()
+def latest_run(spark, sf_dir):
+    return R.latest(_runs(spark, sf_dir), ["org_id", "dataset"]).select("org_id", "dataset", "run_id", "status")
+
+
+ORACLE_SQL["previous_run"] = f"WITH {_RUNS} SELECT run_id, org_id, dataset, lag(run_id) OVER (PARTITION BY org_id, dataset ORDER BY created_at, run_id) AS previous_run_id FROM runs WHERE status = 'completed'"
+ORACLE_SQL["latest_run"] = f"WITH {_RUNS} SELECT org_id, dataset, run_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY org_id, dataset ORDER BY created_at DESC, run_id DESC) = 1"
+
+
+def _shop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register in a shop's layout, some rows spoilt by their number: 1 a fraction of a paisa, 2 no customer, 3 a pending order, 4 cut short, 5 negative, 6 another currency, 7 no date."""
+    from tallyframe.sources.export import as_rows, to_shop
+
+    shop = to_shop(P.orders(spark, sf_dir))
+    number = F.expr("cast(substring(Name, 5) as bigint) % 20")
+    spoilt = shop.withColumns({
+        "Total": F.when(number == 1, F.concat("Total", F.lit("5"))).when(number == 5, F.concat(F.lit("-"), "Total")).otherwise(F.col("Total")), "Email": F.when(number != 2, F.col("Email")), "Financial Status": F.when(number == 3, "pending").otherwise(F.col("Financial Status")),
+        "Currency": F.when(number == 6, "USD").otherwise(F.col("Currency")), "Created at": F.when(number != 7, F.col("Created at")),
+    })
+    return as_rows(spoilt).withColumn("cells", F.when(F.expr("cast(substring(cells[0], 5) as bigint) % 20") == 4, F.slice("cells", 1, 3)).otherwise(F.col("cells")))
+
+
+@_query("SELECT order_id, order_date, customer_ref, gross_amount, currency, status FROM register WHERE CAST(substr(order_id, 5) AS BIGINT) % 20 NOT BETWEEN 1 AND 7")
+def layout_records(spark, sf_dir):
+    from tallyframe.sources.adapters import BY_ID, parse
+
+    return parse(_shop_rows(spark, sf_dir), BY_ID["orders-csv-shopify-v1"])[0].select("order_id", "order_date", "customer_ref", "gross_amount", "currency", "status")
+
+
+@_query("""SELECT CASE CAST(substr(order_id, 5) AS BIGINT) % 20 WHEN 1 THEN 'BAD_DECIMAL' WHEN 2 THEN 'MISSING_VALUE' WHEN 3 THEN 'UNSUPPORTED_ROW_TYPE' WHEN 4 THEN 'TRUNCATED_ROW' WHEN 5 THEN 'AMBIGUOUS_DIRECTION' WHEN 6 THEN 'UNKNOWN_VALUE' ELSE 'MISSING_VALUE' END AS reason, count(*) AS n
+  FROM register WHERE CAST(substr(order_id, 5) AS BIGINT) % 20 BETWEEN 1 AND 7 GROUP BY ALL""")
+def layout_quarantine(spark, sf_dir):
+    from tallyframe.sources.adapters import BY_ID, parse
+
+    return parse(_shop_rows(spark, sf_dir), BY_ID["orders-csv-shopify-v1"])[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query()
+def generated_scorecard(spark, sf_dir):
+    """The ladder on generated data, graded; the batches follow the size of the register."""
+    from tallyframe.sources.generate import generate
+
+    d = generate(spark, spark.read.parquet(f"{sf_dir}/orders.parquet").count())
+    r = M.reconcile(d.orders, d.psp, d.bank)
+    made = r.matches.join(r.order_sets.select("settlement_id", "order_ids"), "settlement_id", "left").select("line_id", "settlement_id", "order_ids")
+    return G.scorecard(d.linkages, d.unresolvable, made, M.line_exceptions(r))
+
+
+@_query("SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS hour, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from tallyframe.streaming.ingest import event_windows as windows
+
+    return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
