@@ -22,8 +22,8 @@ SLOTS = 1 << 20
 #: Labelled rows that a model is fitted on, about; a hash of the id chooses them from all labelled rows.
 SAMPLE_ROWS = 40_000
 #: Slots that a model weighs at most, and how clearly (likelihood ratio) one must tell the classes apart.
-ACTIVE, CLEARNESS = 8192, 20.0
-FACTORS, EPOCHS, RATE, DECAY = 4, 300, 0.05, 3e-2
+ACTIVE, CLEARNESS = 1024, 20.0
+FACTORS, EPOCHS, RATE, DECAY = 4, 200, 0.05, 3e-2
 PREFIXES = (3, 4, 5)
 _SEPARATORS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
