@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, differences, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, without, words_of, _K
+from tallyframe.llm.common import cut, differences, give_back, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, without, words_of, _K
 from tallyframe.llm.components import connected_components
 
 #: n-grams that a task holds before it sends them on, and that a bucket should hold.
@@ -116,6 +116,8 @@ def _send(size: int, buckets: int, parts: int):
                     ids, sets, counts, held = [], [], [], 0
         if ids:
             yield flush(ids, sets, counts)
+        del ids, sets, counts
+        give_back()
 
     return run
 

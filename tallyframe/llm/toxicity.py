@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import hash_spans, mix64, text_buffers, words_of, _K
+from tallyframe.llm.common import give_back, hash_spans, mix64, text_buffers, words_of, _K
 
 #: Slots that terms are hashed to.
 SLOTS = 1 << 20
@@ -205,6 +205,7 @@ def _scores(model: Model):
                 out[at:to] = _sigmoid(margins(model, np.bincount(doc[own >= 0], minlength=to - at), own[own >= 0]))
             names = [n for n in batch.schema.names if n != "text"] + ["score"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:-1]] + [pa.array(out)], names=names)
+        give_back()
 
     return run
 
@@ -232,5 +233,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
                 own = place[slot]
                 out[at:to] = _sigmoid(margins(model, np.bincount(doc[own >= 0], minlength=to - at), own[own >= 0]))
             yield batch.filter(pa.array(out < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

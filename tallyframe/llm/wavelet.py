@@ -7,9 +7,12 @@ decoding the rest. Spark sorts documents into ranges of ids, encodes each range
 
 from __future__ import annotations
 
+import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +21,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import shared_dir
+from tallyframe.llm.common import give_back, shared_dir
 
 #: Tokens after which a shard is closed; a document is never cut, so one with more has a shard for itself.
 SHARD_TOKENS = 2_000_000
 #: Bits of a rank directory's block.
 BLOCK_BITS = 512
-#: Pieces of text whose ids a task remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers; later ones are encoded each time.
+REMEMBERED = 800_000
 END_ID = 0
+#: A part between spaces that is empty or has white space, of any script, at an end.
+ODD = r"^[\s\pZ\x{85}\x0b\x1c-\x1f]|[\s\pZ\x{85}\x0b\x1c-\x1f]$|^$"
 #: Stands for a null id in shards.
 NO_ID = -(2**63)
 MAGIC = b"WVM1"
@@ -208,18 +213,29 @@ class Encoder:
     def resolve(self, words: list[str], spaced: bool) -> list[bytes]:
         """The ids, as bytes, of each word with or without a space before it."""
         known = self.known[not spaced]
-        split = {w: self._parts(w, spaced) for w in words if w not in known}
+        whole: set[str] = set()
+        split: dict[str, list[tuple[str, bool]]] = {}
+        for w in words:
+            if w not in known:
+                if w[-1:].isalpha() and "\n" not in w:
+                    whole.add(w)
+                else:
+                    split[w] = self._parts(w, spaced)
         fresh: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         for space in (True, False):
             have = self.known[not space]
-            new = list({p for parts in split.values() for p, s in parts if s == space and p not in have})
+            asked = {p for parts in split.values() for p, s in parts if s == space and p not in have}
+            new = list(asked | whole if space == spaced else asked)
             coded = self.tokenizer.encode_batch_fast([" " + p for p in new] if space else new, add_special_tokens=False)
-            found = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(new, coded, strict=True)}
+            found = {p: array("I", e.ids).tobytes() for p, e in zip(new, coded, strict=True)}
+            have.update(islice(found.items(), max(0, REMEMBERED - len(have))))
             fresh[not space].update(found)
-            if len(have) + len(found) <= REMEMBERED:
-                have.update(found)
         get = lambda p, s: self.known[not s].get(p) or fresh[not s].get(p, b"")
-        return [known[w] if w in known else b"".join([get(p, s) for p, s in split[w]]) for w in words]
+        late = fresh[not spaced]
+        for w, parts in split.items():
+            late[w] = b"".join([get(p, s) for p, s in parts])
+        known.update((w, late[w]) for w in islice(split, max(0, REMEMBERED - len(known))))
+        return [known.get(w) or late.get(w, b"") for w in words]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of a string column without nulls."""
@@ -228,7 +244,7 @@ class Encoder:
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        odd = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
         strange = np.flatnonzero(np.add.reduceat(odd[index], offsets[:-1]) > 0) if len(index) else np.zeros(0, np.int64)
         table = self.resolve(words, True)
         # the first word of each text has no space before it
@@ -263,9 +279,10 @@ def _sharded(path: str, shard_tokens: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(path)
+        gc.disable()  # words and ids by the million are no cycles to look for
         keys, lengths, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         for batch in batches:
-            for part in _slices(batch, 8_000_000):
+            for part in _slices(batch, 6_000_000):
                 own, sizes = encoder.encode(part.column(1))
                 keys = np.concatenate([keys, pc.fill_null(part.column(0), NO_ID).to_numpy()])
                 lengths = np.concatenate([lengths, sizes + 1])
@@ -277,6 +294,8 @@ def _sharded(path: str, shard_tokens: int):
                     keys, lengths, ids = keys[n:], lengths[n:], ids[at:]
         if len(keys):
             yield row(keys, lengths, ids)
+        gc.enable()
+        give_back()
 
     return run
 
