@@ -21,8 +21,9 @@ from tallyframe.llm.common import give_back, hash_spans, mix64, text_buffers, wo
 SLOTS = 1 << 20
 #: Labelled rows that a model is fitted on, about; a hash of the id chooses them from all labelled rows.
 SAMPLE_ROWS = 40_000
-#: Slots that a model weighs at most, and how clearly (likelihood ratio) one must tell the classes apart.
-ACTIVE, CLEARNESS = 1024, 20.0
+#: Slots that a model weighs at most; how clearly (likelihood ratio) one must tell the classes apart, and how often it stands in one
+#: class for once in the other. A large sample tells even common words apart, which say little.
+ACTIVE, CLEARNESS, LIFT = 1024, 20.0, 3.0
 FACTORS, EPOCHS, RATE, DECAY = 4, 200, 0.05, 3e-2
 PREFIXES = (3, 4, 5)
 _SEPARATORS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n1 = sum(r.toxic for r in kept)
     n0 = len(kept) - n1
     counted = sample.mapInArrow(_counted, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    told = counted.withColumn("g", _likelihood_ratio(F.col("clean"), F.col("toxic"), n0, n1)).where(F.col("g") >= CLEARNESS)
+    lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
+    told = counted.withColumn("g", _likelihood_ratio(F.col("clean"), F.col("toxic"), n0, n1)).where((F.col("g") >= CLEARNESS) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
     slots = np.array(sorted(r.slot for r in told.orderBy(F.desc("g"), "slot").limit(ACTIVE).collect()), np.int64)
     rows = sorted((r.toxic, sorted(r.own)) for r in sample.mapInArrow(_featured(slots), "toxic int, own array<int>").collect())
     return train(np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows]), np.array([x for r in rows for x in r[1]], np.int64), slots)
