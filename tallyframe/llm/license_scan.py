@@ -7,6 +7,8 @@ priority is suppressed. Base phrases are counted in each text besides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tallyframe.llm.common import ascii_lower
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Licenses; a label, the word that any of its rules needs, and its names as regexes over words.
+#: Licenses; a label, a word to look for before its names that hold it, and its names as regexes over words.
 LICENSES = (
     ("mit", "mit", ("mit", "mit x11", "expat mit")),
     ("apache-1.1", "apache", ("apache software 1 1", "apache 1 1")),
@@ -73,14 +75,15 @@ FORMS = (
     (2, 0.7, "license", "license {}"),
 )
 #: Any text with a detection contains one of these, whatever the case.
-GATE = ("licens", "licenc", "spdx", "cc")
+GATE = ("licens", "licenc", "spdx", "cc", "under")
 
 
 def rules() -> list[tuple[str, int, float, str, str, str]]:
     """(label, priority, confidence, form's word, name's word, regex) in order of priority; a regex spans whole words of words_text()."""
     made = []
-    for label, key, names in LICENSES:
+    for label, usual, names in LICENSES:
         for name in names:
+            key = _key(name, usual)
             for priority, confidence, word, form in FORMS:
                 made.append((label, priority, confidence, word, key, _spaced(form.format(name))))
             if name.startswith("cc"):
@@ -88,6 +91,12 @@ def rules() -> list[tuple[str, int, float, str, str, str]]:
     return sorted(made, key=lambda r: (-r[1], r[0], r[5]))
 
 
+def _key(name: str, usual: str) -> str:
+    """A word that every match of the name holds: the usual one if it is such, else the longest."""
+    needed = re.sub(r"\(\?:[^)]*\)\?", "", name).split()
+    return usual if usual in needed else max(needed, key=len)
+
+
 def _spaced(pattern: str) -> str:
     """A regex over words with single spaces between them as one over words_text()."""
     return f" {pattern.replace(" ", "  ")} "

@@ -308,6 +308,17 @@ def test_license_rules(spark, odd, none):
     assert len(license_scan.scan(odd).collect()) == len(ODD) and license_scan.scan(none).isEmpty()
 
 
+def test_every_license_rule_fires_alone(spark):
+    """On a text of nothing but its own example, without the optional parts and with the first of its choices."""
+    rows = []
+    for label, *_, pattern in license_scan.rules():
+        text = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", re.sub(r"\(\?:(?:[^()]|\([^)]*\)\?)*\)\?", "", pattern)))
+        rows.append((len(rows), " ".join(text.split()), label))
+    rows += [(len(rows) + i, t, n) for i, (t, n) in enumerate([("Released under the GPLv3 license", "gpl-3"), ("licensed under GPL v2", "gpl-2"), ("MPLv2 license", "mpl-2"), ("AGPLv3 licensed", "agpl-3"), ("Released under GPLv3.", "gpl-3"), ("gnu gpl v3 license", "gpl-3")])]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    assert [(t, n, got[i]) for i, t, n in rows if n not in got[i][0] or not got[i][1]] == []
+
+
 # ---- 8
 
 
