@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps its
 template. Hashed windows of template words are joined with those of the benchmark; the values in the slots of aligned
-windows must then agree: each value of the item stands for one value of the document, and the other way round.
+windows must then agree: each value of the item stands for one value of the document, and the other way round. Every
+alignment of an item with a document is judged by itself.
 """
 
 from __future__ import annotations
@@ -75,9 +76,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     wanted = cut(benchmark_windows(benchmark))
     hits = _windows(slim.select("doc_id", F.split(template(F.col("text")), " ").alias("words")), "doc_id").join(bounded(wanted, BROADCAST_ROWS), "window")
-    # one place of the document for each place of the item
-    placed = hits.groupBy("doc_id", "item_id", "item_at", "windows").agg(F.min("at").alias("at"))
-    held = placed.groupBy("doc_id", "item_id", "windows").agg(F.count("*").alias("matched"), F.collect_list(F.struct("item_at", "at")).alias("places"))
+    # readings: every alignment of the item with the document; and the first place of each window, for items with words put between
+    places = hits.select("doc_id", "item_id", "windows", "item_at", "at").distinct()
+    aligned = places.withColumn("shift", F.col("at") - F.col("item_at"))
+    first = places.groupBy("doc_id", "item_id", "windows", "item_at").agg(F.min("at").alias("at")).withColumn("shift", F.lit(None).cast("int"))
+    placed = aligned.unionByName(first)
+    held = placed.groupBy("doc_id", "item_id", "windows", "shift").agg(F.count("*").alias("matched"), F.collect_list(F.struct("item_at", "at")).alias("places"))
     held = cut(held.where((F.col("matched") >= F.col("windows") * COVERAGE) | (F.col("matched") >= LONG_RUN)))
 
     values = lambda table, key: table.select(key, F.split(_plain(_numbers_whole(F.col("text"))), " ").alias("values"), F.split(template(F.col("text")), " ").alias("words"))
@@ -85,18 +89,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     own = values(texts, "doc_id").withColumnsRenamed({"values": "doc_values", "words": "doc_words"})
     sides = held.join(own, "doc_id").join(values(asked, "item_id"), "item_id")
-    slots = sides.select("doc_id", "item_id", "doc_values", "values", "words", F.explode("places").alias("p")).select(
-        "doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "p", "doc_values", "values", "words"
+    slots = sides.select("doc_id", "item_id", "shift", "doc_values", "values", "words", F.explode("places").alias("p")).select(
+        "doc_id", "item_id", "shift", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "p", "doc_values", "values", "words"
     )
     pairs = slots.where(_slots(F.get("words", F.col("p.item_at") + F.col("k")))).select(
-        "doc_id", "item_id", F.get("values", F.col("p.item_at") + F.col("k")).alias("asked"), F.get("doc_values", F.col("p.at") + F.col("k")).alias("found")
+        "doc_id", "item_id", "shift", F.get("values", F.col("p.item_at") + F.col("k")).alias("asked"), F.get("doc_values", F.col("p.at") + F.col("k")).alias("found")
     ).distinct()
-    judged = pairs.groupBy("doc_id", "item_id").agg(
+    judged = pairs.groupBy("doc_id", "item_id", "shift").agg(
         (F.count("*") == F.countDistinct("asked")).alias("one_found"), (F.count("*") == F.countDistinct("found")).alias("one_asked"), F.bool_and(F.col("asked").eqNullSafe(F.col("found"))).alias("equal")
-    )
-    out = held.join(judged, ["doc_id", "item_id"], "left").where("one_found is null or equal or (one_found and one_asked)")
+    ).withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
+    same = (F.col("doc_id") == F.col("d")) & (F.col("item_id") == F.col("i")) & F.col("shift").eqNullSafe(F.col("s"))
+    held = held.join(judged, same, "left").where("one_found is null or equal or (one_found and one_asked)")
+    out = held.groupBy("doc_id", "item_id", "windows").agg(F.max("matched").alias("matched"), F.max(F.coalesce("equal", F.lit(True))).alias("equal"))
     return out.select(
-        "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.when(F.coalesce("equal", F.lit(True)), "exact").otherwise("reparameterised").alias("kind")
+        "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.when(F.col("equal"), "exact").otherwise("reparameterised").alias("kind")
     )
 
 

@@ -92,6 +92,18 @@ def test_decontamination_of_new_values(spark, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_of_repeated_templates(spark):
+    """A template that stands twice in the item, or twice in the document with other values."""
+    twice = "Alice bought 12 apples and 7 pears for 19 dollars. Later Bob bought 3 apples and 9 pears for 4 dollars."
+    ask = "In March Alice bought 12 apples and 7 pears for 19 dollars, so how many did Alice eat in 12 days?"
+    one = "In March Bob bought 15 apples and 9 pears for 20 dollars, so how many did Bob eat in 15 days?"
+    stray = "In March Carl bought 1 apples and 2 pears for 3 dollars, so what? "
+    bench = spark.createDataFrame([(1, twice), (2, ask)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, twice), (2, f"{one} {ask}"), (3, stray + one)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, "exact"), (2, 2, "exact"), (3, 2, "reparameterised")}
+
+
 # ---- 2
 
 
