@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps its
 template. Hashed windows of template words are joined with those of the benchmark; the values in the slots of aligned
-windows must then agree: each value of the item stands for one value of the document, and the other way round. Every
-alignment of an item with a document is judged by itself.
+windows must then agree: each name of the item stands for one name of the document, and the other way round; numbers and
+units agree by place and type, as new values may be equal by chance. Every alignment of an item with a document is judged
+by itself.
 """
 
 from __future__ import annotations
@@ -93,10 +94,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item_id", "shift", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "p", "doc_values", "values", "words"
     )
     pairs = slots.where(_slots(F.get("words", F.col("p.item_at") + F.col("k")))).select(
-        "doc_id", "item_id", "shift", F.get("values", F.col("p.item_at") + F.col("k")).alias("asked"), F.get("doc_values", F.col("p.at") + F.col("k")).alias("found")
+        "doc_id", "item_id", "shift", (F.get("words", F.col("p.item_at") + F.col("k")) == NAME).alias("named"), F.get("values", F.col("p.item_at") + F.col("k")).alias("asked"), F.get("doc_values", F.col("p.at") + F.col("k")).alias("found")
     ).distinct()
     judged = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        (F.count("*") == F.countDistinct("asked")).alias("one_found"), (F.count("*") == F.countDistinct("found")).alias("one_asked"), F.bool_and(F.col("asked").eqNullSafe(F.col("found"))).alias("equal")
+        *((F.countDistinct(F.when(F.col("named"), F.struct("asked", "found"))) == F.countDistinct(F.when(F.col("named"), F.col(side)))).alias(name) for side, name in (("asked", "one_found"), ("found", "one_asked"))), F.bool_and(F.col("asked").eqNullSafe(F.col("found"))).alias("equal")
     ).withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
     same = (F.col("doc_id") == F.col("d")) & (F.col("item_id") == F.col("i")) & F.col("shift").eqNullSafe(F.col("s"))
     held = held.join(judged, same, "left").where("one_found is null or equal or (one_found and one_asked)")

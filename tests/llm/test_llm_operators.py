@@ -104,6 +104,14 @@ def test_decontamination_of_repeated_templates(spark):
     assert got == {(1, 1, "exact"), (2, 2, "exact"), (3, 2, "reparameterised")}
 
 
+def test_decontamination_of_numbers_equal_by_chance(spark):
+    ask = "In March Alice bought {} apples and {} pears at the old market in town before Carl came"
+    bench = spark.createDataFrame([(1, ask.format(12, 7)), (2, ask.replace("market", "harbour").format(3, 3))], "item_id long, text string")
+    rows = [(1, ask.format(9, 9)), (2, ask.replace("market", "harbour").format(4, 5)), (3, ask.replace("Carl", "Alice").format(9, 9))]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("item_id = doc_id or doc_id = 3").collect()}
+    assert got == {(1, 1, "reparameterised"), (2, 2, "reparameterised")}
+
+
 # ---- 2
 
 
