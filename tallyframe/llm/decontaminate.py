@@ -78,10 +78,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = cut(benchmark_windows(benchmark))
     hits = _windows(slim.select("doc_id", F.split(template(F.col("text")), " ").alias("words")), "doc_id").join(bounded(wanted, BROADCAST_ROWS), "window")
     # readings: every alignment of the item with the document; and the first place of each window, for items with words put between
-    places = hits.select("doc_id", "item_id", "windows", "item_at", "at").distinct()
-    aligned = places.withColumn("shift", F.col("at") - F.col("item_at"))
-    first = places.groupBy("doc_id", "item_id", "windows", "item_at").agg(F.min("at").alias("at")).withColumn("shift", F.lit(None).cast("int"))
-    placed = aligned.unionByName(first)
+    places = hits.groupBy("doc_id", "item_id", "windows", "item_at").agg(F.collect_set("at").alias("all_at"))
+    shifted = F.transform("all_at", lambda at: F.struct(at.alias("at"), (at - F.col("item_at")).alias("shift")))
+    first = F.array(F.struct(F.array_min("all_at").alias("at"), F.lit(None).cast("int").alias("shift")))
+    placed = places.select("doc_id", "item_id", "windows", "item_at", F.inline(F.concat(shifted, first)))
     held = placed.groupBy("doc_id", "item_id", "windows", "shift").agg(F.count("*").alias("matched"), F.collect_list(F.struct("item_at", "at")).alias("places"))
     held = cut(held.where((F.col("matched") >= F.col("windows") * COVERAGE) | (F.col("matched") >= LONG_RUN)))
 
