@@ -29,22 +29,43 @@ _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master; on a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder; what only the old lineage needed may go."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder. free: shuffle files that only the old lineage needed go now, and not at some time."""
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
     del df
-    release(out.sparkSession)
+    if free:
+        release(out.sparkSession)
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows of a batch between the JVM and a worker, where rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's batches to workers have BATCH_ROWS rows, if nobody has chosen a number: 10,000 texts are tens of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any longer."""
     gc.collect()
@@ -60,6 +81,18 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(run):
+    """A function of a group's table that gives its memory back when it is through."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return inner
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,14 +142,14 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPAC
     return low, starts, lengths, docs
 
 
-def hash_spans(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the padded bytes, eight bytes at a time."""
+def hash_spans(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: np.uint64 = _K) -> np.ndarray:
+    """A 64-bit hash of each span of the padded bytes, eight bytes at a time; another odd k gives another hash."""
     eights = np.lib.stride_tricks.as_strided(low[:8].view(np.uint64), shape=(max(len(low) - 7, 1),), strides=(1,))
-    h = mix64((eights[starts] & _MASKS[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _K)
+    h = mix64((eights[starts] & _MASKS[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * k)
     rest, at = np.flatnonzero(lengths > 8), 8
     while len(rest) and at < LONG_WORD:
         left = lengths[rest] - at
-        h[rest] = mix64(h[rest] * _K + (eights[starts[rest] + at] & _MASKS[np.minimum(left, 8)]))
+        h[rest] = mix64(h[rest] * k + (eights[starts[rest] + at] & _MASKS[np.minimum(left, 8)]))
         at += 8
         rest = rest[left > 8]
     for i in rest:

@@ -1,85 +1,108 @@
 """Token-ID output: a wavelet matrix per shard.
 
 Texts become token ids with an end id after each document. A shard holds the ids of consecutive documents as bit-planes
-with rank directories, in one compressed file, from which single tokens can be read, counted and found without
-decoding the rest. Spark sorts documents into ranges of ids, encodes each range in its task and writes a file a shard.
+in one file. Each plane is cut into blocks, which are compressed one by one behind a directory of their places and of the
+ones before them, so that a token is read, counted or found by inflating a block or two a plane and nothing else. Spark
+sorts documents into ranges of ids, encodes each range in its task and writes a file a shard; it looks tokens up by
+sending queries to shards.
 """
 
 from __future__ import annotations
 
-import gc
 import zlib
-from array import array
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import islice
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import give_back, shared_dir
+from tallyframe.llm.common import _K, give_back, hash_spans, mix64, shared_dir, small_batches, text_buffers
 
 #: Tokens after which a shard is closed; a document is never cut, so one with more has a shard for itself.
 SHARD_TOKENS = 2_000_000
-#: Bits of a rank directory's block.
-BLOCK_BITS = 512
-#: Pieces of text whose ids a worker remembers; later ones are encoded each time.
-REMEMBERED = 800_000
+#: Bytes of a plane's block before compression.
+BLOCK_BYTES = 4096
+#: Bytes of text that a task encodes at once, bytes that a worker may remember pieces' ids in, and the longest piece remembered.
+SLICE, REMEMBERED, LONGEST = 3_000_000, 16 << 20, 64
+#: Pieces that the library encodes in one text.
+JOINED = 256
 END_ID = 0
 #: A part between spaces that is empty or has white space, of any script, at an end.
 ODD = r"^[\s\pZ\x{85}\x0b\x1c-\x1f]|[\s\pZ\x{85}\x0b\x1c-\x1f]$|^$"
 #: Stands for a null id in shards.
 NO_ID = -(2**63)
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 
 
 # ---- the structure
 
 
-@dataclass
+def encode_matrix(ids: np.ndarray) -> bytes:
+    """ids as a file: the number of ids and of planes, each plane's zeros, the blocks' directory, and the blocks."""
+    rest = ids.astype(np.uint32 if len(ids) and int(ids.max()) > 0xFFFF else np.uint16)
+    levels = max(1, int(ids.max()).bit_length() if len(ids) else 1)
+    zeros, ones_before, sizes, blocks = [], [], [], []
+    pack = zstandard.ZstdCompressor(level=1)
+    for bit in range(levels - 1, -1, -1):
+        ones = (rest & rest.dtype.type(1 << bit)) != 0
+        plane = np.packbits(ones, bitorder="little")
+        starts = range(0, len(plane), BLOCK_BYTES)
+        counts = np.add.reduceat(np.bitwise_count(plane), list(starts), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
+        ones_before.append(np.concatenate([[0], np.cumsum(counts)]))
+        for a in starts:
+            blocks.append(pack.compress(plane[a : a + BLOCK_BYTES].tobytes()))
+            sizes.append(len(blocks[-1]))
+        zeros.append(len(rest) - int(ones_before[-1][-1]))
+        rest = np.concatenate([rest[~ones], rest[ones]])
+    directory = np.concatenate([[len(ids), levels], zeros, *ones_before, np.cumsum([0, *sizes])]).astype("<i8")
+    return MAGIC + directory.tobytes() + b"".join(blocks)
+
+
 class WaveletMatrix:
-    """Bit-planes of a sequence of ids, most significant bit first; each plane is ordered stably by the bits above it."""
+    """Bit-planes of a sequence of ids, most significant bit first; each plane is ordered stably by the bits above it.
+
+    Blocks stay compressed until something asks for them.
+    """
 
-    n: int
-    planes: list[np.ndarray]
-    zeros: list[int]
-    ranks: list[np.ndarray] = field(default_factory=list)
+    def __init__(self, blob: bytes):
+        if blob[:4] != MAGIC:
+            raise ValueError("not a shard of this format")
+        self.blob = memoryview(blob)
+        self.n, levels = (int(x) for x in np.frombuffer(blob, "<i8", 2, 4))
+        self.zeros = np.frombuffer(blob, "<i8", levels, 20).tolist()
+        self.blocks = -(-self.n // (8 * BLOCK_BYTES))
+        at = 20 + 8 * levels
+        self.ones_before = np.frombuffer(blob, "<i8", levels * (self.blocks + 1), at).reshape(levels, -1)
+        at += self.ones_before.nbytes
+        self.places = np.frombuffer(blob, "<i8", levels * self.blocks + 1, at)
+        self.body = at + self.places.nbytes
+        self.inflate = zstandard.ZstdDecompressor()
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        rest = ids.astype(np.uint32 if len(ids) and int(ids.max()) > 0xFFFF else np.uint16)
-        planes, zeros = [], []
-        for bit in range(max(1, int(ids.max()).bit_length() if len(ids) else 1) - 1, -1, -1):
-            ones = (rest & rest.dtype.type(1 << bit)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
-            low = np.flatnonzero(~ones)
-            zeros.append(len(low))
-            rest = rest.take(np.concatenate([low, np.flatnonzero(ones)]))
-        return cls(len(ids), planes, zeros)._index()
-
-    def _index(self) -> WaveletMatrix:
-        """Ones before each block, for rank."""
-        self.ranks = []
-        for plane in self.planes:
-            padded = np.zeros(-(-self.n // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
-            padded[: len(plane)] = plane
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64))]))
-        return self
-
-    def _ones(self, level: int, at: int) -> int:
-        """Ones among the first at bits of a plane."""
-        block = at // BLOCK_BITS
-        count, plane = int(self.ranks[level][block]), self.planes[level]
-        full, left = at // 8, at % 8
-        count += int(np.bitwise_count(plane[block * (BLOCK_BITS // 8) : full]).sum())
-        return count + (int(plane[full]) & ((1 << left) - 1)).bit_count() if left else count
-
-    def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at // 8]) >> (at % 8) & 1
+        return cls(encode_matrix(ids))
+
+    def block(self, level: int, number: int) -> np.ndarray:
+        at = level * self.blocks + number
+        return np.frombuffer(self.inflate.decompress(self.blob[self.body + int(self.places[at]) : self.body + int(self.places[at + 1])]), np.uint8)
+
+    def _is_one(self, value: int, level: int) -> int:
+        return value >> (len(self.zeros) - 1 - level) & 1
+
+    def _ones(self, level: int, at: int) -> tuple[int, int]:
+        """Ones among the first at bits of a plane, and the bit after them."""
+        number, left = divmod(at, 8 * BLOCK_BYTES)
+        count = int(self.ones_before[level, number])
+        if number == self.blocks:
+            return count, 0
+        plane = self.block(level, number)
+        full, bits = divmod(left, 8)
+        count += int(np.bitwise_count(plane[:full]).sum())
+        last = int(plane[full]) if full < len(plane) else 0
+        return count + (last & ((1 << bits) - 1)).bit_count(), last >> bits & 1
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -87,81 +110,131 @@ class WaveletMatrix:
             raise IndexError(at)
         value = 0
         for level, zeros in enumerate(self.zeros):
-            bit, ones = self._bit(level, at), self._ones(level, at)
+            ones, bit = self._ones(level, at)
             value = value << 1 | bit
             at = zeros + ones if bit else at - ones
         return value
 
-    def rank(self, value: int, at: int) -> int:
-        """How often an id stands among the first at ids."""
-        if value < 0 or value >> len(self.planes):
-            return 0
+    def _range(self, value: int, at: int) -> tuple[int, int]:
+        """Where the occurrences of an id among the first at ids stand in the order after the last plane."""
+        if value < 0 or value >> len(self.zeros):
+            return 0, 0
         start = 0
         for level, zeros in enumerate(self.zeros):
-            a, b = self._ones(level, start), self._ones(level, at)
-            start, at = (zeros + a, zeros + b) if value >> (len(self.planes) - 1 - level) & 1 else (start - a, at - b)
-        return at - start
+            a, b = self._ones(level, start)[0], self._ones(level, at)[0]
+            start, at = (zeros + a, zeros + b) if self._is_one(value, level) else (start - a, at - b)
+            if start == at:
+                return 0, 0
+        return start, at
+
+    def rank(self, value: int, at: int) -> int:
+        """How often an id stands among the first at ids."""
+        start, end = self._range(value, at)
+        return end - start
 
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
     def select(self, value: int, k: int) -> int:
         """The position of an id's k-th occurrence, from 0."""
-        if not 0 <= k < self.count(value):
+        start, end = self._range(value, self.n)
+        if not 0 <= k < end - start:
             raise IndexError(k)
-        start = 0
-        for level, zeros in enumerate(self.zeros):
-            a = self._ones(level, start)
-            start = zeros + a if value >> (len(self.planes) - 1 - level) & 1 else start - a
-        at = start + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            zeros = self.zeros[level]
-            at = self._select_bit(level, 1, at - zeros) if value >> (len(self.planes) - 1 - level) & 1 else self._select_bit(level, 0, at)
+        return int(self._up(value, np.array([start + k]))[0])
+
+    def occurrences(self, value: int) -> np.ndarray:
+        """All positions of an id, ascending."""
+        return self._up(value, np.arange(*self._range(value, self.n)))
+
+    def _up(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Places in the order after the last plane as places in the sequence."""
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bit = self._is_one(value, level)
+            at = self._select_bits(level, bit, at - self.zeros[level] if bit else at)
         return at
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        ranks = self.ranks[level]
-        counts = ranks if bit else np.arange(len(ranks)) * BLOCK_BITS - ranks
-        block = int(np.searchsorted(counts, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * (BLOCK_BITS // 8) : (block + 1) * (BLOCK_BITS // 8)], bitorder="little")
-        return block * BLOCK_BITS + int(np.flatnonzero(part == bit)[k - int(counts[block])])
+    def _select_bits(self, level: int, bit: int, wanted: np.ndarray) -> np.ndarray:
+        """The places in a plane of its wanted-th ones, or zeros; wanted ascends."""
+        ones = self.ones_before[level]
+        counts = ones if bit else np.arange(self.blocks + 1) * 8 * BLOCK_BYTES - ones
+        number = np.searchsorted(counts, wanted, side="right") - 1
+        out = np.empty_like(wanted)
+        edges = np.flatnonzero(np.diff(number, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(wanted)], strict=False):
+            own = int(number[a])
+            held = np.flatnonzero(np.unpackbits(self.block(level, own), bitorder="little") == bit)
+            out[a:b] = own * 8 * BLOCK_BYTES + held[wanted[a:b] - counts[own]]
+        return out
 
     def decode(self) -> np.ndarray:
         """All ids: the stable orders of the planes undone from the last to the first."""
-        values = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
-        for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        values = np.zeros(self.n, np.uint32 if len(self.zeros) > 16 else np.uint16)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            if not self.n:
+                break
+            plane = np.concatenate([self.block(level, k) for k in range(self.blocks)])
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             out = np.empty_like(values)
-            out[np.flatnonzero(~ones)] = values[: self.zeros[level]]
-            out[np.flatnonzero(ones)] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.planes) - 1 - level))
+            out[~ones] = values[: self.zeros[level]]
+            out[ones] = values[self.zeros[level] :] | values.dtype.type(1 << (len(self.zeros) - 1 - level))
             values = out
         return values
 
-    def to_bytes(self) -> bytes:
-        head = np.array([self.n, len(self.planes), *self.zeros], np.int64).tobytes()
-        return MAGIC + zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in self.planes))
 
-    @classmethod
-    def from_bytes(cls, blob: bytes, index: bool = True) -> WaveletMatrix:
-        if blob[:4] != MAGIC:
-            raise ValueError("not a shard of this format")
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
-        n, levels = (int(x) for x in raw[:16].view(np.int64))
-        zeros = [int(x) for x in raw[16 : 16 + 8 * levels].view(np.int64)]
-        width, at = -(-n // 8), 16 + 8 * levels
-        out = cls(n, [raw[at + i * width : at + (i + 1) * width] for i in range(levels)], zeros)
-        return out._index() if index else out
+# ---- text to ids
 
 
-# ---- text to ids
+class Memory:
+    """The ids of pieces seen before, under two hashes of the piece, in arrays of bounded size."""
+
+    def __init__(self):
+        self.h1, self.h2, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Each piece's place here, or -1."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """New pieces; what is over the bound isn't taken."""
+        room = REMEMBERED - sum(x.nbytes for x in (self.h1, self.h2, self.start, self.size, self.ids))
+        fit = int(np.searchsorted(np.cumsum(24 + 4 * size), room))
+        if fit:
+            first = len(self.ids)
+            self.ids = np.concatenate([self.ids, ids[: int(size[:fit].sum())]])
+            starts = first + np.cumsum(size[:fit]) - size[:fit]
+            h = np.concatenate([self.h1, h1[:fit]])
+            order = np.argsort(h, kind="stable")
+            self.h1 = h[order]
+            for name, new in (("h2", h2[:fit]), ("start", starts), ("size", size[:fit])):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, new.astype(old.dtype)])[order])
+
+
+def _keys(words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = text_buffers(words)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    flag, lengths = np.uint64(spaced), np.diff(offsets)
+    return mix64(hash_spans(padded, offsets[:-1], lengths) + flag), mix64(hash_spans(padded, offsets[:-1], lengths, _K ^ np.uint64(0x5DEECE66C)) + flag)
+
+
+def gather(start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """The spans of pool one after the other."""
+    ends = np.cumsum(size)
+    places = np.repeat(start - (ends - size), size)
+    places += np.arange(len(places))
+    return pool[places]
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each different piece of text once.
+    """Ids of texts by the tokenizers library, which sees each different piece of a slice of texts once.
 
     A text is cut before a space between two other characters. A byte-level pre-tokenizer always parts there, with the
     space at the head of what follows, so the ids of the pieces are those of the text. For the same reason a piece may
-    be cut around a single line feed, and between letters and a run of plain punctuation that ends it.
+    be cut around a single line feed, and between letters and a run of plain punctuation that ends it; and pieces can be
+    encoded together with a line feed between them. Another kind of tokenizer is refused.
     """
 
     #: Punctuation that ends a piece; without the apostrophe, which can begin an ending of its own.
@@ -169,21 +242,27 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: ids of pieces with a space before them, and without
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.tokenizer = made = Tokenizer.from_file(path)
+        before = made.pre_tokenizer
+        feed = made.encode("\n", add_special_tokens=False).ids
+        plain = made.normalizer is None and made.truncation is None and made.padding is None and len(feed) == 1
+        if not plain or not isinstance(before, ByteLevel) or not before.use_regex or before.add_prefix_space:
+            raise ValueError(f"{path}: texts can be cut for a plain byte-level tokenizer only")
+        self.feed = feed[0]
+        self.known = Memory()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """The encoder of this process, so that a task finds what earlier tasks of a worker have seen."""
+        """The encoder of this process, so that a task finds what earlier tasks of a worker have seen; its memory is bounded."""
         import sys
         import types
 
         memory = vars(sys.modules.setdefault("tallyframe_task_memory", types.ModuleType("tallyframe_task_memory")))
-        if path not in memory:
-            memory[path] = cls(path)
-        return memory[path]
+        if memory.get("path") != path:
+            memory.update(path=path, encoder=cls(path))
+        return memory["encoder"]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -200,6 +279,8 @@ class Encoder:
 
     def _parts(self, word: str, spaced: bool) -> list[tuple[str, bool]]:
         """A word as pieces (text, whether a space goes before)."""
+        if word[-1:].isalpha() and "\n" not in word:
+            return [(word, spaced)]
         lines = word.split("\n") if "\n" in word and not any(c.isspace() for c in word.replace("\n", "")) and "\n\n" not in word else [word]
         out = []
         for i, line in enumerate(lines):
@@ -210,68 +291,106 @@ class Encoder:
             out += [(stem, spaced and not i), (line[len(stem) :], False)] if cut else [(line, spaced and not i)]
         return out
 
-    def resolve(self, words: list[str], spaced: bool) -> list[bytes]:
-        """The ids, as bytes, of each word with or without a space before it."""
-        known = self.known[not spaced]
-        whole: set[str] = set()
-        split: dict[str, list[tuple[str, bool]]] = {}
-        for w in words:
-            if w not in known:
-                if w[-1:].isalpha() and "\n" not in w:
-                    whole.add(w)
-                else:
-                    split[w] = self._parts(w, spaced)
-        fresh: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        for space in (True, False):
-            have = self.known[not space]
-            asked = {p for parts in split.values() for p, s in parts if s == space and p not in have}
-            new = list(asked | whole if space == spaced else asked)
-            coded = self.tokenizer.encode_batch_fast([" " + p for p in new] if space else new, add_special_tokens=False)
-            found = {p: array("I", e.ids).tobytes() for p, e in zip(new, coded, strict=True)}
-            have.update(islice(found.items(), max(0, REMEMBERED - len(have))))
-            fresh[not space].update(found)
-        get = lambda p, s: self.known[not s].get(p) or fresh[not s].get(p, b"")
-        late = fresh[not spaced]
-        for w, parts in split.items():
-            late[w] = b"".join([get(p, s) for p, s in parts])
-        known.update((w, late[w]) for w in islice(split, max(0, REMEMBERED - len(known))))
-        return [known.get(w) or late.get(w, b"") for w in words]
+    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids), from the library."""
+        single = [i for i, p in enumerate(pieces) if not p or any(c.isspace() for c in p.removeprefix(" "))]
+        alone, chunk = set(single), []
+        order = [i for i in range(len(pieces)) if i not in alone]
+        for a in range(0, len(order), JOINED):
+            chunk.append("\n".join([pieces[i] for i in order[a : a + JOINED]]) + "\n")
+        sizes, found = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)]
+        if chunk:
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False)])
+            feeds = np.flatnonzero(ids == self.feed)
+            sizes[order] = np.diff(feeds, prepend=-1) - 1
+            found.append(np.delete(ids, feeds))
+        for e, i in zip(self.tokenizer.encode_batch_fast([pieces[i] for i in single], add_special_tokens=False), single, strict=True):
+            sizes[i] = len(e.ids)
+            found.append(np.array(e.ids, np.uint32))
+        came = np.array([*order, *single], np.int64)
+        starts = np.zeros(len(pieces), np.int64)
+        starts[came] = np.cumsum(sizes[came]) - sizes[came]
+        return sizes, gather(starts, sizes, np.concatenate(found))
+
+    def _looked_up(self, words: pa.Array, spaced: bool, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, pool) of each of the different words: from memory, and what it lacks from make(words), which it then learns."""
+        h1, h2 = _keys(words, spaced)
+        at = self.known.find(h1, h2)
+        new = np.flatnonzero(at < 0)
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        held = at >= 0
+        start[held], size[held] = self.known.start[at[held]], self.known.size[at[held]]
+        pool = self.known.ids
+        if len(new):
+            sizes, ids = make(words.take(pa.array(new)).to_pylist())
+            start[new], size[new] = len(pool) + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool, ids])
+            short = pc.binary_length(words).to_numpy(zero_copy_only=False)[new] <= LONGEST
+            self.known.add(h1[new][short], h2[new][short], sizes[short], ids[np.repeat(short, sizes)])
+        return start, size, pool
+
+    def resolve(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, pool): the span of ids of each of the different words, with or without a space before it."""
+
+        def make(missing: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            numbers: tuple[dict[str, int], dict[str, int]] = ({}, {})
+            used, counts = [], []
+            for word in missing:
+                parts = self._parts(word, spaced)
+                counts.append(len(parts))
+                used += [(s, numbers[s].setdefault(p, len(numbers[s]))) for p, s in parts]
+            flags, index = (np.array(x, np.int64) for x in zip(*used, strict=True))
+            start, size, pools, base = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64), [], 0
+            for space in (0, 1):
+                if numbers[space]:
+                    each = lambda ps, s=space: self._fresh([" " + p for p in ps] if s else ps)
+                    a, n, pool = self._looked_up(pa.array(list(numbers[space]), pa.string()), bool(space), each)
+                    own = flags == space
+                    start[own], size[own] = base + a[index[own]], n[index[own]]
+                    pools.append(pool)
+                    base += len(pool)
+            first = np.cumsum(counts) - counts
+            return np.add.reduceat(size, first), gather(start, size, np.concatenate(pools))
+
+        return self._looked_up(words, spaced, make)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of a string column without nulls."""
+        if not len(column):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lists = pc.split_pattern(column, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        index = coded.indices.to_numpy().astype(np.int64)
         odd = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
-        strange = np.flatnonzero(np.add.reduceat(odd[index], offsets[:-1]) > 0) if len(index) else np.zeros(0, np.int64)
-        table = self.resolve(words, True)
-        # the first word of each text has no space before it
-        table += self.resolve([words[i] for i in index[offsets[:-1]]], False)
-        index[offsets[:-1]] = len(words) + np.arange(len(column))
-        for row in strange.tolist():
-            text = column[row].as_py()
-            ids = b"".join(self.resolve([p for p in self.pieces(text)], False)) if text else b""
-            index[offsets[row] : offsets[row + 1]] = -1
-            index[offsets[row]] = len(table)
-            table.append(ids)
-        table.append(b"")  # what -1 means
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), np.uint32)
-        own = sizes[index]
-        ends = np.cumsum(own)
-        places = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - own), own)
-        places += np.arange(len(places))
-        before = np.concatenate([[0], ends])
-        return flat[places], before[offsets[1:]] - before[offsets[:-1]]
+        strange = np.add.reduceat(odd[index], offsets[:-1]) > 0
+        # of each text the first word has no space before it; texts with odd white space are cut by pieces()
+        own = [self.pieces(t) if s else None for s, t in zip(strange.tolist(), column.to_pylist() if strange.any() else [None] * len(column), strict=True)]
+        heads = pa.array([p for ps in own if ps for p in ps], pa.string())
+        ordinary = np.repeat(~strange, np.diff(offsets))
+        begins = np.zeros(len(index), bool)
+        begins[offsets[:-1]] = True
+        firsts = pa.concat_arrays([coded.dictionary.take(pa.array(index[begins & ordinary])), heads]).dictionary_encode()
+        a, n, pool = self.resolve(coded.dictionary, True)
+        a2, n2, pool2 = self.resolve(firsts.dictionary, False)
+        start, size, pool = np.concatenate([a, a2 + len(pool)]), np.concatenate([n, n2]), np.concatenate([pool, pool2])
+        index[begins & ordinary] = len(a) + firsts.indices.to_numpy()[: int((~strange).sum())]
+        if strange.any():
+            pieces = iter((len(a) + firsts.indices.to_numpy()[int((~strange).sum()) :]).tolist())
+            rows = [[next(pieces) for _ in ps] if ps else index[offsets[i] : offsets[i + 1]] for i, ps in enumerate(own)]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            index = np.concatenate([np.asarray(r, np.int64) for r in rows])
+        each = size[index]
+        before = np.concatenate([[0], np.cumsum(each)])
+        return gather(start[index], each, pool), before[offsets[1:]] - before[offsets[:-1]]
 
 
 def _sharded(path: str, shard_tokens: int):
     names = ["first_id", "doc_ids", "lengths", "n_docs", "n_tokens", "matrix"]
 
     def row(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        cols = [[int(keys[0])], [keys.tobytes()], [lengths.tobytes()], [len(keys)], [len(ids)], [WaveletMatrix.build(ids).to_bytes()]]
+        cols = [[int(keys[0])], [keys.tobytes()], [lengths.tobytes()], [len(keys)], [len(ids)], [encode_matrix(ids)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,27 +398,40 @@ def _sharded(path: str, shard_tokens: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(path)
-        gc.disable()  # words and ids by the million are no cycles to look for
         keys, lengths, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        for batch in batches:
-            for part in _slices(batch, 6_000_000):
-                own, sizes = encoder.encode(part.column(1))
-                keys = np.concatenate([keys, pc.fill_null(part.column(0), NO_ID).to_numpy()])
-                lengths = np.concatenate([lengths, sizes + 1])
-                ids = np.concatenate([ids, np.insert(own, np.cumsum(sizes), END_ID).astype(np.uint32)])
-                while len(ids) > shard_tokens and len(keys) > 1:
-                    n = max(1, int(np.searchsorted(np.cumsum(lengths), shard_tokens, side="right")))
-                    at = int(lengths[:n].sum())
-                    yield row(keys[:n], lengths[:n], ids[:at])
-                    keys, lengths, ids = keys[n:], lengths[n:], ids[at:]
-        if len(keys):
-            yield row(keys, lengths, ids)
-        gc.enable()
-        give_back()
+        try:
+            for batch in _gathered(batches, SLICE):
+                for part in _slices(batch, SLICE):
+                    own, sizes = encoder.encode(part.column(1))
+                    keys = np.concatenate([keys, pc.fill_null(part.column(0), NO_ID).to_numpy()])
+                    lengths = np.concatenate([lengths, sizes + 1])
+                    ids = np.concatenate([ids, np.insert(own, np.cumsum(sizes), END_ID)])
+                    while len(ids) > shard_tokens and len(keys) > 1:
+                        n = max(1, int(np.searchsorted(np.cumsum(lengths), shard_tokens, side="right")))
+                        at = int(lengths[:n].sum())
+                        yield row(keys[:n], lengths[:n], ids[:at])
+                        keys, lengths, ids = keys[n:], lengths[n:], ids[at:]
+            if len(keys):
+                yield row(keys, lengths, ids)
+        finally:
+            batch = part = own = sizes = keys = lengths = ids = None
+            give_back()
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have size bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about size bytes of text."""
     ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -313,10 +445,12 @@ def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write docs' ids below path, one file for each shard, in ascending doc_id order over all shards.
 
-    A null or empty text has the end id alone. Null ids come first, in one more order-free group; rows that share an id
-    stand next to each other, ordered by text. Other columns are ignored.
+    tokenizer is a file of a plain byte-level tokenizer; any other raises. A null or empty text has the end id alone.
+    Null ids come first; rows that share an id stand next to each other, ordered by text. A text of any length is
+    encoded whole and stands in one shard. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = slim.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -325,14 +459,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard files below path: (shard, first_id, doc_ids, lengths, n_docs, n_tokens, matrix); shard numbers follow the order of ids."""
-    return spark.read.parquet(path)
+    """The shard files below path: (file, start, first_id, doc_ids, lengths, n_docs, n_tokens, matrix); start counts the ids of all shards before."""
+    shards = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    # a row a shard, that is, one for millions of tokens
+    place = F.sum("n_tokens").over(Window.orderBy(F.col("first_id"), F.col("file")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = shards.select("file", "first_id", "n_tokens").select("file", F.coalesce(place, F.lit(0)).cast("long").alias("start"))
+    return shards.join(starts, "file")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, keys, lengths, blob in zip(*(batch.column(k).to_pylist() for k in ("start", "doc_ids", "lengths", "matrix")), strict=True):
-            ids = WaveletMatrix.from_bytes(blob, index=False).decode().astype("<u4")
+            ids = WaveletMatrix(blob).decode().astype("<u4")
             sizes = np.frombuffer(lengths, np.int64)
             ends = np.cumsum(sizes)
             known = np.frombuffer(keys, np.int64)
@@ -341,17 +479,66 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known, mask=known == NO_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
+    give_back()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the shard files below path."""
-    from pyspark.sql import Window
+    return read_shards(spark, path).select("start", "doc_ids", "lengths", "matrix").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-    shards = read_shards(spark, path).withColumn("file", F.input_file_name())
-    # a row a shard, that is, one for millions of tokens
-    place = F.sum("n_tokens").over(Window.orderBy(F.col("first_id"), F.col("file")).rowsBetween(Window.unboundedPreceding, -1))
-    starts = shards.select("file", "first_id", "n_tokens").select("file", F.coalesce(place, F.lit(0)).cast("long").alias("start"))
-    return shards.join(starts, "file").select("start", "doc_ids", "lengths", "matrix").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def _per_shard(answer, schema: pa.Schema):
+    """answer(matrix, start) gives columns of schema for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, blob in zip(batch.column("start").to_pylist(), batch.column("matrix").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(answer(WaveletMatrix(blob), start), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: Iterable[int]) -> DataFrame:
+    """(token, n): how often each of the given tokens stands in the shards below path; zeros too. Repeated tokens count once."""
+    asked = sorted(set(tokens))
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+    found = read_shards(spark, path).select("start", "matrix").mapInArrow(_per_shard(lambda m, _: (asked, [m.count(t) for t in asked]), schema), "token long, n long")
+    every = spark.createDataFrame([(t,) for t in asked], "token long")
+    return every.join(found.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def find_tokens(spark: SparkSession, path: str, tokens: Iterable[int]) -> DataFrame:
+    """(token, position): every occurrence of the given tokens in the shards below path, counted over all shards from 0."""
+    asked = sorted(set(tokens))
+    schema = pa.schema([("token", pa.int64()), ("position", pa.int64())])
+
+    def answer(m: WaveletMatrix, start: int):
+        places = [m.occurrences(t) for t in asked]
+        return np.repeat(np.array(asked, np.int64), [len(p) for p in places]), start + np.concatenate(places) if places else []
+
+    return read_shards(spark, path).select("start", "matrix").mapInArrow(_per_shard(answer, schema), "token long, position long")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token) of each row of positions (position) within the shards below path; others, and nulls, give nothing.
+
+    Positions meet their shard by equality of ranges of SHARD_TOKENS ids, and go to it in sorted lists.
+    """
+    shards = read_shards(spark, path)
+    spans = shards.select("file", "start", "n_tokens", F.explode(F.sequence(F.floor(F.col("start") / SHARD_TOKENS), F.floor((F.col("start") + F.col("n_tokens") - 1) / SHARD_TOKENS))).alias("range"))
+    wanted = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").withColumn("range", F.floor(F.col("position") / SHARD_TOKENS))
+    inside = wanted.join(spans, "range").where("position >= start and position < start + n_tokens")
+    # a shard's queries go to it in lists of bounded size
+    asked = inside.groupBy("file", F.pmod(F.xxhash64("position"), F.lit(64)).alias("part")).agg(F.sort_array(F.collect_list(F.col("position") - F.col("start"))).alias("asked"))
+    met = asked.join(shards.select("file", "start", "matrix"), "file").select("start", "asked", "matrix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, own, blob in zip(*(batch.column(k).to_pylist() for k in ("start", "asked", "matrix")), strict=True):
+                m = WaveletMatrix(blob)
+                yield pa.RecordBatch.from_arrays([pa.array([start + p for p in own], pa.int64()), pa.array([m.access(p) for p in own], pa.int64())], names=["position", "token"])
+
+    return met.mapInArrow(run, "position long, token long")
 
 
 def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
