@@ -2,7 +2,8 @@
 
 A document's terms are its distinct words and their first bytes (three lengths), hashed to a fixed number of slots.
 The machine scores w0 + sum(w_i) + sum over pairs <v_i, v_j>, so that two terms together can weigh more, or less, than
-their sum. It is fitted on a bounded sample of labelled rows; scoring is one pass over the documents without a shuffle.
+their sum. It is fitted on a bounded sample of labelled rows, over the slots that stand in most of them: no slot has to
+tell the classes apart by itself. Scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import give_back, hash_spans, mix64, text_buffers, words_of, _K
+from tallyframe.llm.common import give_back, hash_spans, mix64, small_batches, text_buffers, words_of, _K
 
 #: Slots that terms are hashed to.
 SLOTS = 1 << 20
 #: Labelled rows that a model is fitted on, about; a hash of the id chooses them from all labelled rows.
 SAMPLE_ROWS = 40_000
-#: Slots that a model weighs at most; how clearly (likelihood ratio) one must tell the classes apart, and how often it stands in one
-#: class for once in the other. A large sample tells even common words apart, which say little.
-ACTIVE, CLEARNESS, LIFT = 1024, 20.0, 3.0
-FACTORS, EPOCHS, RATE, DECAY = 4, 200, 0.05, 3e-2
+#: Slots that a fit weighs: those of the most sampled documents, at most ACTIVE, each in SUPPORT documents at least.
+ACTIVE, SUPPORT = 32_768, 10
+#: The fit: factors of a slot, documents of a step, step size, spread of the factors at the start.
+FACTORS, BATCH, RATE, SPREAD = 4, 256, 0.1, 0.05
+#: Two rounds of (epochs, shrinkage of weights, shrinkage of factors): the first brings most slots to zero, by what they do
+#: alone and in pairs; the second fits the others again, shrinking less.
+ROUNDS = ((10, 4e-3, 8e-3), (20, 5e-4, 1e-3))
 PREFIXES = (3, 4, 5)
 _SEPARATORS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
@@ -63,7 +67,7 @@ def _chunks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterat
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least term hash of each text: near copies mostly share it."""
+    """The least hash of five words of each text, 0 for shorter ones: near copies mostly share it."""
     for batch in batches:
         least = np.zeros(batch.num_rows, np.int64)
         for at, _, raw, offsets in _chunks(batch, 2):
@@ -73,22 +77,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 g = h[:-4]
                 for k in range(1, 5):
                     g = mix64(g * _K + h[k : len(h) - 4 + k])
-                own = doc[: len(g)]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                least[at + own[first]] = np.minimum.reduceat(g, first).view(np.int64)
+                inside = doc[:-4] == doc[4:]  # no five words over the end of a text
+                g, own = g[inside], doc[:-4][inside]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                if len(first):
+                    least[at + own[first]] = np.minimum.reduceat(g, first).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], names=["doc_id", "toxic", "sketch"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, SLOTS), np.int64)
+    counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        for at, _, raw, offsets in _chunks(batch, 2):
-            doc, slot = terms(raw, offsets)
-            for c in (0, 1):
-                counts[c] += np.bincount(slot[label[at + doc] == c], minlength=SLOTS)
-    used = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["slot", "clean", "toxic"])
+        for _, _, raw, offsets in _chunks(batch, 2):
+            counts += np.bincount(terms(raw, offsets)[1], minlength=SLOTS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+    give_back()
 
 
 def _places(slots: np.ndarray) -> np.ndarray:
@@ -101,13 +105,14 @@ def _featured(slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = _places(slots)
         for batch in batches:
-            rows: list[np.ndarray] = []
-            for at, to, raw, offsets in _chunks(batch, 2):
+            rows: list[bytes] = []
+            for _, to, raw, offsets in _chunks(batch, 2):
                 doc, slot = terms(raw, offsets)
                 own = place[slot]
-                doc, own = doc[own >= 0], own[own >= 0]
-                rows += np.split(own, np.searchsorted(doc, np.arange(1, to - at)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=["toxic", "own"])
+                doc, own = doc[own >= 0], own[own >= 0].astype(np.uint16)
+                rows += [x.tobytes() for x in np.split(own, np.searchsorted(doc, np.arange(1, len(offsets) - 1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "own"])
+        give_back()
 
     return run
 
@@ -127,29 +132,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(labels: np.ndarray, counts: np.ndarray, own: np.ndarray, slots: np.ndarray) -> Model:
-    """Adam on the balanced logistic loss over all rows, from a fixed start, so that equal samples give equal models."""
-    n, m = len(labels), len(slots)
+    """Proximal AdaGrad on the balanced logistic loss, from a fixed start and in a fixed order, so that equal samples give equal models.
+
+    Document i has counts[i] of the entries of own, which are places in slots.
+    """
     positives = int(labels.sum())
-    if not positives or positives == n:
-        return Model(slots[:0], 9.0 if positives else -9.0, np.zeros(0), np.zeros((0, FACTORS)))
-    rows = np.repeat(np.arange(n), counts)
-    cost = np.where(labels == 1, 0.5 / positives, 0.5 / (n - positives))
-    theta = np.concatenate([[0.0], np.zeros(m), np.random.default_rng(7).normal(0, 0.01, m * FACTORS)])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, EPOCHS + 1):
-        model = Model(slots, theta[0], theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS))
-        error = cost * (_sigmoid(margins(model, counts, own)) - labels)
-        grad = np.empty_like(theta)
-        grad[0] = error.sum()
-        grad[1 : m + 1] = np.bincount(own, error[rows], minlength=m)
-        for f in range(FACTORS):
-            v = model.factors[own, f]
-            sums = np.bincount(rows, v, minlength=n)
-            grad[m + 1 + f :: FACTORS] = np.bincount(own, error[rows] * (sums[rows] - v), minlength=m)
-        grad[1:] += DECAY / max(m, 1) * theta[1:]
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        theta = theta - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return Model(slots, float(theta[0]), theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS))
+    model = Model(slots[:0], 9.0 if positives else -9.0, np.zeros(0), np.zeros((0, FACTORS)))
+    if not positives or positives == len(labels):
+        return model
+    factors = np.random.default_rng(7).normal(0, SPREAD, (len(slots), FACTORS))
+    model = Model(slots, 0.0, np.zeros(len(slots)), factors)
+    for epochs, weight_shrink, factor_shrink in ROUNDS:
+        model = _descend(model, labels, counts, own, epochs, weight_shrink, factor_shrink)
+        live = (model.weights != 0) | model.factors.any(axis=1)
+        kept, ends = live[own], np.cumsum(counts)
+        counts = np.array([np.count_nonzero(kept[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], np.int64)
+        own = (np.cumsum(live) - 1).astype(np.uint16)[own[kept]]
+        model = Model(model.slots[live], model.bias, model.weights[live], model.factors[live])
+    return model
+
+
+def _descend(model: Model, labels: np.ndarray, counts: np.ndarray, own: np.ndarray, epochs: int, weight_shrink: float, factor_shrink: float) -> Model:
+    """Steps from model; what is zero in it stays zero."""
+    n, m, positives = len(labels), len(model.slots), int(labels.sum())
+    ends = np.cumsum(counts)
+    cost = np.where(labels == 1, 0.5 * n / positives, 0.5 * n / (n - positives))
+    bias, w, v = model.bias, model.weights.copy(), np.ascontiguousarray(model.factors.T)
+    w_free, v_free = (w != 0) | (not w.any()), v != 0
+    bias_seen, w_seen, v_seen = 1e-6, np.full(m, 1e-6), np.full((FACTORS, m), 1e-4)
+    shrunk = lambda x, by, free: np.where(free, np.sign(x) * np.maximum(np.abs(x) - by, 0), 0)
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for a in range(0, n, BATCH):
+            part = order[a : a + BATCH]
+            sizes = counts[part]
+            rows = np.repeat(np.arange(len(part)), sizes)
+            at = np.repeat(ends[part] - np.cumsum(sizes), sizes) + np.arange(len(rows))
+            slot = own[at].astype(np.int64)
+            each = [x[slot] for x in v]
+            sums = [np.bincount(rows, x, minlength=len(part)) for x in each]
+            margin = bias + np.bincount(rows, w[slot], minlength=len(part)) + 0.5 * sum(s * s - np.bincount(rows, x * x, minlength=len(part)) for s, x in zip(sums, each, strict=True))
+            error = cost[part] * (_sigmoid(margin) - labels[part]) / len(part)
+            bias_seen += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(bias_seen)
+            error = error[rows]
+            grad = np.bincount(slot, error, minlength=m)
+            w_seen += grad**2
+            step = RATE / np.sqrt(w_seen)
+            w = shrunk(w - step * grad, step * weight_shrink, w_free)
+            for f in range(FACTORS):
+                grad = np.bincount(slot, error * (sums[f][rows] - each[f]), minlength=m)
+                v_seen[f] += grad**2
+                step = RATE / np.sqrt(v_seen[f])
+                v[f] = shrunk(v[f] - step * grad, step * factor_shrink, v_free[f])
+    return Model(model.slots, float(bias), w, np.ascontiguousarray(v.T))
 
 
 def held_out(column):
@@ -160,9 +197,10 @@ def held_out(column):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from a sample of about sample_rows labelled rows (bounded; chosen by a hash of the id) that held_out() leaves.
 
-    Near copies within the sample count once. Labels that are null or have a null id are ignored. Without rows of
-    both classes the model is a constant.
+    Near copies within the sample count once, and so do rows that share an id. Labels that are null or have a null id
+    are ignored. Without rows of both classes the model is a constant. The model doesn't depend on partitions or their order.
     """
+    small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, usable.count()))
@@ -175,24 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model(np.zeros(0, np.int64), -9.0, np.zeros(0), np.zeros((0, FACTORS)))
     chosen = docs.sparkSession.createDataFrame(kept, "doc_id long, toxic int").dropDuplicates(["doc_id"])
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    n1 = sum(r.toxic for r in kept)
-    n0 = len(kept) - n1
-    counted = sample.mapInArrow(_counted, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
-    told = counted.withColumn("g", _likelihood_ratio(F.col("clean"), F.col("toxic"), n0, n1)).where((F.col("g") >= CLEARNESS) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
-    slots = np.array(sorted(r.slot for r in told.orderBy(F.desc("g"), "slot").limit(ACTIVE).collect()), np.int64)
-    rows = sorted((r.toxic, sorted(r.own)) for r in sample.mapInArrow(_featured(slots), "toxic int, own array<int>").collect())
-    return train(np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows]), np.array([x for r in rows for x in r[1]], np.int64), slots)
-
-
-def _likelihood_ratio(a, b, n0: int, n1: int):
-    """2 ln of how much likelier counts a of n0 and b of n1 are under rates of their own than under a common one."""
-    parts = F.lit(0.0)
-    for k, n in ((a, n0), (b, n1)):
-        rate = (a + b) / F.lit(max(1, n0 + n1))
-        hit, miss = k, F.greatest(F.lit(n) - k, F.lit(0))
-        parts += F.when(hit > 0, hit * F.log(hit / F.lit(max(1, n)) / rate)).otherwise(0.0) + F.when((miss > 0) & (rate < 1), miss * F.log(miss / F.lit(max(1, n)) / (1 - rate))).otherwise(0.0)
-    return 2 * parts
+    counted = sample.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    slots = np.array(sorted(r.slot for r in counted.orderBy(F.desc("n"), "slot").limit(ACTIVE).collect()), np.int64)
+    # a row of the sample is two bytes for each of its weighed slots
+    rows = sample.mapInArrow(_featured(slots), "doc_id long, toxic int, own binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("own").alias("own")).drop("doc_id").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["toxic"], r["own"]))
+    counts = np.array([len(r["own"]) // 2 for r in rows], np.int64)
+    own, toxic = np.frombuffer(b"".join(r["own"] for r in rows), np.uint16), np.array([r["toxic"] for r in rows])
+    del rows
+    return train(toxic, counts, own, slots)
 
 
 def _scores(model: Model):
