@@ -1,10 +1,12 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A window is the fewest lines from a line on that have MIN_WORDS words together; its fingerprint is the line of the
-least hash in it. Any run of lines of so many words, wherever it is repeated, contains the same window and so the same
-fingerprint. Each fingerprint meets the first place of its window in the corpus; the two places are extended both ways
-while the lines are equal, and runs of MIN_WORDS words or more are deleted from the later place.
-Only hashes and positions of lines are shuffled until the texts are put together again.
+A window is the fewest lines from a line on, or up to a line, that have MIN_WORDS words together; its fingerprint is the
+line of the least hash in it, and neighbouring windows mostly select the same. Any run of lines of so many words holds
+such windows, so a repeated run repeats their fingerprints: a line that is selected at one place only can't be part of
+one, and its windows are out. The other fingerprints are extended both ways to the ends of their windows, and a window
+meets the first place of the same lines around the same fingerprint; so a common line never pairs all its places. Every
+line of a repeated run lies in a window of it: what the windows of later places cover, merged to runs, is deleted.
+Only hashes and positions of lines are shuffled until the texts are put together again; nothing is joined line by line.
 """
 
 from __future__ import annotations
@@ -12,42 +14,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WORD_PATTERN, cut
+from tallyframe.llm.common import WORD_PATTERN, bounded, cut
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
+_DOC = ["doc_id", "text_key"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, seq, h, h2, words, before) of each line that has words; seq counts those, before is the words before it."""
+    """(doc_id, text_key, at, h, words, ends) of each line that has words; ends counts the words up to its end."""
     split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    slim = split.select("doc_id", "text_key", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("line"), "line").alias("h2"), F.regexp_count("line", F.lit(WORD_PATTERN)).cast("long").alias("words")).where("words > 0")
-    once = slim.repartition(F.col("doc_id"), F.col("text_key")).dropDuplicates(["doc_id", "text_key", "at"])
-    order = Window.partitionBy("doc_id", "text_key").orderBy("at")
-    return once.withColumn("seq", F.row_number().over(order).cast("long")).withColumn("before", F.sum("words").over(order) - F.col("words"))
-
-
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, seq, window): the least line of each window of min_words words, and the window's content as a hash."""
-    frame = Window.partitionBy("doc_id", "text_key").orderBy("before").rangeBetween(0, min_words - 1)
-    seen = lines.select("doc_id", "text_key", "words", F.sum("words").over(frame).alias("held"), F.xxhash64(F.collect_list("h").over(frame)).alias("window"), F.min(F.struct("h", "seq")).over(frame).alias("least"))
-    return seen.where(F.col("held") >= min_words).select("doc_id", "text_key", F.col("least.seq").alias("seq"), "window")
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, at) of the lines that stand in a run that is repeated from an earlier place; places order by doc_id, text and line."""
-    lines = cut(_lines(docs))
-    prints = fingerprints(lines, min_words)
-    first = prints.groupBy("window").agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "text_key", "seq")).alias("s")).where("places > 1").select("window", "s")
-    later = prints.join(first, "window").where(F.struct("doc_id", "text_key", "seq") > F.col("s"))
-    pairs = cut(later.select("doc_id", "text_key", F.col("s.doc_id").alias("s_doc"), F.col("s.text_key").alias("s_key"), (F.col("seq") - F.col("s.seq")).alias("shift")).distinct())
-    own = pairs.join(lines, ["doc_id", "text_key"]).withColumn("s_seq", F.col("seq") - F.col("shift"))
-    source = lines.select(F.col("doc_id").alias("s_doc"), F.col("text_key").alias("s_key"), F.col("seq").alias("s_seq"), F.col("h").alias("s_h"), F.col("h2").alias("s_h2"))
-    equal = own.join(source, ["s_doc", "s_key", "s_seq"]).where("h = s_h and h2 = s_h2")
-    pair = ["doc_id", "text_key", "s_doc", "s_key", "shift"]
-    runs = equal.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy(*pair).orderBy("seq")))
-    long = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*pair, "run"))).where(F.col("run_words") >= min_words)
-    return long.select("doc_id", "text_key", "at").distinct()
+    slim = split.select(*_DOC, "at", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD_PATTERN)).cast("long").alias("words")).where("words > 0")
+    once = slim.repartition(*map(F.col, _DOC)).dropDuplicates([*_DOC, "at"])
+    return once.withColumn("ends", F.sum("words").over(Window.partitionBy(*_DOC).orderBy("at")))
+
+
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, backward, first, last, least, least_at, c1, c2): every window, its fingerprint's hash and line, and two hashes of its lines.
+
+    Backward windows that are windows from a line on too are left out.
+    """
+    along = Window.partitionBy(*_DOC)
+    begins = lines.withColumn("begins", F.col("ends") - F.col("words"))
+
+    def framed(frame, backward: bool) -> DataFrame:
+        ends = {"first": F.min("at").over(frame), "last": F.col("at")} if backward else {"first": F.col("at"), "last": F.max("at").over(frame)}
+        cols = {"held": F.sum("words").over(frame), "list": F.collect_list("h").over(frame), "low": F.min(F.struct("h", "at")).over(frame), **ends}
+        found = begins.withColumns(cols).where(F.col("held") >= min_words)
+        if backward:
+            found = found.where(F.col("held") - F.col("words") >= min_words)
+        return found.select(
+            *_DOC, F.lit(backward).alias("backward"), "first", "last", F.col("low.h").alias("least"), F.col("low.at").alias("least_at"), F.xxhash64("list").alias("c1"), F.xxhash64(F.lit("again"), "list").alias("c2")
+        )
+
+    ahead = framed(along.orderBy("begins").rangeBetween(0, min_words - 1), False)
+    return ahead.unionByName(framed(along.orderBy("ends").rangeBetween(1 - min_words, 0), True))
+
+
+def fingerprints(wins: DataFrame) -> DataFrame:
+    """(doc_id, text_key, backward, least, least_at): the places that windows select, each once."""
+    return wins.select(*_DOC, "backward", "least", "least_at").distinct()
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, first, last): the lines, merged to runs, of windows that stand at an earlier place; places order by doc_id, text and line."""
+    wins = cut(windows(_lines(docs), min_words))
+    several = fingerprints(wins).groupBy("backward", "least").agg(F.count("*").alias("places")).where("places > 1").select("backward", "least")
+    met = cut(wins.join(bounded(cut(several)), ["backward", "least"], "left_semi").drop("least_at"))
+    origins = met.groupBy("c1", "c2").agg(F.count("*").alias("places"), F.min(F.struct(*_DOC, "first")).alias("origin")).where("places > 1").drop("places")
+    later = met.join(origins, ["c1", "c2"]).where(F.struct(*_DOC, "first") > F.col("origin"))
+    spans = later.groupBy(*_DOC, "first").agg(F.max("last").alias("last"))
+    so_far = F.max("last").over(Window.partitionBy(*_DOC).orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("first") > so_far, F.lit(True)).cast("int")
+    numbered = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(Window.partitionBy(*_DOC).orderBy("first")))
+    return numbered.groupBy(*_DOC, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -55,15 +75,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Lines part at line feeds and are equal as they stand; lines without words belong to no run and stay. A null text
     has no lines and stays null. Rows with a null id are kept as they are and are no sources. Rows that repeat an id
-    and a text lose the same lines; rows with one id and different texts order by a hash of the text. Other columns are ignored.
+    and a text lose the same lines; rows with one id and different texts order by a hash of the text. A text of any
+    number of lines, repeated ones too, takes time in proportion (times its logarithm). Other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = repeated_lines(slim.where("doc_id is not null"), min_words).groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("gone"))
-    keyed = slim.withColumn("text_key", F.xxhash64("text"))
-    joined = keyed.join(gone, ["doc_id", "text_key"], "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"))
+    runs = repeated_runs(slim.where("doc_id is not null"), min_words)
+    gap = F.col("first") - F.coalesce(F.lag("last").over(Window.partitionBy(*_DOC).orderBy("first")), F.lit(-1)) - 1
+    gone = runs.withColumn("gap", gap).groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "gap", (F.col("last") - F.col("first") + 1).alias("long")))).alias("gone"))
+    joined = slim.withColumn("text_key", F.xxhash64("text")).join(gone, _DOC, "left")
+    # a mark for each line up to the last run's end
+    marks = F.flatten(F.transform("gone", lambda r: F.concat(F.array_repeat(F.lit(False), r["gap"]), F.array_repeat(F.lit(True), r["long"]))))
+    marked = F.zip_with(F.split("text", "\n"), marks, lambda line, mark: F.struct(line.alias("line"), (F.coalesce(mark, F.lit(False)) & line.rlike(WORD_PATTERN)).alias("out")))
+    kept = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter(marked, lambda x: ~x["out"])))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"))
+    return kept.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_lines - F.size("kept")).cast("long").alias("n_removed"), text.alias("text"))
 
 
 ORACLE_SQL = r"""
