@@ -1,8 +1,9 @@
 """License scans: ordered signature rules, with DataFrame functions only.
 
 Texts that contain a keyword become words, each between single spaces (so that neighbours share none); hundreds of
-regexes over them, each behind keywords of its own, give intervals of words. An interval inside another of no lower
-priority is suppressed. Base phrases are counted in each text besides.
+regexes over them, each behind keywords of its own, give intervals of words: signatures of the licenses' own sentences
+and addresses, and names in the forms in which texts refer to them. An interval inside another of no lower priority is
+suppressed. Base phrases are counted in each text besides.
 """
 
 from __future__ import annotations
@@ -74,13 +75,105 @@ FORMS = (
     (2, 0.7, "licensed", "{} licensed"),
     (2, 0.7, "license", "license {}"),
 )
+#: Sentences of the licenses' own texts, and addresses; a label, priority, confidence, a word that each match holds, and a regex over words.
+SIGNATURES = (
+    ("mit", 7, 1.0, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", 6, 0.95, "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 6, 0.9, "sublicense", "(?:use copy modify merge publish )?distribute sublicense and or sell copies of the software"),
+    ("mit", 6, 0.95, "mit", "https? opensource org licenses mit"),
+    ("isc", 7, 1.0, "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", 6, 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 5, 0.8, "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 5, 0.8, "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", 7, 0.97, "endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4", 7, 0.97, "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd", 6, 0.9, "bsd", "use of this source code is governed by a bsd style license"),
+    ("bsd-2", 6, 0.95, "bsd", "https? opensource org licenses bsd 2 clause"),
+    ("bsd-3", 6, 0.95, "bsd", "https? opensource org licenses bsd 3 clause"),
+    ("apache-2", 7, 1.0, "apache", "licensed under the apache license version 2 0(?: the license)?"),
+    ("apache-2", 6, 0.95, "apache", "https? www apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-2", 6, 0.9, "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2", 6, 0.95, "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", 6, 0.9, "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl-2", 8, 1.0, "2", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", 8, 1.0, "3", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", 8, 1.0, "lesser", "gnu lesser general public license as published by the free software foundation(?: either)?(?: version (?:2|2 1|3))?"),
+    ("lgpl", 8, 1.0, "library", "gnu library general public license(?: as published by the free software foundation)?"),
+    ("agpl-3", 8, 1.0, "affero", "gnu affero general public license as published by the free software foundation(?: either version 3)?"),
+    ("gpl", 6, 0.9, "gnu", "you should have received a copy of the gnu general public license"),
+    ("lgpl", 7, 0.9, "lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("agpl-3", 7, 0.9, "affero", "you should have received a copy of the gnu affero general public license"),
+    ("gpl", 5, 0.85, "gnu", "https? www gnu org licenses(?: gpl)?(?: html)?"),
+    ("gpl-2", 6, 0.95, "gnu", "https? www gnu org licenses(?: old licenses)? gpl 2 0(?: en)?(?: html)?"),
+    ("gpl-3", 6, 0.95, "gnu", "https? www gnu org licenses gpl 3 0(?: en)?(?: html)?"),
+    ("gpl", 5, 0.85, "warranty", "this program comes with absolutely no warranty"),
+    ("gpl-2", 6, 0.9, "2", "gnu general public license version 2(?: only)?"),
+    ("gpl-3", 6, 0.9, "3", "gnu general public license version 3(?: only)?"),
+    ("gpl-2", 6, 0.9, "june", "gnu general public license version 2 june 1991"),
+    ("gpl-3", 6, 0.9, "june", "gnu general public license version 3 29 june 2007"),
+    ("agpl-3", 7, 0.9, "november", "gnu affero general public license version 3 19 november 2007"),
+    ("mpl-2", 7, 1.0, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", 6, 0.95, "mozilla", "https? (?:www )?mozilla org mpl 2 0"),
+    ("mpl-1.1", 7, 1.0, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", 6, 0.9, "incompatible", "incompatible with secondary licenses as defined by the mozilla public license"),
+    ("epl", 7, 1.0, "eclipse", "made available under the terms of the eclipse public license(?: v(?:ersion)?)?(?: [12] 0)?"),
+    ("epl", 6, 0.95, "eclipse", "https? www eclipse org legal epl(?: v(?:10|20)| 2 0)?(?: html)?"),
+    ("epl", 6, 0.95, "eclipse", "https? www eclipse org org documents edl v10(?: php| html)?"),
+    ("cddl", 7, 1.0, "development", "subject to the terms of the common development and distribution license"),
+    ("cddl", 6, 0.95, "cddl", "https? opensource org licenses cddl 1 0"),
+    ("artistic-2", 6, 0.95, "artistic", "(?:redistribute it and or modify it )?under the terms of the artistic license 2 0"),
+    ("artistic-2", 5, 0.85, "perl", "under the same terms as perl(?: itself)?"),
+    ("artistic-2", 6, 0.95, "artistic", "https? (?:www )?opensource org licenses artistic license 2 0"),
+    ("zlib", 7, 1.0, "freely", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib", 6, 0.9, "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", 6, 0.9, "altered", "altered source versions must be plainly marked as such"),
+    ("boost", 7, 1.0, "boost", "distributed under the boost software license version 1 0"),
+    ("boost", 6, 0.95, "boost", "https? www boost org license 1 0 txt"),
+    ("unlicense", 7, 1.0, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 6, 0.95, "unlicense", "https? unlicense org"),
+    ("wtfpl", 7, 1.0, "fuck", "do what the fuck you want to public license"),
+    ("wtfpl", 6, 0.95, "wtfpl", "https? www wtfpl net"),
+    ("psf", 7, 1.0, "python", "psf license agreement for python"),
+    ("psf", 6, 0.9, "python", "python software foundation license version 2"),
+    ("ofl", 7, 1.0, "sil", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", 6, 0.95, "ofl", "https? scripts sil org ofl"),
+    ("ofl", 6, 0.9, "reserved", "with reserved font name"),
+    ("odbl", 7, 1.0, "database", "made available under the open database license"),
+    ("odbl", 6, 0.95, "odbl", "https? opendatacommons org licenses odbl(?: 1 0)?"),
+    ("eupl", 7, 1.0, "eupl", "licensed under the eupl(?: version)?(?: 1 [12])?(?: or later)?"),
+    ("ms-pl", 6, 0.95, "microsoft", "this license governs use of the accompanying software .{0,60}? microsoft"),
+    ("ms-pl", 6, 0.95, "ms", "https? opensource org licenses ms pl"),
+    ("postgresql", 7, 0.95, "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("openssl", 7, 0.95, "openssl", "this product includes software developed by the openssl project"),
+    ("cc0", 7, 1.0, "cc0", "to the extent possible under law .{0,120}? cc0"),
+    ("cc0", 6, 0.95, "zero", "https? creativecommons org publicdomain zero 1 0"),
+    ("cc-pdm", 6, 0.95, "mark", "https? creativecommons org publicdomain mark 1 0"),
+    ("cc-by", 6, 0.95, "creativecommons", "https? creativecommons org licenses by [1-4] [0-9]"),
+    ("cc-by-sa", 6, 0.95, "sa", "https? creativecommons org licenses by sa [1-4] [0-9]"),
+    ("cc-by-nd", 6, 0.95, "nd", "https? creativecommons org licenses by nd [1-4] [0-9]"),
+    ("cc-by-nc", 6, 0.95, "nc", "https? creativecommons org licenses by nc [1-4] [0-9]"),
+    ("cc-by-nc-sa", 6, 0.95, "nc", "https? creativecommons org licenses by nc sa [1-4] [0-9]"),
+    ("cc-by-nc-nd", 6, 0.95, "nc", "https? creativecommons org licenses by nc nd [1-4] [0-9]"),
+    ("cc-by-sa", 7, 1.0, "sharealike", "creative commons attribution sharealike [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("cc-by-nc", 7, 1.0, "noncommercial", "creative commons attribution noncommercial [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("cc-by-nc-sa", 8, 1.0, "noncommercial", "creative commons attribution noncommercial sharealike [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("cc-by-nc-nd", 8, 1.0, "noncommercial", "creative commons attribution noncommercial noderivatives [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("cc-by-nd", 7, 1.0, "noderivatives", "creative commons attribution noderivatives [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("cc-by", 6, 1.0, "attribution", "creative commons attribution [1-4] [0-9](?: international| unported)?(?: license)?"),
+    ("public-domain", 5, 0.8, "domain", "(?:is|are|was|placed) (?:hereby )?(?:released |placed )?in(?:to)? the public domain"),
+    ("proprietary", 4, 0.7, "reserved", "all rights reserved"),
+    ("proprietary", 5, 0.8, "confidential", "proprietary and confidential"),
+    ("proprietary", 5, 0.8, "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
+
+
 #: Any text with a detection contains one of these, whatever the case.
-GATE = ("licens", "licenc", "spdx", "cc", "under")
+GATE = ("licens", "licenc", "spdx", "cc", "under", "permission", "redistribut", "reserved", "software", "copies", "domain", "propriet", "unauthori", "warranty", "altered", "perl", "endorse", "eclipse", "attribution", "creativecommons", "wtfpl", "opensource", "mozilla", "ofl")
 
 
 def rules() -> list[tuple[str, int, float, str, str, str]]:
     """(label, priority, confidence, form's word, name's word, regex) in order of priority; a regex spans whole words of words_text()."""
-    made = []
+    made = [(label, priority, confidence, word, word, _spaced(pattern)) for label, priority, confidence, word, pattern in SIGNATURES]
     for label, usual, names in LICENSES:
         for name in names:
             key = _key(name, usual)
@@ -121,27 +214,31 @@ def _gated(text: Column) -> Column:
 
 
 def detections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., label, priority, confidence, first, last) of every detection that no other suppresses; words count from 0.
+    """(keep..., text_key, label, priority, confidence, first, last) of every detection that no other suppresses; words count from 0.
 
     One is suppressed that lies within another of the same text of no lower priority: a longer one, or an equal one of
-    a higher priority, or, those equal too, of a label that comes first.
+    a higher priority, or, those equal too, of a label that comes first. text_key is xxhash64 of the text. Each regex
+    runs over a text once; places are running sums of words, so many detections take time in proportion.
     """
     spark = docs.sparkSession
     table = F.broadcast(_rule_table(spark))  # hundreds of rows, whatever the data
-    asked = docs.where(_gated(F.col("text"))).select(*keep, words_text(ascii_lower(F.col("text"))).alias("spaced"))
+    asked = docs.where(_gated(F.col("text"))).select(*keep, F.xxhash64("text").alias("text_key"), words_text(ascii_lower(F.col("text"))).alias("spaced"))
     keys = sorted({r[4] for r in rules()})
-    held = asked.select(*keep, "spaced", F.explode(F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("spaced"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("key"))
-    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.concat(F.lit(" "), "word", F.lit(" ")))).where(F.expr("spaced rlike pattern"))
-    parts = met.select(*keep, F.xxhash64("spaced").alias("text_key"), "label", "priority", "confidence", F.expr("split(spaced, pattern)").alias("gaps"), F.expr("regexp_extract_all(spaced, pattern, 0)").alias("found"))
-    each = parts.select(*keep, "text_key", "label", "priority", "confidence", "gaps", "found", F.posexplode("found").alias("i", "one"))
-    before = F.concat(F.array_join(F.slice("gaps", 1, F.col("i") + 1), ""), F.array_join(F.slice("found", 1, F.col("i")), ""))
-    placed = each.select(*keep, "text_key", "label", "priority", "confidence", _count_words(before).alias("first"), _count_words(F.col("one")).alias("words"))
+    held = asked.select(*keep, "text_key", "spaced", F.explode(F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("spaced"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("key"))
+    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.concat(F.lit(" "), "word", F.lit(" "))))
+    # words hold no control characters: they part what a regex finds (odd places) from what it doesn't (even ones)
+    parts = F.split(F.regexp_replace("spaced", F.concat(F.lit("("), F.col("pattern"), F.lit(")")), F.lit("\x01$1\x01")), "\x01")
+    counts = met.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.transform(parts, lambda p: _count_words(p)).alias("counts")).where("size(counts) > 1")
+    each = counts.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.posexplode("counts").alias("i", "words"))
+    along = Window.partitionBy(*keep, "text_key", "pattern", "label").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # rows that repeat an id and a text have the same detections
+    placed = each.distinct().withColumn("first", F.coalesce(F.sum("words").over(along), F.lit(0).cast("long"))).where("i % 2 = 1")
     placed = placed.select(*keep, "text_key", "label", "priority", "confidence", "first", (F.col("first") + F.col("words") - 1).alias("last")).distinct()
     sooner = Window.partitionBy(*keep, "text_key").orderBy("first", F.desc("last"), F.desc("priority"), "label").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(None).cast("long")
     for level in sorted({r[1] for r in rules()}, reverse=True):
         reach = F.when(F.col("priority") == level, F.max(F.when(F.col("priority") >= level, F.col("last"))).over(sooner)).otherwise(reach)
-    return placed.withColumn("reach", reach).where("reach is null or reach < last").drop("reach", "text_key")
+    return placed.withColumn("reach", reach).where("reach is null or reach < last").drop("reach")
 
 
 def _rule_table(spark: SparkSession) -> DataFrame:
@@ -152,14 +249,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs.
 
     Null and empty texts have no words, no labels ('') and score 0. score is 1 with a base phrase, else the greatest
-    confidence of the detections. Rows that share an id (or a null one) share what the method adds to the labels.
-    Other columns are ignored.
+    confidence of the detections. Each row has the labels of its own text, whatever other rows have its id. Other
+    columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    added = detections(slim).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("confidence").alias("sure"))
+    added = detections(slim.where("text <> ''")).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("confidence").alias("sure"))
     n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     spaced = F.when(_gated(F.col("text")), words_text(ascii_lower(F.col("text")))).otherwise("")
-    base = slim.select("doc_id", n_words.alias("n_words"), spaced.alias("spaced"))
+    base = slim.select("doc_id", F.xxhash64("text").alias("own_key"), n_words.alias("n_words"), spaced.alias("spaced"))
     counts, starts, ends, labels = F.lit(0).cast("long"), [F.lit(None).cast("long")], [F.lit(None).cast("long")], []
     for phrase, label in sorted(BASE, key=lambda b: b[1]):
         own = _spaced(phrase)
@@ -168,8 +265,8 @@ def scan(docs: DataFrame) -> DataFrame:
         starts.append(F.when(at > 0, _count_words(F.substring("spaced", F.lit(1), at - 1))))
         ends.append(F.when(at > 0, F.col("n_words") - _count_words(F.substring(F.reverse("spaced"), F.lit(1), back - 1)) - len(phrase.split())))
         labels.append(F.when(at > 0, F.lit(label)))
-    base = base.select("doc_id", "n_words", counts.alias("n_base"), F.least(*starts).alias("first_word"), F.greatest(*ends).alias("last_word"), F.array_compact(F.array(*labels)).alias("own"))
-    both = base.join(added.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
+    base = base.select("doc_id", "own_key", "n_words", counts.alias("n_base"), F.least(*starts).alias("first_word"), F.greatest(*ends).alias("last_word"), F.array_compact(F.array(*labels)).alias("own"))
+    both = base.join(added.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("own_key") == F.col("text_key")), "left")
     every = F.array_sort(F.array_distinct(F.concat("own", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("sure", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("own"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
