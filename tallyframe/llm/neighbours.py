@@ -25,8 +25,8 @@ SAMPLE_ROWS = 20_000
 MOST_LISTS, SHARE, SOUNDINGS = 4096, 0.985, 200
 #: Values of a code, dimensions that share one, and codes of a block of a list that are reranked for a query.
 CODES, SPAN, RERANK = 256, 4, 96
-#: Vectors of a block, and parts that the ids of a very common vector are dealt to.
-BLOCK, SALTS = 4096, 256
+#: Vectors of a block and queries of a slice, about, and parts that the ids of a very common vector are dealt to.
+BLOCK, SLICE, SALTS = 4096, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -93,22 +93,19 @@ def _assign(index: Index):
     return run
 
 
-def _probe(index: Index, blocks: dict[int, int]):
+def _probe(index: Index, sizes: np.ndarray, k: int):
+    """The lists that each query reads: its best ones, and more of them until they hold k entries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch, "embedding")
             if not len(x):
                 continue
-            near = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")[:, : index.probes]
-            rows, cells, parts = [], [], []
-            for i, own in enumerate(near.tolist()):
-                for c in own:
-                    for b in range(blocks.get(c, 0)):
-                        rows.append(i)
-                        cells.append(c)
-                        parts.append(b)
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int32()), pa.array(parts, pa.int32())], names=[*batch.schema.names, "cell", "block"])
+            near = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")
+            depth = np.maximum(index.probes, (np.cumsum(sizes[near], axis=1) < k).sum(axis=1) + 1)
+            rows, ranks = np.nonzero(np.arange(near.shape[1])[None, :] < depth[:, None])
+            taken = batch.select(["k1", "k2"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near[rows, ranks].astype(np.int32))], names=["k1", "k2", "cell"])
 
     return run
 
@@ -185,13 +182,18 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20) -> DataFrame:
 
     width = "k1 long, k2 long, embedding array<double>, ids array<long>, cell int, code binary"
     coded = cut(distinct.select("k1", "k2", "embedding", "ids").mapInArrow(_assign(index), width))
-    blocks = {r.cell: -(-r["count"] // BLOCK) for r in coded.groupBy("cell").count().collect()}  # a row a list
-    shares = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    dealt = coded.withColumn("block", F.pmod(F.col("k2"), shares[F.col("cell")]).cast("int"))
+    held = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # a row a list
+    sizes = np.array([held.get(c, 0) for c in range(len(index.centroids))], np.int64)
 
     asked = rows.where(is_query).select(*key).distinct().join(distinct, key).select(*key, "embedding")
-    probes = asked.mapInArrow(_probe(index, blocks), "k1 long, k2 long, embedding array<double>, cell int, block int")
-    found = probes.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(_search(index, k + 1), _FOUND)
+    probes = cut(asked.mapInArrow(_probe(index, sizes, k + 1), "k1 long, k2 long, cell int"))
+    # lists are dealt to blocks and their queries to slices, both of bounded size; each block meets each slice. A row a list.
+    shape = probes.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLICE).alias("slices")).join(coded.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).alias("blocks")), "cell")
+    shape = F.broadcast(cut(shape))  # at most MOST_LISTS rows
+    dealt = coded.join(shape, "cell").withColumn("block", F.pmod("k2", "blocks")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices", "blocks")
+    sent = probes.join(shape, "cell").withColumn("slice", F.pmod("k1", "slices")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(asked, key).drop("slices", "blocks")
+    meeting = ["cell", "block", "slice"]
+    found = sent.groupBy(*meeting).cogroup(dealt.groupBy(*meeting)).applyInArrow(_search(index, k + 1), _FOUND)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = best.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     queries = rows.where(is_query).select("k1", "k2", F.col("vec_id").alias("query_id")).distinct()
