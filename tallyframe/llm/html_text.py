@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded, cut
+from tallyframe.llm.common import BROADCAST_ROWS, cut, give_back, small_batches
 from tallyframe.llm.url_filter import host_and_path
 
 #: A subtree is template that stands on so many pages of its host, and on this share of them.
@@ -166,7 +166,8 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     for i, node in enumerate(nodes):
         if gone[i] and not gone[node.parent]:
             keep[node.first : node.last] = bytes(node.last - node.first)
-    return " ".join(entities.unescape("".join(p if k else " " for p, k in zip(pieces, keep, strict=True))).split())
+    # each piece by itself: what markup parts is no reference
+    return " ".join("".join(entities.unescape(p) if k else " " for p, k in zip(pieces, keep, strict=True)).split())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +178,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts += [host] * len(own)
             hashes += own
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+    give_back()
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +202,11 @@ def extract(pages: DataFrame) -> DataFrame:
     A null page is empty and has an empty text. Pages of a null or malformed url belong to no host, and lose elements
     by tag and class only. Repeated rows are pages of their own. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     slim = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_and_path(F.col("url").cast("string"))[0].alias("host"))
-    found = cut(templates(slim))
-    joined = slim.join(bounded(found.withColumnRenamed("host", "site")), F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "template")
+    found = cut(templates(slim)).withColumnRenamed("host", "site")
+    # broadcast by the number of hashes, not of hosts
+    hashes = found.agg(F.sum(F.size("template") + 8)).first()[0] or 0
+    joined = slim.join(F.broadcast(found) if hashes <= BROADCAST_ROWS else found, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "template")
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url {dict(pages.dtypes)['url']}, text string"
     return joined.mapInArrow(_extracted, schema).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

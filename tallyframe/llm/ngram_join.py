@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import cut, differences, give_back, hash_spans, mix64, null_safe_source_sizes, pack, text_buffers, unpack, without, words_of, _K
+from tallyframe.llm.common import cut, differences, give_back, hash_spans, mix64, null_safe_source_sizes, pack, small_batches, text_buffers, tidy, unpack, without, words_of, _K
 from tallyframe.llm.components import connected_components
 
 #: n-grams that a task holds before it sends them on, and that a bucket should hold.
@@ -233,6 +233,7 @@ def _prefixes(num: int, den: int):
                 cols[5].append(np.full(len(g), alone, np.int32))
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if i != 1 else c, f.type) for i, (c, f) in enumerate(zip(cols, schema, strict=True))], schema=schema)
+        give_back()
 
     return run
 
@@ -257,6 +258,7 @@ def _verified(num: int, den: int):
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+        give_back()
 
     return run
 
@@ -335,6 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_shingles is returned with a null component. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = null_safe_source_sizes(rows, "text") // 6
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -342,9 +345,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = buckets
 
     sent = rows.where("id is not null").mapInArrow(_send(size, buckets, parts), _SENT_DDL)
-    counted = sent.groupBy("part").applyInArrow(_count(buckets, parts), _SENT_DDL)
-    table = cut(counted.groupBy("part").applyInArrow(_gather(num, den), _DOCS_DDL))
+    counted = sent.groupBy("part").applyInArrow(tidy(_count(buckets, parts)), _SENT_DDL)
+    gathered = counted.groupBy("part").applyInArrow(tidy(_gather(num, den)), _DOCS_DDL)
     del sent, counted
+    table = cut(gathered, free=True)
+    del gathered
 
     sets = table.where("grams is not null")
     entries = sets.select("doc_id", "n", "alone", "same", "grams").mapInArrow(_prefixes(num, den), "gram long, class binary, doc_id long, n int, place int, alone int")
@@ -364,7 +369,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         tested = tested.union(pairs) if tested else pairs
         found = _links(pairs, heads, num, den)
-        links = cut(links.union(found) if links else found)
+        links = cut(links.union(found) if links else found, free=True)
 
     final = cut(connected_components(links.union(copies) if links else copies))
     # a null id has no place in the table above: its n-grams are counted by themselves

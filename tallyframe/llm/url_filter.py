@@ -37,10 +37,12 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         parts = path.split("/")
         for part in parts[:-1]:
             node = node.setdefault(("path", part), {})
-        # what follows the last slash may be the beginning of a segment
-        tails = node.setdefault("tails", {})
-        held = tails.get(parts[-1])
-        tails[parts[-1]] = (host + path, "block" if "block" in (verdict, held and held[1]) else verdict)
+        # what follows the last slash may be the beginning of a segment: it goes on by character
+        node = node.setdefault("tail", {})
+        for character in parts[-1]:
+            node = node.setdefault(character, {})
+        held = node.get("rule")
+        node["rule"] = (host + path, "block" if "block" in (verdict, held and held[1]) else verdict)
     return root
 
 
@@ -62,9 +64,10 @@ def find(root: dict, host: str, path: str) -> tuple[str, str] | None:
 def _along(node: dict | None, path: str) -> tuple[str, str] | None:
     best, at = None, 0
     while node is not None:
-        for tail, rule in sorted(node.get("tails", {}).items(), key=lambda x: len(x[0])):
-            if path.startswith(tail, at):
-                best = rule
+        tail, k = node.get("tail"), at
+        while tail is not None:
+            best = tail.get("rule", best)
+            tail, k = tail.get(path[k]) if k < len(path) else None, k + 1
         end = path.find("/", at)
         if end < 0:
             break
@@ -95,7 +98,10 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url_co
             found = [find(trie.value, h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [f and f[0] for f in found], "verdict": [f[1] if f else default for f in found]})
 
-    return parsed.withColumn("_found", decide("host", "path")).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    held = "_found"
+    while held in parsed.columns:
+        held += "_"
+    return parsed.withColumn(held, decide("host", "path")).withColumns({"rule": F.col(f"{held}.rule"), "verdict": F.col(f"{held}.verdict")}).drop(held)
 
 
 def _judge_by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
