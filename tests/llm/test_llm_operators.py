@@ -112,6 +112,46 @@ def test_decontamination_of_numbers_equal_by_chance(spark):
     assert got == {(1, 1, "reparameterised"), (2, 2, "reparameterised")}
 
 
+def test_decontamination_of_any_case_and_short_items(spark):
+    ask = "Yesterday in March Alice bought 12 apples and 7 pears for 19 dollars, so how many did Alice eat?"
+    dense = "12 kg 7 m 9 l 4 days 3 km"
+    bench = spark.createDataFrame([(1, ask), (2, "What is 7 times 8 plus nine?"), (3, dense), (4, "")], "item_id long, text string")
+    rows = [(1, ask.lower()), (2, ask.upper()), (3, f"so {ask.title()}"), (4, "then what is 70 times 8,000 plus nine so"), (5, f"list {dense} end"), (6, "list 1 kg 2 m 3 l 6 days 5 km end"), (7, "what is 7 times eight plus nine")]
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1, "exact"), (2, 1, "exact"), (3, 1, "exact"), (4, 2, "reparameterised"), (5, 3, "exact")}
+
+
+def test_decontamination_of_new_values_by_brute_force(spark):
+    """Random questions, copies with other names and numbers, and near misses, against a search for the filled template."""
+    rng, names = random.Random(6), ["Ann", "Bob", "Carl", "Dora", "Emil", "Fay"]
+    frames = ["when {a} gave {b} some {n} coins at the fair and {a} kept {m} of them how many had {b} then", "the train of {a} left at {n} and {b} saw it pass after {m} minutes so how far did {a} go by evening"]
+    fill = lambda f, a, b, a2, b2: "Well, " + f.replace("{a}", a, 1).replace("{b}", b, 1).replace("{a}", a2).replace("{b}", b2).replace("{n}", str(rng.randrange(100))).replace("{m}", str(rng.randrange(100)))
+    bench, rows, want = [], [], set()
+    for i, f in enumerate(frames):
+        a, b = rng.sample(names, 2)
+        bench.append((i, fill(f, a, b, a, b)))
+    for d in range(80):
+        i = rng.randrange(2)
+        a, b, a2, b2 = (rng.choice(names) for _ in range(4))
+        kind = rng.randrange(3)
+        if kind == 0:
+            (a, b), (a2, b2) = rng.sample(names, 2), (None, None)
+            a2, b2 = a, b
+        text = fill(frames[i], a, b, a2, b2) if kind < 2 else f"nothing of {a} here, {rng.randrange(9)} words only"
+        rows.append((d, f"It was late. {text}. Then all went home."))
+        if kind < 2 and a == a2 and (b == b2 or i == 1) and a != b:
+            want.add((d, i))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "repeated row of text with several words"), (1, "repeated row of text with several words"), (2, "some words that have no id at all")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(odd, bench).collect()} == {(4, 1, "exact")}
+    kept = decontaminate.decontaminate(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 2
+
+
 # ---- 2
 
 
@@ -131,6 +171,54 @@ def test_line_dedup_extends_both_ways(spark):
     assert got == {1: (rows[0][1], 0), 2: ("start", 4), 3: (rows[2][1], 0)}
 
 
+def brute_repeats(rows, least=50):
+    """{(doc, line)} of lines in a run of so many words that stands at an earlier place, by comparing all windows."""
+    lines = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in rows}
+    seen, gone = {}, set()
+    for i in sorted(lines):
+        own = lines[i]
+        for a in range(len(own)):
+            words = 0
+            for b in range(a, len(own)):
+                words += len(own[b][1].split())
+                if words >= least:
+                    content = tuple(x for _, x in own[a : b + 1])
+                    if seen.setdefault(content, (i, a)) != (i, a):
+                        gone |= {(i, k) for k, _ in own[a : b + 1]}
+                    elif words >= 3 * least:
+                        break
+    return gone
+
+
+def test_line_dedup_of_random_runs(spark):
+    """Few different lines of uneven length, so that common lines are fingerprints and runs overlap, end and begin everywhere."""
+    rng = random.Random(8)
+    kinds = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (1, 2, 3, 8, 20, 30, 49, 60)] + [""]
+    rows = [(i, "\n".join(rng.choice(kinds) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = brute_repeats(rows)
+    for i, text in rows:
+        assert got[i].text == "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
+        assert got[i].n_removed == sum(d == i for d, _ in gone) and got[i].n_lines == text.count("\n") + 1
+
+
+def test_line_dedup_selects_fewer_places_than_windows(docs):
+    wins = line_dedup.windows(line_dedup._lines(docs.select("doc_id", "text")))
+    places, all_windows = line_dedup.fingerprints(wins).where("not backward").count(), wins.where("not backward").count()
+    assert places < 0.8 * all_windows
+
+
+def test_line_dedup_of_a_long_repeat(spark):
+    import time
+
+    line = "one and the same line of text that comes again and again"
+    rows = [(1, "\n".join([line] * 50_000)), (2, "\n".join(f"line {i} of a long text that stands in two documents" for i in range(50_000)))]
+    rows.append((3, rows[1][1]))
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (50_000, 49_999, line), 2: (50_000, 0, rows[1][1]), 3: (50_000, 50_000, "")} and time.time() - began < 60
+
+
 # ---- 3
 
 
@@ -155,6 +243,19 @@ def test_url_filter_precedence(spark, monkeypatch):
     assert url_filter.judge(table.limit(0), rules).isEmpty()
 
 
+def test_url_filter_of_many_tails_and_clashing_names(spark):
+    import time
+
+    rules = [("block", "h.com", f"/a/item{i}") for i in range(100_000)] + [("allow", "h.com", "/a/item77777x")]
+    trie = url_filter.build_trie(rules)
+    began = time.time()
+    assert all(url_filter.find(trie, "www.h.com", f"/a/item{i}?") == (f"h.com/a/item{i}", "block") for i in range(0, 100_000, 50))
+    assert url_filter.find(trie, "h.com", "/a/item77777xyz") == ("h.com/a/item77777x", "allow") and time.time() - began < 5
+    table = spark.createDataFrame([("http://h.com/a/item5", 1, "x")], "url string, _found int, host string")
+    got = url_filter.judge(table, rules[:10]).collect()
+    assert [(r._found, r.host, r.rule) for r in got] == [(1, "h.com", "h.com/a/item5")]
+
+
 # ---- 4
 
 
@@ -233,7 +334,7 @@ def test_nearest_recall(spark, sf_dir):
     assert all(abs(s - scores[q][i]) < 1e-12 for q in got for i, s in got[q] if i in scores[q])
 
 
-def test_nearest_of_odd_vectors(spark):
+def test_nearest_of_odd_vectors(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i % 3)]) for i in range(30)] + [(i, [2.0, 2.0]) for i in range(100, 160)] + [(40, None), (41, []), (42, [0.0, 0.0]), (43, [nan, 1.0]), (44, [inf, 1.0]), (45, [1.0, None]), (46, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]
     got = defaultdict(list)
@@ -242,6 +343,12 @@ def test_nearest_of_odd_vectors(spark):
         got[r.query_id].append((r.vec_id, r.score))
     good = {i: v for i, v in rows if i is not None and (i < 40 or i >= 100)}
     assert dict(got) == exact_nearest(sorted(good.items()), 20)
+    # lists of few entries, and small blocks and slices
+    for name, value in (("BLOCK", 7), ("SLICE", 2), ("SHARE", 0.0)):
+        monkeypatch.setattr(neighbours, name, value)
+    lone = [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(120)]
+    found = neighbours.nearest(spark.createDataFrame(lone, "vec_id long, embedding array<double>")).collect()
+    assert Counter(r.query_id for r in found) == {q: 20 for q in range(0, 120, 20)}
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0]), (20, [2.0])], "vec_id long, embedding array<double>")).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in few} == {(0, 1, 20, 2.0), (20, 1, 0, 2.0)}
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
@@ -252,12 +359,25 @@ def test_nearest_of_odd_vectors(spark):
 
 def test_wavelet_matrix():
     rng = random.Random(1)
-    for ids in ([], [0], [7] * 100, [rng.randrange(300) for _ in range(5000)], [70_000, 3, 70_000]):
-        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(np.array(ids, np.int64)).to_bytes())
-        assert m.decode().tolist() == ids and [m.access(i) for i in range(0, len(ids), 11)] == ids[::11]
+    for ids in ([], [0], [7] * 100, [rng.randrange(300) for _ in range(70_000)], [70_000, 3, 70_000]):
+        m = wavelet.WaveletMatrix(wavelet.encode_matrix(np.array(ids, np.int64)))
+        assert m.decode().tolist() == ids and [m.access(i) for i in range(0, len(ids), 1111)] == ids[::1111]
         for v in {*ids[:5], 1, 299, 999_999}:
             assert m.count(v) == ids.count(v) and m.rank(v, len(ids) // 2) == ids[: len(ids) // 2].count(v)
+            assert m.occurrences(v).tolist() == [i for i, x in enumerate(ids) if x == v]
             assert [m.select(v, k) for k in range(min(9, m.count(v)))] == [i for i, x in enumerate(ids) if x == v][:9]
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix(b"other bytes")
+
+
+def test_a_lookup_inflates_a_block_or_two_of_each_plane(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 50_000, 1_000_000)
+    m = wavelet.WaveletMatrix.build(ids)
+    inflated, block = [], wavelet.WaveletMatrix.block
+    monkeypatch.setattr(wavelet.WaveletMatrix, "block", lambda self, *at: inflated.append(at) or block(self, *at))
+    assert m.access(777_777) == ids[777_777] and len(inflated) == len(m.zeros)
+    inflated.clear()
+    assert m.count(5) == (ids == 5).sum() and len(inflated) <= 2 * len(m.zeros)
 
 
 def test_encoder_is_the_tokenizer():
@@ -274,6 +394,39 @@ def test_encoder_is_the_tokenizer():
         assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_memory_is_bounded_and_other_tokenizers_are_refused(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wavelet, "REMEMBERED", 20_000)
+    path = queries.tokenizer_path()
+    ours, plain = wavelet.Encoder(path), Tokenizer.from_file(path)
+    for k in range(3):
+        text = " ".join(f"word{i}x{k}." for i in range(3000)) + "y" * 100_000
+        assert ours.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        known = ours.known
+        assert sum(x.nbytes for x in (known.h1, known.h2, known.start, known.size, known.ids)) <= 20_000
+    with pytest.raises(ValueError):
+        wavelet.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_tokens_are_looked_up_in_files(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, plain = str(tmp_path / "shards"), Tokenizer.from_file(queries.tokenizer_path())
+    wavelet.write_shards(docs, path, queries.tokenizer_path(), 20_000)
+    ids = [i for r in docs.orderBy("doc_id").collect() for i in [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]]
+    often = Counter(ids).most_common(1)[0][0]
+    asked = [0, ids[5], often, often, 49_999]
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, path, asked).collect()} == {t: ids.count(t) for t in asked}
+    found = sorted((r.token, r.position) for r in wavelet.find_tokens(spark, path, asked).collect())
+    assert found == sorted((t, i) for t in set(asked) for i, x in enumerate(ids) if x == t)
+    positions = [*range(0, len(ids), 997), 0, None, -1, len(ids)]
+    got = sorted((r.position, r.token) for r in wavelet.tokens_at(spark, path, spark.createDataFrame([(p,) for p in positions], "position long")).collect())
+    assert got == sorted((p, ids[p]) for p in positions if p is not None and 0 <= p < len(ids))
+
+
 def round_trip(spark, table, tmp_path, shard):
     from tokenizers import Tokenizer
 
@@ -332,6 +485,7 @@ def test_every_license_rule_fires_alone(spark):
     """On a text of nothing but its own example, without the optional parts and with the first of its choices."""
     rows = []
     for label, *_, pattern in license_scan.rules():
+        text = re.sub(r"(?<=https)\?", "", re.sub(r"\.\{[^}]*\}\?", "x ", pattern))
         text = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", re.sub(r"\(\?:(?:[^()]|\([^)]*\)\?)*\)\?", "", pattern)))
         rows.append((len(rows), " ".join(text.split()), label))
     rows += [(len(rows) + i, t, n) for i, (t, n) in enumerate([("Released under the GPLv3 license", "gpl-3"), ("licensed under GPL v2", "gpl-2"), ("MPLv2 license", "mpl-2"), ("AGPLv3 licensed", "agpl-3"), ("Released under GPLv3.", "gpl-3"), ("gnu gpl v3 license", "gpl-3")])]
@@ -339,6 +493,47 @@ def test_every_license_rule_fires_alone(spark):
     assert [(t, n, got[i]) for i, t, n in rows if n not in got[i][0] or not got[i][1]] == []
 
 
+def test_license_rules_by_brute_force(spark):
+    """All rules, their keywords aside, and suppression, over random sentences of pieces of the rules' own examples."""
+    rng, rules = random.Random(9), license_scan.rules()
+    bits = [" ".join(re.sub(r"\(\?:([^|)]*)[^)]*\)\??|\[(.)[^]]*\]|\.\{[^}]*\}\??", r"\1\2", r[5]).replace("?", "").split()) for r in rules]
+    rows = [(i, " ".join(rng.choice([*rng.choices(bits, k=3), "and", "the Software", "CC0 1.0"]) for _ in range(rng.randrange(1, 7)))) for i in range(150)]
+    want = {}
+    for i, text in rows:
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        spaced, found = "".join(f" {w} " for w in words), set()
+        for label, priority, _, _, _, pattern in rules:
+            for m in re.finditer(pattern, spaced):
+                first = spaced[: m.start()].count(" ") // 2
+                found.add((label, priority, first, first + m[0].count(" ") // 2 - 1))
+        # an interval is out if another one of no lower priority holds it: a longer one, or, equal, a higher or a sooner one
+        out = {x for x in found for y in found if y != x and y[1] >= x[1] and y[2] <= x[2] and y[3] >= x[3] and (y[2:] != x[2:] or (-y[1], y[0]) < (-x[1], x[0]))}
+        want[i] = sorted((l, p, a, b) for l, p, a, b in found - out)
+    got = defaultdict(list)
+    for r in license_scan.detections(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.label, r.priority, r["first"], r["last"]))
+    assert {i: sorted(got[i]) for i in want} == want
+
+
+def test_every_license_rule_passes_the_gate():
+    for _, _, _, word, key, pattern in license_scan.rules():
+        fixed = re.sub(r"\(\?:(?:[^()]|\([^)]*\)\??)*\)\?", " ", pattern)
+        assert any(g in fixed for g in license_scan.GATE), pattern
+        assert f" {key} " in re.sub(r"\(\?:[^)]*\)", " ", fixed) + " ", (key, pattern)
+
+
+def test_license_rows_of_one_id_and_many_hits(spark):
+    import time
+
+    many = "a zlib license and " * 8000
+    table = spark.createDataFrame([(1, "Released under the GPLv3 license"), (1, "zlib license"), (2, many)], "doc_id long, text string")
+    license_scan.scan(table).collect()
+    began = time.time()
+    got = sorted((r.doc_id, r.n_words, r.labels) for r in license_scan.scan(table).collect())
+    assert got == [(1, 2, "zlib"), (1, 5, "gpl-3"), (2, 32_000, "zlib")] and time.time() - began < 15
+    assert license_scan.detections(table.where("doc_id = 2")).count() == 8000
+
+
 # ---- 8
 
 
@@ -362,6 +557,27 @@ def test_toxicity_on_held_out_rows(spark, docs, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b], ids=["both", "either"])
+def test_toxicity_of_pairs_through_fit(spark, rule):
+    """Two words that are common in clean texts decide together only; among many words that say nothing."""
+    rng, rows, toxic = random.Random(4), [], {}
+    for i in range(6000):
+        a, b = rng.random() < 0.6, rng.random() < 0.6
+        rows.append((i, " ".join([*(f"n{rng.randrange(400)}" for _ in range(30)), *(["groupx"] if a else []), *(["insulty"] if b else [])])))
+        toxic[i] = int(rule(a, b))
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    held = [r for r in toxicity.score(table, toxicity.fit(table, labels)).collect() if r.held_out]
+    caught = [r.predicted for r in held if toxic[r.doc_id]]
+    assert len(caught) > 500 and sum(caught) >= 0.95 * len(caught)
+    assert sum(r.predicted for r in held if not toxic[r.doc_id]) <= 0.01 * len(held)
+
+
+def test_toxicity_model_ignores_partitions(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7, "source").sortWithinPartitions("text"), labels.repartition(3))
+    assert a.bias == b.bias and all(np.array_equal(x, y) for x, y in ((a.slots, b.slots), (a.weights, b.weights), (a.factors, b.factors)))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     for model in (toxicity.fit(odd, labels), toxicity.fit(none, labels), toxicity.fit(odd, labels.limit(0))):
@@ -402,6 +618,7 @@ def test_main_text():
 <p>a <b>bo</b>ld<br>x&nbsp;y</p><script>var a="</p>";</script><ul><li>one<li>two</ul><div class="share">tw</div><section id="comments"><p>first!</p></section><form>sub</form></article></main><aside>side</aside><footer>f</footer>"""
     assert html_text.main_text(page) == "Hi & bé a bold x y one two"
     assert html_text.main_text('<div class="content"><p>hello<p>world</div><div class="left-sidebar">no</div> tail <!-- c -->end 1 < 2 &lt;b&gt;') == "hello world tail end 1 < 2 <b>"
+    assert html_text.main_text("<p>&am<b>p;</b> lt &lt;</p>") == "&amp; lt <"
     assert html_text.main_text("") == "" and html_text.main_text("plain  text") == "plain text"
     assert html_text.main_text("<div>" * 20_000 + "x") == "x" and html_text.main_text('<a href="' * 500) == ('<a href="' * 500)
 
