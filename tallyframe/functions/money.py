@@ -11,7 +11,7 @@ from tallyframe.types import FEE_BPS, TAX_BPS
 def pct_of(amount: Column, bps: int) -> Column:
     """amount * bps / 10000, rounded toward minus infinity in whole numbers."""
     product = amount * F.lit(bps).cast("long")
-    return ((product - F.pmod(product, F.lit(10_000).cast("long"))) / 10_000).cast("long")
+    return F.call_function("div", product - F.pmod(product, F.lit(10_000).cast("long")), F.lit(10_000).cast("long"))
 
 
 def expected_fee_and_tax(gross: Column) -> tuple[Column, Column]:
@@ -47,9 +47,9 @@ def parse_paise(text: Column) -> Column:
 
 
 def parse_comma_amount(text: Column) -> Column:
-    """Paise of an amount with a decimal comma, up to 15 characters; null where it isn't one."""
-    shape = r"^([0-9]{1,15}),([0-9]{0,2})$"
-    return F.when(text.rlike(shape) & (F.length(text) <= 15), F.concat(F.regexp_extract(text, shape, 1), F.rpad(F.regexp_extract(text, shape, 2), 2, "0")).try_cast("long"))
+    """Paise of an amount of up to 15 whole digits, with at most one decimal comma and two decimals; null where it isn't one."""
+    shape = r"^([0-9]{1,15})(?:,([0-9]{0,2}))?$"
+    return F.when(text.rlike(shape), F.concat(F.regexp_extract(text, shape, 1), F.rpad(F.regexp_extract(text, shape, 2), 2, "0")).try_cast("long"))
 
 
 def strict_long(text: Column) -> Column:

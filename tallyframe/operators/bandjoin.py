@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: int, condition: Column | None = None) -> DataFrame:
-    """Rows of left and right whose values differ by at most tolerance.
+def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: int, condition: Column | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left and right whose values differ by at most tolerance, and whose columns on are equal.
 
     Each left row goes to the one or two buckets, wider than the band, that its band touches, and meets the right rows
     of those buckets by equality; a right row is in one bucket, so no pair is made twice.
@@ -16,7 +16,7 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
     touched = left.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(left_value) - tolerance), bucket(F.col(left_value) + tolerance))))
     kept = right.withColumn("_bucket", bucket(F.col(right_value)))
-    pairs = touched.join(kept, "_bucket").where(F.abs(F.col(left_value) - F.col(right_value)) <= tolerance)
+    pairs = touched.join(kept, ["_bucket", *on]).where(F.abs(F.col(left_value) - F.col(right_value)) <= tolerance)
     return (pairs if condition is None else pairs.where(condition)).drop("_bucket")
 
 

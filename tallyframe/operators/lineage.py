@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """df after a reliable checkpoint in the folder that the cluster shares (spark.checkpoint.dir; where that is unset a temporary one on a local master, an error elsewhere)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyframe-"))
     return df.checkpoint(eager=True)

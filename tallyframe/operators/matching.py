@@ -61,16 +61,16 @@ def reference_candidates(lines: DataFrame, totals: DataFrame, references: DataFr
 
 
 def amount_candidates(lines: DataFrame, totals: DataFrame, tolerance: int) -> DataFrame:
-    """Settlements within the tolerance of a line's credit and WINDOW_DAYS of its date."""
-    pool = totals.select("settlement_id", "net", "payment_legs", "settled_on")
-    near = F.abs(F.datediff("settled_on", "txn_date")) <= WINDOW_DAYS
-    slim = lines.select("line_id", "txn_date", "credit")
-    pairs = slim.join(pool, F.col("net") == F.col("credit")).where(near) if tolerance == 0 else band_join(slim, pool, "credit", "net", tolerance, near)
+    """Settlements within the tolerance of a line's credit and WINDOW_DAYS of its date. The day is part of the key, so that a price that is common over years is no hot key."""
+    pool = totals.select("settlement_id", "net", "payment_legs", F.col("settled_on").alias("day"))
+    slim = lines.select("line_id", "credit", F.explode(F.sequence(F.date_sub("txn_date", WINDOW_DAYS), F.date_add("txn_date", WINDOW_DAYS))).alias("day"))
+    pairs = slim.join(pool.withColumnRenamed("net", "credit").withColumn("net", F.col("credit")), ["credit", "day"]) if tolerance == 0 else band_join(slim, pool, "credit", "net", tolerance, on=("day",))
     return pairs.select("line_id", "settlement_id", "payment_legs", "net", "credit")
 
 
 def reconcile(orders: DataFrame, psp: DataFrame, bank: DataFrame) -> Reconciliation:
     """The whole ladder over canonical tables (ids unique in each). matches: (line_id, settlement_id, tier, confidence, payment_legs, net, credit, delta)."""
+    psp, bank, orders = cut(psp), cut(bank), cut(orders)  # each is read many times
     marked = cut(S.suppress_duplicates(psp))
     active = marked.where("not suppressed").drop("suppressed", "twins")
     totals = cut(S.settlement_totals(active))

@@ -22,11 +22,11 @@ def suppress_duplicates(psp: DataFrame) -> DataFrame:
     # a leg that can't be a copy is alone in its partition, so one hot null key can't gather
     alone = F.when(~eligible, F.col("txn_id"))
     event = Window.partitionBy(*EVENT, alone)
-    settled = F.count("settlement_id").over(event)
-    rank = F.row_number().over(Window.partitionBy(*EVENT, alone, "settlement_id").orderBy("txn_id"))
-    gone = F.when(F.col("settlement_id").isNotNull(), rank > 1).otherwise((settled > 0) | (rank > 1))
-    twins = F.size(F.collect_set("settlement_id").over(event))
-    return psp.withColumn("suppressed", eligible & gone).withColumn("twins", F.when(eligible, twins).otherwise(0).cast("long"))
+    ranked = psp.withColumn("_rank", F.row_number().over(Window.partitionBy(*EVENT, alone, "settlement_id").orderBy("txn_id")))
+    # the first leg of each settlement of an event, counted; both windows need one shuffle
+    settlements = F.count_if(F.col("settlement_id").isNotNull() & (F.col("_rank") == 1)).over(event)
+    gone = F.when(F.col("settlement_id").isNotNull(), F.col("_rank") > 1).otherwise((settlements > 0) | (F.col("_rank") > 1))
+    return ranked.withColumns({"suppressed": eligible & gone, "twins": F.when(eligible, settlements).otherwise(0).cast("long")}).drop("_rank")
 
 
 def active_legs(psp: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import pct_of
+from tallyframe.operators.lineage import cut
 from tallyframe.types import FEE_BPS, TAX_BPS
 
 _LINE = ["l_orderkey", "l_linenumber"]
@@ -35,12 +36,17 @@ def _settlements(payments: DataFrame) -> DataFrame:
     return payments.groupBy("settlement_id", "k").agg(F.sum("amount").alias("gross"), F.date_add(F.max("shipped"), 2).alias("settled_at"), F.max("captured_at").alias("last_capture"), F.min("txn_id").alias("first_leg"))
 
 
+def base_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(payments, settlements), computed once for all that is made of them."""
+    paid = cut(_payments(spark, sf_dir))
+    return paid, cut(_settlements(paid))
+
+
 _COLUMNS = ("txn_id", "txn_type", "order_id", "captured_at", "amount", "settlement_id", "settled_at")
 
 
-def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paid = _payments(spark, sf_dir)
-    made = _settlements(paid)
+def psp(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    paid, made = tables or base_tables(spark, sf_dir)
     mod = lambda n: F.pmod(F.col("k"), F.lit(n))
     full = paid.join(made.select("settlement_id", "settled_at", "first_leg"), "settlement_id")
     first = F.col("txn_id") == F.col("first_leg")
@@ -70,8 +76,8 @@ def _net(net, mod):
     return net - F.when(mod(30) == 8, 100_000).when(mod(30) == 9, 50_000).otherwise(0).cast("long")
 
 
-def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _settlements(_payments(spark, sf_dir))
+def bank(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    made = tables[1] if tables else cut(_settlements(_payments(spark, sf_dir)))
     mod = lambda n: F.pmod(F.col("k"), F.lit(n))
     fee = pct_of(F.col("gross"), FEE_BPS)
     net = _net(F.col("gross") - fee - pct_of(fee, TAX_BPS), mod)
@@ -88,9 +94,9 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.unionByName(clones).unionByName(debits).select("line_id", "txn_date", "narration", "credit", "debit", F.lit(0).cast("long").alias("balance"), "utr")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Registered orders: the gross is that of all legs of the order."""
-    gross = _payments(spark, sf_dir).groupBy("order_id").agg(F.sum("amount").alias("gross_amount"))
+    gross = (tables[0] if tables else _payments(spark, sf_dir)).groupBy("order_id").agg(F.sum("amount").alias("gross_amount"))
     table = spark.read.parquet(f"{sf_dir}/orders.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "refunded").otherwise("partially_refunded")
     own = table.select(F.concat(F.lit("ORD-"), F.col("o_orderkey")).alias("order_id"), F.col("o_orderdate").cast("date").alias("order_date"), F.concat(F.lit("CUST-"), F.col("o_custkey")).alias("customer_ref"), status.alias("status"))

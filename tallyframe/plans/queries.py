@@ -33,7 +33,8 @@ def _query(sql: str | None = None):
 
 
 def _run(spark: SparkSession, sf_dir: str) -> M.Reconciliation:
-    return M.reconcile(P.orders(spark, sf_dir), P.psp(spark, sf_dir), P.bank(spark, sf_dir))
+    tables = P.base_tables(spark, sf_dir)
+    return M.reconcile(P.orders(spark, sf_dir, tables), P.psp(spark, sf_dir, tables), P.bank(spark, sf_dir, tables))
 
 
 @_query("SELECT * FROM register")
@@ -295,7 +296,11 @@ def analyst_accept(spark, sf_dir):
     return V.accepted_matches(V.accept(_proposals(r), r.psp, r.bank, r.totals, r.matches), r.totals, r.bank)
 
 
-@_query()
+@_query("""SELECT 0 AS phase, 'prepare' AS stage, 'dedup:suppressed' AS rule, txn_id AS subject_id, 'copy of an event' AS evidence FROM marked WHERE suppressed
+  UNION ALL SELECT 1, 'prepare', 'recovery:order', txn_id, order_id FROM recovered UNION ALL SELECT 2, tier, why, line_id, width || ' ways' FROM undecided
+  UNION ALL SELECT 2, tier, 'matched', m.line_id, CASE WHEN tier = 'T0' THEN 'settlement reference ' || m.settlement_id || ' found in the ' || CASE WHEN regexp_extract(b.narration, '\\b(setl_[A-Za-z0-9]+)\\b', 1) = m.settlement_id THEN 'narration' ELSE 'utr' END
+    || ', and its net equals the credit' ELSE 'only unclaimed settlement within tolerance and 2 days; residual ' || delta || ' paise' END FROM matched m JOIN bank b ON b.line_id = m.line_id
+  UNION ALL SELECT 3, 'residue', reason_code, subject_id, '' FROM excepted""")
 def audit_trail(spark, sf_dir):
     return M.audit(_run(spark, sf_dir))
 

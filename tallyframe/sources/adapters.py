@@ -107,15 +107,31 @@ def _balance(name: str) -> Column:
     return F.when(cell(name).rlike(r"(?i)dr\.?$"), -value).otherwise(value)
 
 
+#: Payment rails that a narration begins with, a reference, and one with its name before it.
+RAILS, REFERENCE, MARKED = "NEFT|RTGS|IMPS|UPI|MMT", r"^(?=.*[0-9])[A-Za-z0-9]{10,22}$", r"(?i)\bUTR[:\s-]*([A-Za-z0-9]{10,22})\b"
+
+
+def bank_utr(text: Column, last: bool) -> Column:
+    """The bank's reference in a narration, or null: after the word UTR, else in the last part of a rail's narration, or (last is false) right after the rail."""
+    marked = F.nullif(F.regexp_extract(text, MARKED, 1), F.lit(""))
+    bare = F.trim(text)
+    if last:
+        found = F.when(bare.rlike(f"(?i)^(?:{RAILS})"), F.trim(F.element_at(F.split(bare, "[-/]"), -1)))
+    else:
+        found = F.regexp_extract(text, rf"(?i)\b(?:{RAILS})[-/]([A-Za-z0-9]{{10,22}})\b", 1)
+    return F.coalesce(marked, F.when(found.rlike(REFERENCE), found))
+
+
 def _bank_records(prefix: str, date: str, form: str, text: str, out: str, into: str, balance: str, reference: str | None) -> Callable[[DataFrame], DataFrame]:
     def records(good: DataFrame) -> DataFrame:
         """line_id is the bank's reference if every full row of the file has one of its own, else the row's number in the file."""
         own = optional(reference) if reference else F.lit(None).cast("string")
-        whole = Window.partitionBy("path")
-        usable = (F.count(own).over(whole) == F.count("*").over(whole)) & (F.size(F.collect_set(own).over(whole)) == F.count("*").over(whole))
-        named = F.when(usable, own).otherwise(F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("ordinal").cast("string"), 5, "0")))
+        # a row a file
+        usable = good.groupBy("path").agg(((F.count(own) == F.count("*")) & (F.count_distinct(own) == F.count("*"))).alias("usable"))
+        good = good.join(usable, "path")
+        named = F.when(F.col("usable"), own).otherwise(F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("ordinal").cast("string"), 5, "0")))
         side = lambda n: F.nullif(parse_paise(cell(n)), F.lit(0).cast("long"))
-        utr = F.when(own.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{12,22}$"), own) if reference else F.nullif(F.regexp_extract(cell(text), r"(?:^|[-/])([A-Z]{1,5}[0-9]{6,}[A-Z0-9]*|[0-9]{6,}[A-Z]{2,}[0-9A-Z]*)(?:[-/]|$)", 1), F.lit(""))
+        utr = bank_utr(cell(text), reference is not None)
         return good.select("path", "row", named.alias("line_id"), parse_date(cell(date), form).alias("txn_date"), cell(text).alias("narration"), side(into).alias("credit"), side(out).alias("debit"), _balance(balance).alias("balance"), utr.alias("utr"))
 
     return records

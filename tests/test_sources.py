@@ -27,6 +27,10 @@ def test_money(spark):
     assert one(spark, money.rupees(F.lit(-5).cast("long"))) == "-0.05"
     assert one(spark, money.parse_comma_amount(F.lit("342614,53"))) == 34261453
     assert one(spark, money.parse_comma_amount(F.lit("1,234"))) is None
+    assert one(spark, money.parse_comma_amount(F.lit("1000"))) == one(spark, money.parse_comma_amount(F.lit("1000,"))) == 100_000
+    assert one(spark, money.parse_comma_amount(F.lit("123456789012345,00"))) == 12345678901234500 and one(spark, money.parse_comma_amount(F.lit("1234567890123456"))) is None
+    big = 10**14 + 12_345_678_901
+    assert all(one(spark, money.pct_of(F.lit(x), 236)) == x * 236 // 10_000 for x in (big, big + 1, 3 * 10**16 - 7, -big))
 
 
 def test_narration(spark):
@@ -135,3 +139,13 @@ def test_event_windows_stream_as_batch(spark, sf_dir, tmp_path):
     query = event_windows(read_events(spark, str(tmp_path / "events"))).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r)[:3] for r in spark.table("windows").collect()} == {tuple(r)[:3] for r in event_windows(events).collect()}
+
+
+def test_references_in_narrations(spark):
+    from tallyframe.sources.adapters import bank_utr
+
+    first = {"NEFT CR-HDFC0000123-SHOP-N260801123456789": "N260801123456789", "NEFT CR-HDFC0000123-RAZORPAY SOFTWARE": None, "POS 123456789012": None, "paid, utr: ABCD1234567890": "ABCD1234567890", "IMPS/RRN/412345678901": "412345678901", "": None}
+    second = {"NEFT-N260801123456789-RAZORPAY SOFTWARE": "N260801123456789", "NEFT-RAZORPAYSOFTWARE-N260801123456789": None, "INF UTR-AB12345678": "AB12345678", "X": None}
+    for told, last in ((first, True), (second, False)):
+        table = spark.createDataFrame([(t,) for t in told], "t string")
+        assert {r.t: r.u for r in table.select("t", bank_utr(F.col("t"), last).alias("u")).collect()} == told
