@@ -217,18 +217,18 @@ def detections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """(keep..., text_key, label, priority, confidence, first, last) of every detection that no other suppresses; words count from 0.
 
     One is suppressed that lies within another of the same text of no lower priority: a longer one, or an equal one of
-    a higher priority, or, those equal too, of a label that comes first. text_key is xxhash64 of the text. Each regex
-    runs over a text once; places are running sums of words, so many detections take time in proportion.
+    a higher priority, or, those equal too, of a label that comes first. text_key is xxhash64 of the text. A regex
+    runs over a text once, and once more where it is found; places are running sums of words, so many detections take time in proportion.
     """
     spark = docs.sparkSession
     table = F.broadcast(_rule_table(spark))  # hundreds of rows, whatever the data
     asked = docs.where(_gated(F.col("text"))).select(*keep, F.xxhash64("text").alias("text_key"), words_text(ascii_lower(F.col("text"))).alias("spaced"))
     keys = sorted({r[4] for r in rules()})
     held = asked.select(*keep, "text_key", "spaced", F.explode(F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("spaced"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("key"))
-    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.concat(F.lit(" "), "word", F.lit(" "))))
+    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.concat(F.lit(" "), "word", F.lit(" ")))).where(F.expr("spaced rlike pattern"))
     # words hold no control characters: they part what a regex finds (odd places) from what it doesn't (even ones)
     parts = F.split(F.regexp_replace("spaced", F.concat(F.lit("("), F.col("pattern"), F.lit(")")), F.lit("\x01$1\x01")), "\x01")
-    counts = met.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.transform(parts, lambda p: _count_words(p)).alias("counts")).where("size(counts) > 1")
+    counts = met.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.transform(parts, lambda p: _count_words(p)).alias("counts"))
     each = counts.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.posexplode("counts").alias("i", "words"))
     along = Window.partitionBy(*keep, "text_key", "pattern", "label").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     # rows that repeat an id and a text have the same detections
