@@ -26,9 +26,9 @@ SHARD_TOKENS = 2_000_000
 #: Bytes of a plane's block before compression.
 BLOCK_BYTES = 4096
 #: Bytes of text that a task encodes at once, bytes that a worker may remember pieces' ids in, and the longest piece remembered.
-SLICE, REMEMBERED, LONGEST = 3_000_000, 16 << 20, 64
-#: Pieces that the library encodes in one text.
-JOINED = 256
+SLICE, REMEMBERED, LONGEST = 750_000, 12 << 20, 64
+#: Pieces that the library encodes in one text, and texts that it encodes in one call: its results take a hundred bytes a token.
+JOINED, CALL = 256, 16
 END_ID = 0
 #: A part between spaces that is empty or has white space, of any script, at an end.
 ODD = r"^[\s\pZ\x{85}\x0b\x1c-\x1f]|[\s\pZ\x{85}\x0b\x1c-\x1f]$|^$"
@@ -223,8 +223,9 @@ def _keys(words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
 def gather(start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """The spans of pool one after the other."""
     ends = np.cumsum(size)
-    places = np.repeat(start - (ends - size), size)
-    places += np.arange(len(places))
+    width = np.int32 if len(pool) < 2**31 and (not len(ends) or ends[-1] < 2**31) else np.int64
+    places = np.repeat((start - (ends - size)).astype(width), size)
+    places += np.arange(len(places), dtype=width)
     return pool[places]
 
 
@@ -291,6 +292,12 @@ class Encoder:
             out += [(stem, spaced and not i), (line[len(stem) :], False)] if cut else [(line, spaced and not i)]
         return out
 
+    def _called(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, from the library."""
+        for a in range(0, len(texts), CALL):
+            for e in self.tokenizer.encode_batch_fast(texts[a : a + CALL], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
     def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, all ids), from the library."""
         single = [i for i, p in enumerate(pieces) if not p or any(c.isspace() for c in p.removeprefix(" "))]
@@ -300,13 +307,13 @@ class Encoder:
             chunk.append("\n".join([pieces[i] for i in order[a : a + JOINED]]) + "\n")
         sizes, found = np.zeros(len(pieces), np.int64), [np.zeros(0, np.uint32)]
         if chunk:
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False)])
+            ids = np.concatenate(list(self._called(chunk)))
             feeds = np.flatnonzero(ids == self.feed)
             sizes[order] = np.diff(feeds, prepend=-1) - 1
             found.append(np.delete(ids, feeds))
-        for e, i in zip(self.tokenizer.encode_batch_fast([pieces[i] for i in single], add_special_tokens=False), single, strict=True):
-            sizes[i] = len(e.ids)
-            found.append(np.array(e.ids, np.uint32))
+        for own, i in zip(self._called([pieces[i] for i in single]), single, strict=True):
+            sizes[i] = len(own)
+            found.append(own)
         came = np.array([*order, *single], np.int64)
         starts = np.zeros(len(pieces), np.int64)
         starts[came] = np.cumsum(sizes[came]) - sizes[came]
@@ -398,23 +405,32 @@ def _sharded(path: str, shard_tokens: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(path)
-        keys, lengths, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        waiting = 0
         try:
             for batch in _gathered(batches, SLICE):
                 for part in _slices(batch, SLICE):
                     own, sizes = encoder.encode(part.column(1))
-                    keys = np.concatenate([keys, pc.fill_null(part.column(0), NO_ID).to_numpy()])
-                    lengths = np.concatenate([lengths, sizes + 1])
-                    ids = np.concatenate([ids, np.insert(own, np.cumsum(sizes), END_ID)])
+                    held.append((pc.fill_null(part.column(0), NO_ID).to_numpy(), sizes + 1, np.insert(own, np.cumsum(sizes), END_ID)))
+                    waiting += len(held[-1][2])
+                    if waiting <= shard_tokens:
+                        continue
+                    keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = own = sizes = None
+                    give_back()
                     while len(ids) > shard_tokens and len(keys) > 1:
                         n = max(1, int(np.searchsorted(np.cumsum(lengths), shard_tokens, side="right")))
                         at = int(lengths[:n].sum())
                         yield row(keys[:n], lengths[:n], ids[:at])
                         keys, lengths, ids = keys[n:], lengths[n:], ids[at:]
+                    held, waiting = [(keys.copy(), lengths.copy(), ids.copy())], len(ids)
+            keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = own = sizes = None
+            give_back()
             if len(keys):
                 yield row(keys, lengths, ids)
         finally:
-            batch = part = own = sizes = keys = lengths = ids = None
+            batch = part = own = sizes = keys = lengths = ids = held = None
             give_back()
 
     return run
