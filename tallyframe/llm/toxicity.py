@@ -221,7 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     counts = np.array([len(r["own"]) // 2 for r in rows], np.int64)
     own, toxic = np.frombuffer(b"".join(r["own"] for r in rows), np.uint16), np.array([r["toxic"] for r in rows])
     del rows
-    return train(toxic, counts, own, slots)
+    model = train(toxic, counts, own, slots)
+    del own, toxic, counts
+    give_back()
+    return model
 
 
 def _scores(model: Model):
