@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import decontaminate, html_text, license_scan, line_dedup, mixture, neighbours, ngram_join, toxicity, url_filter, wavelet
+from tallyframe.llm import decontaminate, fill_middle, html_text, lexical_search, license_scan, line_dedup, mixture, neighbours, ngram_join, suffix_dedup, toxicity, url_filter, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and put together around markers, and its text rebuilt from that."""
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that an earlier one has."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixture": op9_mixture,
     "op10_html_text": op10_html_text,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_mixture": mixture.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }
