@@ -63,10 +63,15 @@ def recover_orders(psp: DataFrame, active: DataFrame, orders: DataFrame) -> Data
     named = psp.where("order_id is not null").select("order_id").distinct()
     free = orders.join(named, "order_id", "left_anti").select(F.col("order_id").alias("found"), "order_date", F.col("gross_amount").alias("amount"))
     open_legs = active.where("txn_type = 'payment' and order_id is null").select("txn_id", "amount", F.col("captured_at").cast("date").alias("captured_on"))
-    pairs = open_legs.join(free, "amount").withColumn("choices", F.count("*").over(Window.partitionBy("txn_id")))
-    in_week = (F.col("order_date") <= F.col("captured_on")) & (F.datediff("captured_on", "order_date") <= RECOVERY_DAYS)
-    left = pairs.where((F.col("choices") == 1) | in_week).withColumn("choices", F.count("*").over(Window.partitionBy("txn_id"))).where("choices = 1")
-    return left.withColumn("rivals", F.count("*").over(Window.partitionBy("found"))).where("rivals = 1").select("txn_id", F.col("found").alias("order_id"))
+    # counts by amount, and by amount and day, decide without a pair of every leg and order of one price
+    by_day = free.groupBy("amount", F.col("order_date").alias("day")).agg(F.count("*").alias("n"), F.min("found").alias("found"))
+    by_amount = by_day.groupBy("amount").agg(F.sum("n").alias("choices"), F.min("found").alias("sole"))
+    priced = open_legs.join(by_amount, "amount")
+    sole = priced.where("choices = 1").select("txn_id", F.col("sole").alias("found"))
+    days = priced.where("choices > 1").select("txn_id", "amount", F.explode(F.sequence(F.date_sub("captured_on", RECOVERY_DAYS), "captured_on")).alias("day"))
+    in_week = days.join(by_day, ["amount", "day"]).groupBy("txn_id").agg(F.sum("n").alias("n"), F.min("found").alias("found")).where("n = 1").select("txn_id", "found")
+    claims = sole.unionByName(in_week).groupBy("found").agg(F.count("*").alias("rivals"), F.min("txn_id").alias("txn_id"))
+    return claims.where("rivals = 1").select("txn_id", F.col("found").alias("order_id"))
 
 
 def dangling_refs(active: DataFrame, orders: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyframe.operators import reports as R
 from tallyframe.operators import scoring as G
 from tallyframe.operators import settlements as S
 from tallyframe.operators import verifier as V
+from tallyframe.operators.lineage import cut
 from tallyframe.plans import projection as P
 
 FLAGSHIP = "all_matches"
@@ -290,10 +291,77 @@ def hypothesis_verdicts(spark, sf_dir):
     return V.check(_proposals(r), r.psp, r.bank, r.totals, r.matches)
 
 
+#: Proposals that meet each other: each line's own settlement; the same again for even ids; one for an unknown subject; a clone's line for the original's settlement.
+_ASKED = """asked AS (
+  SELECT line_id AS proposal_id, line_id AS subject_id, line_id, substr(line_id, 4) AS sid, length(line_id) % 3 = 0 AS short FROM loose
+  UNION ALL SELECT line_id || '~', line_id, line_id, substr(line_id, 4), false FROM loose WHERE length(line_id) % 2 = 0
+  UNION ALL SELECT '0' || line_id, 'BL-none', line_id, substr(line_id, 4), false FROM loose WHERE length(line_id) % 2 = 1
+  UNION ALL SELECT '1' || line_id, line_id, line_id, substr(line_id, 4, length(line_id) - 4), false FROM loose WHERE line_id LIKE '%c'
+), asklegs AS (
+  SELECT a.*, p.txn_id, p.amount, p.settled_at FROM asked a JOIN (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY txn_id) AS r FROM psp WHERE settlement_id IS NOT NULL) p ON p.settlement_id = a.sid AND (p.r > 1 OR NOT a.short)
+), askfacts AS (
+  SELECT proposal_id, subject_id, a.line_id, sid, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, max(settled_at) AS last_settled, any_value(b.credit) AS credit, any_value(b.txn_date) AS txn_date FROM asklegs a JOIN bank b ON b.line_id = a.line_id GROUP BY ALL
+), openset AS MATERIALIZED (
+  SELECT settlement_id, net FROM totals WHERE settlement_id NOT IN (SELECT settlement_id FROM matched)
+), asknear AS (
+  SELECT f.credit, list(o.settlement_id) AS near FROM (SELECT DISTINCT credit FROM askfacts) f JOIN openset o ON o.net BETWEEN f.credit - 100 AND f.credit + 100 GROUP BY f.credit
+), steps AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY f.proposal_id) AS i, f.*, coalesce(a.near, []) AS near, CASE WHEN f.credit IS NULL OR f.credit <= 0 THEN 'existence' END AS early, f.sid NOT IN (SELECT settlement_id FROM openset) AS taken,
+    CASE WHEN last_settled > txn_date THEN 'causality' WHEN abs(total - f.credit) > 100 THEN 'arithmetic' WHEN n <> c.all_legs THEN 'existence' END AS late,
+    f.subject_id <> f.line_id OR f.subject_id NOT IN (SELECT line_id FROM loose) AS tie FROM askfacts f LEFT JOIN asknear a ON a.credit = f.credit JOIN (SELECT settlement_id, count(*) AS all_legs FROM psp GROUP BY ALL) c ON c.settlement_id = f.sid
+), fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS verdict, CAST([] AS VARCHAR[]) AS claimed, CAST([] AS VARCHAR[]) AS resolved
+  UNION ALL SELECT i, verdict, CASE WHEN verdict = 'accepted' THEN list_append(claimed, sid) ELSE claimed END, CASE WHEN verdict = 'accepted' THEN list_append(resolved, subject_id) ELSE resolved END FROM (
+    SELECT s.*, f.claimed, f.resolved, CASE WHEN early IS NOT NULL THEN early WHEN taken OR list_contains(f.claimed, sid) THEN 'exclusivity' WHEN late IS NOT NULL THEN late
+      WHEN len(list_filter(near, lambda x: NOT list_contains(f.claimed, x))) > 1 THEN 'uniqueness' WHEN tie OR list_contains(f.resolved, subject_id) THEN 'existence' ELSE 'accepted' END AS verdict FROM fold f JOIN steps s ON s.i = f.i + 1)
+), judged AS (SELECT s.proposal_id, s.line_id, s.sid AS settlement_id, s.total, f.verdict, s.subject_id FROM fold f JOIN steps s ON s.i = f.i)"""
+_FOLDED = f"WITH RECURSIVE {P.SQL}, {_ASKED}"
+
+
+def _asked(r: M.Reconciliation) -> DataFrame:
+    lines = M.line_exceptions(r).select("line_id")
+    size, own = F.length("line_id"), F.expr("substring(line_id, 4)")
+    ask = lambda name, subject, sid, short, rows: lines.where(rows).select(name.alias("proposal_id"), subject.alias("subject_id"), "line_id", sid.alias("settlement_id"), short.alias("short"))
+    line, whole = F.col("line_id"), F.lit(False)
+    every = (
+        ask(line, line, own, size % 3 == 0, F.lit(True)).unionByName(ask(F.concat(line, F.lit("~")), line, own, whole, size % 2 == 0)).unionByName(ask(F.concat(F.lit("0"), line), F.lit("BL-none"), own, whole, size % 2 == 1))
+        .unionByName(ask(F.concat(F.lit("1"), line), line, F.expr("substring(line_id, 4, length(line_id) - 4)"), whole, line.endswith("c")))
+    )
+    legs = r.psp.where("settlement_id is not null").groupBy("settlement_id").agg(F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
+    full = every.join(legs, "settlement_id").withColumn("txn_ids", F.when(F.col("short"), F.slice("txn_ids", 2, F.size("txn_ids"))).otherwise(F.col("txn_ids")))
+    return full.where("size(txn_ids) > 0").select("proposal_id", "subject_id", "line_id", "txn_ids")
+
+
+def _accepted(r: M.Reconciliation) -> tuple[DataFrame, DataFrame]:
+    open_now = cut(M.exceptions(r))
+    return cut(V.accept(cut(_asked(r)), r.psp, r.bank, r.totals, r.matches, open_now)), open_now
+
+
+@_query()
+def analyst_verdicts(spark, sf_dir):
+    """Every proposal's verdict, in order of ids."""
+    return _accepted(_run(spark, sf_dir))[0].drop("why")
+
+
 @_query()
 def analyst_accept(spark, sf_dir):
     r = _run(spark, sf_dir)
-    return V.accepted_matches(V.accept(_proposals(r), r.psp, r.bank, r.totals, r.matches), r.totals, r.bank)
+    return V.accepted_matches(_accepted(r)[0], r.totals, r.bank, r.order_sets)
+
+
+@_query()
+def analyst_residue(spark, sf_dir):
+    """What is still open after the proposals, with the last verdict on it."""
+    judged, open_now = _accepted(_run(spark, sf_dir))
+    return V.residue(open_now, judged)
+
+
+ORACLE_SQL["analyst_verdicts"] = f"{_FOLDED} SELECT proposal_id, line_id, settlement_id, total, verdict, subject_id FROM judged"
+ORACLE_SQL["analyst_accept"] = f"""{_FOLDED} SELECT j.line_id, j.settlement_id, 'LLM' AS tier, CAST(0.7 AS DOUBLE) AS confidence, t.payment_legs, t.net, b.credit, t.net - b.credit AS delta, coalesce(s.order_ids, '') AS order_ids
+  FROM judged j JOIN totals t ON t.settlement_id = j.settlement_id JOIN bank b ON b.line_id = j.line_id LEFT JOIN sets s ON s.settlement_id = j.settlement_id WHERE verdict = 'accepted'"""
+ORACLE_SQL["analyst_residue"] = f"""{_FOLDED} SELECT e.*, CASE WHEN l.last IS NULL THEN 'not_attempted' ELSE 'rejected' END AS verifier_verdict, l.last.v AS failed_check, l.last.p AS proposal_id
+  FROM excepted e LEFT JOIN (SELECT subject_id, max({{'p': proposal_id, 'v': verdict}}) AS last FROM judged WHERE verdict <> 'accepted' GROUP BY subject_id) l ON l.subject_id = e.subject_id
+  WHERE e.subject_id NOT IN (SELECT subject_id FROM judged WHERE verdict = 'accepted')"""
 
 
 @_query("""SELECT 0 AS phase, 'prepare' AS stage, 'dedup:suppressed' AS rule, txn_id AS subject_id, 'copy of an event' AS evidence FROM marked WHERE suppressed
