@@ -81,10 +81,18 @@ def dangling_refs(active: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def order_sets(active: DataFrame, orders: DataFrame, recovered: DataFrame) -> DataFrame:
-    """(settlement_id, order_ids, n_orders): registered orders of each settlement, recovered ones too, in order of txn_id and joined by commas."""
+    """(settlement_id, order_ids, n_orders): registered orders of each settlement, recovered ones too, joined by commas in order of their first legs: by ordinal, the place in the file, where active has it, else by txn_id."""
+    place = "ordinal" if "ordinal" in active.columns else "txn_id"
     found = recovered.select("txn_id", F.col("order_id").alias("recovered"))
     legs = active.where(F.col("txn_type").isin(*ORDER_BEARING) & F.col("settlement_id").isNotNull()).join(found, "txn_id", "left")
     legs = legs.withColumn("order_id", F.coalesce("order_id", "recovered")).join(orders.select("order_id"), "order_id")
-    firsts = legs.groupBy("settlement_id", "order_id").agg(F.min("txn_id").alias("first"))
+    firsts = legs.groupBy("settlement_id", "order_id").agg(F.min(place).alias("first"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "order_id"))), lambda x: x["order_id"])
     return firsts.groupBy("settlement_id").agg(F.array_join(ordered, ",").alias("order_ids"), F.count("*").alias("n_orders"))
+
+
+def leg_lists(active: DataFrame) -> DataFrame:
+    """(settlement_id, txn_ids): each settlement's legs as an array in the order of the file: by ordinal where active has it, else by txn_id."""
+    place = "ordinal" if "ordinal" in active.columns else "txn_id"
+    legs = active.where("settlement_id is not null").groupBy("settlement_id").agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), "txn_id"))).alias("legs"))
+    return legs.select("settlement_id", F.transform("legs", lambda x: x["txn_id"]).alias("txn_ids"))

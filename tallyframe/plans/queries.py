@@ -467,3 +467,70 @@ def event_windows(spark, sf_dir):
     from tallyframe.streaming.ingest import event_windows as windows
 
     return windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+_FILED = "filed AS (SELECT *, row_number() OVER (ORDER BY captured_at, txn_id) AS ordinal FROM psp)"
+
+
+@_query()
+def leg_lists(spark, sf_dir):
+    """Legs and orders of every settlement in the order of a file that has the legs by time of capture."""
+    from tallyframe.operators.ordinals import numbered
+
+    filed = numbered(P.psp(spark, sf_dir), ["captured_at", "txn_id"])
+    active, orders = S.active_legs(filed), P.orders(spark, sf_dir)
+    sets = S.order_sets(active, orders, S.recover_orders(filed, active, orders))
+    return S.leg_lists(active).select("settlement_id", F.array_join("txn_ids", ",").alias("txn_ids")).join(sets.select("settlement_id", "order_ids"), "settlement_id", "left")
+
+
+ORACLE_SQL["leg_lists"] = f"""WITH {P.SQL}, {_FILED}, own AS (SELECT a.settlement_id, string_agg(a.txn_id, ',' ORDER BY ordinal) AS txn_ids FROM active a JOIN filed f ON f.txn_id = a.txn_id WHERE a.settlement_id IS NOT NULL GROUP BY a.settlement_id),
+  firsts AS (SELECT a.settlement_id, g.order_id, min(f.ordinal) AS first FROM active a JOIN filed f ON f.txn_id = a.txn_id LEFT JOIN recovered r ON r.txn_id = a.txn_id JOIN register g ON g.order_id = coalesce(a.order_id, r.order_id)
+    WHERE a.txn_type IN ('payment', 'refund', 'chargeback') AND a.settlement_id IS NOT NULL GROUP BY ALL)
+  SELECT o.settlement_id, o.txn_ids, s.order_ids FROM own o LEFT JOIN (SELECT settlement_id, string_agg(order_id, ',' ORDER BY first, order_id) AS order_ids FROM firsts GROUP BY settlement_id) s ON s.settlement_id = o.settlement_id"""
+
+
+@_query("SELECT row_number() OVER (ORDER BY phase, stage, rule, subject_id, evidence) AS sequence, phase, stage, rule, subject_id FROM (" + ORACLE_SQL["audit_trail"].split(f"WITH {P.SQL} ")[1] + ")")
+def audit_sequence(spark, sf_dir):
+    """The audit trail with one running number."""
+    from tallyframe.operators.ordinals import numbered
+
+    return numbered(M.audit(_run(spark, sf_dir)), ["phase", "stage", "rule", "subject_id", "evidence"], "sequence").drop("evidence")
+
+
+@_query("""SELECT row_number() OVER (ORDER BY uploaded_at, upload_id, row) AS ordinal, upload_id, txn_id, amount, settled_at FROM (
+  SELECT *, 'up' || u AS upload_id, TIMESTAMP '2026-01-01' + INTERVAL 1 day * ((u * 3) % 4) AS uploaded_at, row_number() OVER (PARTITION BY u ORDER BY captured_at DESC, txn_id) AS row FROM (SELECT *, length(txn_id) % 6 AS u FROM psp)) WHERE u <> 2""")
+def upload_union(spark, sf_dir):
+    """The legs as records of six uploads, five of which a run takes, in the order of the uploads and of their files."""
+    from pyspark.sql import Window
+
+    from tallyframe.sources import uploads as U
+
+    legs = P.psp(spark, sf_dir).withColumn("u", (F.length("txn_id") % 6).cast("long"))
+    row = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("captured_at"), "txn_id"))
+    records = U.to_records(legs.withColumn("row", row), "psp_txn", "org", F.concat(F.lit("up"), "u"), F.col("row"))
+    uploads = spark.range(6).select(F.lit("org").alias("org_id"), F.concat(F.lit("up"), "id").alias("upload_id"), F.timestamp_add("DAY", (F.col("id") * 3 % 4).cast("int"), F.lit("2026-01-01").cast("timestamp_ntz")).alias("uploaded_at"))
+    taken = U.upload_inputs(records, uploads, "org", ["up5", "up0", "up1", "up3", "up4", "up0", "up9"], "psp_txn")
+    return taken.select("ordinal", "upload_id", "txn_id", "amount", "settled_at")
+
+
+def _digest_sql(name: str, table: str, order: str, columns: str) -> str:
+    fields = " || chr(31) || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(1))" for c in columns.split(", "))
+    return f"""{name}0 AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS i, sha256({fields}) AS h FROM ({table})),
+  {name}1 AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}0 GROUP BY i // 1024), {name}2 AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}1 GROUP BY i // 1024),
+  {name}d AS (SELECT (SELECT count(*) FROM {name}0) AS n, coalesce(max(h), sha256('')) AS digest FROM (SELECT h FROM {name}1 WHERE (SELECT count(*) FROM {name}1) = 1 UNION ALL SELECT h FROM {name}2 WHERE (SELECT count(*) FROM {name}1) > 1))"""
+
+
+@_query()
+def run_digest(spark, sf_dir):
+    """Digests of a run's matches, exceptions and audit, and of the run."""
+    from tallyframe.operators.digest import run_digest as digest
+
+    r = _run(spark, sf_dir)
+    return digest(r.matches, cut(M.exceptions(r)), M.audit(r))
+
+
+ORACLE_SQL["run_digest"] = f"""WITH {P.SQL}, {_digest_sql("m", "SELECT * FROM matched", "line_id", "line_id, settlement_id, tier, confidence, payment_legs, net, credit, delta")},
+  {_digest_sql("e", "SELECT * FROM excepted", "subject_type, subject_id", "subject_type, subject_id, reason_code, amount")},
+  {_digest_sql("a", ORACLE_SQL["audit_trail"].split(f"WITH {P.SQL} ")[1], "phase, stage, rule, subject_id, evidence", "phase, stage, rule, subject_id, evidence")},
+  three AS (SELECT 'matches' AS part, * FROM md UNION ALL SELECT 'exceptions', * FROM ed UNION ALL SELECT 'audit', * FROM ad)
+SELECT * FROM three UNION ALL SELECT 'run', CAST(sum(n) AS BIGINT), sha256(string_agg(part || ' ' || n || ' ' || digest, ',' ORDER BY part)) FROM three"""

@@ -60,10 +60,10 @@ def read_optional(spark: SparkSession, path: str, table: str) -> DataFrame | Non
 
 
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(linkages: line_id, settlement_id, order_ids; unresolvable: line_id) of a truth file."""
+    """(linkages: line_id, settlement_id, order_ids, txn_ids; unresolvable: line_id) of a truth file."""
     shape = "linkages array<struct<bank_line_id:string,settlement_id:string,psp_txn_ids:array<string>,order_ids:array<string>>>, unresolvable_ids array<string>"
     doc = spark.read.schema(shape).json(path, multiLine=True)
-    links = doc.select(F.explode("linkages").alias("l")).select(F.col("l.bank_line_id").alias("line_id"), "l.settlement_id", F.array_join("l.order_ids", ",").alias("order_ids"))
+    links = doc.select(F.explode("linkages").alias("l")).select(F.col("l.bank_line_id").alias("line_id"), "l.settlement_id", F.array_join("l.order_ids", ",").alias("order_ids"), F.col("l.psp_txn_ids").alias("txn_ids"))
     return links, doc.select(F.explode("unresolvable_ids").alias("line_id"))
 
 

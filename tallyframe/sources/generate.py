@@ -26,6 +26,7 @@ class Dataset:
     linkages: DataFrame
     unresolvable: DataFrame
     invoices: DataFrame
+    defects: DataFrame
 
 
 def _draw(seed: int, purpose: str, *keys: Column, below: int) -> Column:
@@ -69,10 +70,13 @@ def generate(spark: SparkSession, batches: int, seed: int = 42, per_hundred: int
     lines = lines.withColumn("line_id", F.concat(F.lit("BL-"), F.lpad(b.cast("string"), 9, "0"), F.lit("-"), "part"))
     bank = lines.select("line_id", "txn_date", "narration", "credit", F.lit(None).cast("long").alias("debit"), F.lit(0).cast("long").alias("balance"), F.lit(None).cast("string").alias("utr"))
     sets = each.groupBy("settlement_id").agg(F.array_join(F.array_sort(F.collect_list("order_id")), ",").alias("order_ids"))
-    linkages = lines.join(sets, "settlement_id").select("line_id", "settlement_id", "order_ids")
+    leg_sets = psp.where("settlement_id is not null").groupBy("settlement_id").agg(F.array_sort(F.collect_set("txn_id")).alias("txn_ids"))
+    linkages = lines.join(sets, "settlement_id").join(leg_sets, "settlement_id").select("line_id", "settlement_id", "order_ids", "txn_ids")
+    hurt = lines.where("defect <> 'clean'").groupBy("batch", "defect").agg(F.array_sort(F.collect_set("line_id")).alias("affected_ids"))
+    defects = hurt.select(F.col("defect").alias("defect_type"), "affected_ids", (F.col("defect") != "ambiguous_unresolvable").alias("resolvable"))
     trapped = lines.where("defect = 'ambiguous_unresolvable'").select("line_id")
     month = F.date_format("settled", "yyyy-MM")
     taxes = money.groupBy(month.alias("period")).agg(F.sum("fee").alias("taxable_value"), F.sum("tax").alias("tax"))
     short = F.when(F.substring("period", 6, 2) == "05", F.col("tax") - pct_of(F.col("tax"), 2500)).otherwise(F.col("tax"))
     invoices = taxes.where(F.substring("period", 6, 2) != "09").select(F.concat(F.lit("INV-"), "period").alias("invoice_no"), "period", "taxable_value", short.alias("gst_amount"), F.lit("29AAAAA0000A1Z5").alias("gstin"), F.last_day(F.to_date(F.concat("period", F.lit("-01")))).alias("invoice_date"))
-    return Dataset(orders, psp, bank, linkages, trapped, invoices)
+    return Dataset(orders, psp, bank, linkages, trapped, invoices, defects)
