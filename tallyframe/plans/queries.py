@@ -534,3 +534,35 @@ ORACLE_SQL["run_digest"] = f"""WITH {P.SQL}, {_digest_sql("m", "SELECT * FROM ma
   {_digest_sql("a", ORACLE_SQL["audit_trail"].split(f"WITH {P.SQL} ")[1], "phase, stage, rule, subject_id, evidence", "phase, stage, rule, subject_id, evidence")},
   three AS (SELECT 'matches' AS part, * FROM md UNION ALL SELECT 'exceptions', * FROM ed UNION ALL SELECT 'audit', * FROM ad)
 SELECT * FROM three UNION ALL SELECT 'run', CAST(sum(n) AS BIGINT), sha256(string_agg(part || ' ' || n || ' ' || digest, ',' ORDER BY part)) FROM three"""
+
+
+def _register_file(spark: SparkSession, sf_dir: str, orders: DataFrame, name: str) -> str:
+    """Orders written as one canonical file, in order of their ids, to the shared folder."""
+    import uuid
+
+    from tallyframe.operators.lineage import shared_dir
+    from tallyframe.sources import emit
+
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    emit.write_csv(orders, f"{base}/parts", "orders", ["order_id"])
+    emit.join_parts(spark, f"{base}/parts", f"{base}/orders.csv")
+    return f"{base}/orders.csv"
+
+
+@_query("SELECT * FROM register")
+def canonical_file(spark, sf_dir):
+    """The register written as a file and read by the strict reader."""
+    from tallyframe.sources import canonical
+
+    return canonical.read(spark, _register_file(spark, sf_dir, P.orders(spark, sf_dir), "canonical"), "orders")
+
+
+@_query("""SELECT CAST(2 + row_number() OVER (ORDER BY order_id) - 1 + coalesce(sum(CASE WHEN gross_amount % 3 = 0 THEN 2 ELSE 0 END) OVER (ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS row, order_id,
+  CASE WHEN gross_amount % 3 = 0 THEN customer_ref || chr(10) || chr(10) || '"' || status || '",' ELSE customer_ref END AS customer_ref FROM register""")
+def physical_rows(spark, sf_dir):
+    """The rows of a file with quoted line feeds, and the physical lines that they begin at."""
+    from tallyframe.sources.lines import read_rows_by_range
+
+    ref = F.when(F.col("gross_amount") % 3 == 0, F.concat("customer_ref", F.lit('\n\n"'), "status", F.lit('",'))).otherwise(F.col("customer_ref"))
+    file = _register_file(spark, sf_dir, P.orders(spark, sf_dir).withColumn("customer_ref", ref), "physical")
+    return read_rows_by_range(spark, file).select("row", F.col("cells")[0].alias("order_id"), F.col("cells")[2].alias("customer_ref"))

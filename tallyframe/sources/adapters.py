@@ -30,6 +30,8 @@ class Layout:
     key: Callable[[], Column] = field(default=lambda: F.lit(None).cast("string"))
     skip: Callable[[], Column] = field(default=lambda: F.lit(False))
     one_of: tuple[tuple[str, ...], ...] = ()
+    #: A column whose values, if all full rows of a file have one of their own, name the file's rows.
+    reference: str | None = None
 
     def confidence(self, names: list[str]) -> float:
         from tallyframe.sources.files import normalise_header
@@ -124,12 +126,9 @@ def bank_utr(text: Column, last: bool) -> Column:
 
 def _bank_records(prefix: str, date: str, form: str, text: str, out: str, into: str, balance: str, reference: str | None) -> Callable[[DataFrame], DataFrame]:
     def records(good: DataFrame) -> DataFrame:
-        """line_id is the bank's reference if every full row of the file has one of its own, else the row's number in the file."""
-        own = optional(reference) if reference else F.lit(None).cast("string")
-        # a row a file
-        usable = good.groupBy("path").agg(((F.count(own) == F.count("*")) & (F.count_distinct(own) == F.count("*"))).alias("usable"))
-        good = good.join(usable, "path")
-        named = F.when(F.col("usable"), own).otherwise(F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("ordinal").cast("string"), 5, "0")))
+        """line_id is the bank's reference if all full rows of the file, good or not, have one of their own, else the physical line that the row begins at."""
+        positional = F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("row").cast("string"), F.greatest(F.lit(5), F.length(F.col("row").cast("string"))), F.lit("0")))
+        named = F.when(F.col("carried"), optional(reference)).otherwise(positional) if reference else positional
         side = lambda n: F.nullif(parse_paise(cell(n)), F.lit(0).cast("long"))
         utr = bank_utr(cell(text), reference is not None)
         return good.select("path", "row", named.alias("line_id"), parse_date(cell(date), form).alias("txn_date"), cell(text).alias("narration"), side(into).alias("credit"), side(out).alias("debit"), _balance(balance).alias("balance"), utr.alias("utr"))
@@ -165,26 +164,54 @@ def _shop_records(good: DataFrame) -> DataFrame:
 
 # ---- a courier's remittance
 
-#: Deductions of a row and the legs they become.
-COURIER_LEGS = (("COD Amount", "payment", 1, ""), ("Freight Charge", "fee", -1, "_freight"), ("COD Handling Fee", "fee", -1, "_cod"), ("RTO Charge", "fee", -1, "_rto"), ("GST", "tax", -1, "_gst"))
-
+#: What a courier's columns mean and their usual names, and the deductions with their legs and prefixes.
+COURIER_COLUMNS = {
+    "remittance_ref": "Remittance Ref", "utr": "UTR", "remittance_date": "Remittance Date", "waybill": "Waybill", "order_id": "Order ID", "row_type": "Row Type", "delivery_date": "Delivery Date",
+    "cod_amount": "COD Amount", "freight": "Freight Charge", "cod_fee": "COD Handling Fee", "rto": "RTO Charge", "gst": "GST",
+}
+COURIER_REQUIRED, COURIER_DISTINCTIVE = ("remittance_ref", "remittance_date", "waybill", "order_id", "cod_amount"), ("waybill", "freight", "cod_fee", "rto")
+COURIER_DEDUCTIONS = (("freight", "fee", "frt"), ("cod_fee", "fee", "cdf"), ("rto", "fee", "rto"), ("gst", "tax", "gst"))
+_COURIER_DATES = ("dd-MM-yyyy", "yyyy-MM-dd")
+
+
+def courier(column_map: dict[str, str] | None = None) -> Layout:
+    """The layout of a courier's remittance; column_map gives other names for some of COURIER_COLUMNS. Deduction columns that a file doesn't have are no deductions."""
+    unknown = set(column_map or {}) - set(COURIER_COLUMNS)
+    if unknown:
+        raise ValueError(f"unknown columns {sorted(unknown)}; names can be given for {sorted(COURIER_COLUMNS)}")
+    names = {**COURIER_COLUMNS, **(column_map or {})}
+    has = lambda role: optional(names[role])
+    deducted = lambda role: F.coalesce(F.when(has(role).isNotNull(), parse_paise(cell(names[role]))), F.lit(0).cast("long"))
+
+    def terms() -> tuple[Column, Column, Column, Column, Column]:
+        """Kind, amount collected, bare reference, and the days of remittance and delivery."""
+        kind = F.upper(F.coalesce(has("row_type"), F.lit("COD")))
+        collected = F.when(kind == "COD", parse_paise(cell(names["cod_amount"]))).otherwise(F.lit(0).cast("long"))
+        remitted = parse_date(cell(names["remittance_date"]), *_COURIER_DATES)
+        delivered = F.when((kind == "COD") & has("delivery_date").isNotNull(), parse_date(cell(names["delivery_date"]), *_COURIER_DATES)).otherwise(remitted)
+        return kind, collected, F.regexp_replace(cell(names["remittance_ref"]), "[^A-Za-z0-9]", ""), remitted, delivered
 
-def _courier_reasons() -> list[tuple[Column, str]]:
-    money = [n for n, *_ in COURIER_LEGS]
-    total = sum(F.coalesce(F.abs(parse_paise(cell(n))), F.lit(0)) for n in money)
-    return [
-        *_missing("Remittance Ref", "Remittance Date", "Waybill"), (F.regexp_replace(cell("Remittance Ref"), "[^A-Za-z0-9]", "") == "", "MISSING_VALUE"),
-        (optional("Row Type").isNotNull() & ~F.upper(cell("Row Type")).isin("COD", "DEDUCTION"), "UNKNOWN_VALUE"), ((F.coalesce(F.upper(cell("Row Type")), F.lit("COD")) == "COD") & optional("Order ID").isNull(), "MISSING_VALUE"),
-        *_amounts(*money), (parse_date(cell("Remittance Date"), "dd-MM-yyyy", "yyyy-MM-dd").isNull(), "BAD_DATE"), (total == 0, "AMBIGUOUS_DIRECTION"),
-    ]
+    def reasons() -> list[tuple[Column, str]]:
+        kind, collected, reference, remitted, delivered = terms()
+        shipped = kind == "COD"
+        money = [(has(role).isNotNull() & parse_paise(cell(names[role])).isNull(), "BAD_DECIMAL") for role, *_ in COURIER_DEDUCTIONS]
+        below = [(deducted(role) < 0, "AMBIGUOUS_DIRECTION") for role, *_ in COURIER_DEDUCTIONS]
+        return [
+            *_missing(names["remittance_ref"]), (reference == "", "MISSING_VALUE"), *_missing(names["remittance_date"]), (remitted.isNull(), "BAD_DATE"), (~kind.isin("COD", "DEDUCTION"), "UNKNOWN_VALUE"),
+            (shipped & has("waybill").isNull(), "MISSING_VALUE"), (shipped & has("order_id").isNull(), "MISSING_VALUE"), (shipped & has("cod_amount").isNull(), "MISSING_VALUE"), (collected.isNull(), "BAD_DECIMAL"), (collected < 0, "AMBIGUOUS_DIRECTION"),
+            *money, *below, (collected + sum(deducted(role) for role, *_ in COURIER_DEDUCTIONS) == 0, "AMBIGUOUS_DIRECTION"), (delivered.isNull(), "BAD_DATE"),
+        ]
 
+    def records(good: DataFrame) -> DataFrame:
+        """A payment for what was collected, and a leg for each deduction; a row without a waybill is named by its remittance and line."""
+        _, collected, reference, remitted, delivered = terms()
+        subject = F.coalesce(has("waybill"), F.concat(reference, F.lit("L"), F.col("row")))
+        leg = lambda prefix, kind, amount: F.struct(F.concat(F.lit(f"{prefix}_"), subject).alias("txn_id"), F.lit(kind).alias("txn_type"), amount.alias("amount"))
+        legs = F.array(leg("cod", "payment", collected), *(leg(prefix, kind, -deducted(role)) for role, kind, prefix in COURIER_DEDUCTIONS))
+        full = good.select("path", "row", F.explode(F.filter(legs, lambda x: x["amount"] != 0)).alias("l"), has("order_id").alias("order_id"), delivered.cast("timestamp_ntz").alias("captured_at"), narration.remittance_settlement(cell(names["remittance_ref"])).alias("settlement_id"), remitted.alias("settled_at"))
+        return full.select("path", "row", "l.txn_id", "l.txn_type", "order_id", "captured_at", "l.amount", "settlement_id", "settled_at")
 
-def _courier_records(good: DataFrame) -> DataFrame:
-    on = parse_date(cell("Remittance Date"), "dd-MM-yyyy", "yyyy-MM-dd")
-    leg = lambda n, kind, sign, suffix: F.struct(F.concat(F.lit("cod_"), cell("Waybill"), F.lit(suffix)).alias("txn_id"), F.lit(kind).alias("txn_type"), (F.lit(sign).cast("long") * parse_paise(cell(n))).alias("amount"))
-    legs = F.filter(F.array(*(leg(*x) for x in COURIER_LEGS)), lambda x: x["amount"] != 0)
-    full = good.select("path", "row", F.explode(legs).alias("l"), optional("Order ID").alias("order_id"), on.cast("timestamp_ntz").alias("captured_at"), narration.remittance_settlement(cell("Remittance Ref")).alias("settlement_id"), on.alias("settled_at"))
-    return full.select("path", "row", "l.txn_id", "l.txn_type", F.when(F.col("l.txn_type") == "payment", F.col("order_id")).alias("order_id"), "captured_at", "l.amount", "settlement_id", "settled_at")
+    return Layout("cod-remittance-delhivery-v1", "psp", tuple(names[r] for r in COURIER_REQUIRED), tuple(names[r] for r in COURIER_DISTINCTIVE), reasons, records, lambda: F.concat(F.lit("waybill:"), has("waybill")))
 
 
 _FIRST = ("Date", "d/M/yy", "Narration", "Withdrawal Amt.", "Deposit Amt.", "Closing Balance")
@@ -192,12 +219,11 @@ _SECOND = ("Transaction Date", "d-M-yyyy", "Transaction Remarks", "Withdrawal Am
 LAYOUTS = (
     Layout("razorpay-settlement-v2", "psp", ("entity_id", "type", "debit", "credit", "amount", "currency", "tax", "created_at", "settlement_id"), ("settlement_utr", "order_receipt", "settled_at", "on_hold"), _processor_reasons, _processor_records,
            lambda: F.concat(F.lit("entity_id:"), optional("entity_id")), one_of=(("fee (exclusive tax)", "fee"),)),
-    Layout("bank-csv-hdfc-v1", "bank", tuple(_FIRST[i] for i in (0, 2, 3, 4, 5)), ("Chq./Ref.No.", "Value Dt"), _bank_reasons(*_FIRST, signed=False), _bank_records("HDFC", *_FIRST, "Chq./Ref.No.")),
+    Layout("bank-csv-hdfc-v1", "bank", tuple(_FIRST[i] for i in (0, 2, 3, 4, 5)), ("Chq./Ref.No.", "Value Dt"), _bank_reasons(*_FIRST, signed=False), _bank_records("HDFC", *_FIRST, "Chq./Ref.No."), reference="Chq./Ref.No."),
     Layout("bank-csv-icici-v1", "bank", tuple(_SECOND[i] for i in (0, 2, 3, 4, 5)), ("S No.", "Value Date", "Cheque Number"), _bank_reasons(*_SECOND, signed=True), _bank_records("ICICI", *_SECOND, None)),
     Layout("orders-csv-shopify-v1", "orders", ("Name", "Email", "Financial Status", "Currency", "Total", "Created at"), ("Lineitem quantity", "Lineitem name", "Fulfillment Status", "Paid at", "Subtotal"), _shop_reasons, _shop_records,
            lambda: F.concat(F.lit("name:"), optional("Name")), lambda: optional("Name").isNotNull() & F.coalesce(optional("Financial Status"), optional("Total"), optional("Created at")).isNull()),
-    Layout("cod-remittance-delhivery-v1", "psp", ("Remittance Ref", "Remittance Date", "Waybill", "Order ID", "COD Amount"), ("Freight Charge", "COD Handling Fee", "RTO Charge", "Row Type"), _courier_reasons, _courier_records,
-           lambda: F.concat(F.lit("waybill:"), optional("Remittance Ref"), F.lit("/"), optional("Waybill"))),
+    courier(),
 )
 BY_ID = {x.format_id: x for x in LAYOUTS}
 
@@ -210,7 +236,12 @@ def parse(rows: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
     judged = judged.withColumn("skipped", ~F.col("short") & ~F.col("long") & layout.skip()).where(~F.col("skipped"))
     whole = ~F.col("short") & ~F.col("long")
     first = F.min(F.when(whole, F.col("row"))).over(Window.partitionBy("path", key))
-    judged = judged.withColumn("first", first).withColumn("ordinal", F.row_number().over(Window.partitionBy("path").orderBy("row")))
+    judged = judged.withColumn("first", first)
+    if layout.reference:
+        own = optional(layout.reference)
+        # a row a file
+        carried = judged.where(whole).groupBy("path").agg(((F.count(own) == F.count("*")) & (F.count_distinct(own) == F.count("*"))).alias("carried"))
+        judged = judged.join(carried, "path", "left")
     reason = F.when(F.col("cells").isNull(), "UNDECODABLE").when(F.col("short"), "TRUNCATED_ROW").when(F.col("long"), "EXTRA_FIELDS").when(F.col("row") > F.col("first"), "DUPLICATE_ROW")
     for condition, why in layout.reasons():
         reason = reason.when(condition, why)
@@ -235,6 +266,18 @@ def sniff(spark: SparkSession, path: str) -> list[tuple[float, str]]:
     return sorted(scores, reverse=True)
 
 
+#: Bytes up to which a file is one task's work; longer ones are read by ranges.
+WHOLE_BYTES = 64_000_000
+
+
+def read_any_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The raw rows of one file: at once, with the file's hash, or by many tasks without it."""
+    from tallyframe.sources.lines import read_rows_by_range
+
+    length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return read_rows(spark, path) if length <= WHOLE_BYTES else read_rows_by_range(spark, path)
+
+
 def detect(spark: SparkSession, path: str) -> str | None:
     """The layout of a file; None if none is sure enough or the two best are equally so."""
     scores = sniff(spark, path)
@@ -254,5 +297,5 @@ def ingest(spark: SparkSession, path: str) -> tuple[str | None, DataFrame | None
     if found == "slice-pdf-v1":
         return found, *parse_statement_text(spark, path)
     if found:
-        return found, *parse(read_rows(spark, path), BY_ID[found])
+        return found, *parse(read_any_rows(spark, path), BY_ID[found])
     return None, None, spark.createDataFrame([(path, None, 0, "", "unreadable", "UNRECOGNISED_FORMAT")], ", ".join(f"{c} {'int' if c == 'row' else 'string'}" for c in QUARANTINE))

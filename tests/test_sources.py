@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import money, narration
 from tallyframe.operators import matching as M
 from tallyframe.operators import scoring as G
-from tallyframe.sources import adapters, canonical
+from tallyframe.sources import adapters, canonical, files
 from tallyframe.sources.generate import generate
 from tallyframe.streaming.ingest import event_windows, read_events, watch_folder
 
@@ -149,3 +149,66 @@ def test_references_in_narrations(spark):
     for told, last in ((first, True), (second, False)):
         table = spark.createDataFrame([(t,) for t in told], "t string")
         assert {r.t: r.u for r in table.select("t", bank_utr(F.col("t"), last).alias("u")).collect()} == told
+
+
+BANK = """Date,Narration,Chq./Ref.No.,Value Dt,Withdrawal Amt.,Deposit Amt.,Closing Balance
+01/08/26,NEFT CR A,{},01/08/26,0.00,10.00,10.00
+"two
+lines",BAD DATE,{},01/08/26,0.00,10.00,20.00
+03/08/26,NEFT CR B,{},03/08/26,5.00,0.00,15.00
+"""
+
+
+def test_line_ids_are_carried_or_the_physical_line(spark, tmp_path):
+    layout = adapters.BY_ID["bank-csv-hdfc-v1"]
+    ids = lambda *refs: [r.line_id for r in adapters.parse(files.read_rows(spark, str(_write(tmp_path, BANK.format(*refs)))), layout)[0].orderBy("row").collect()]
+    assert ids("r1", "r2", "r3") == ["r1", "r3"]
+    # a row that can't be used still has its say about the references
+    assert ids("r1", "r1", "r3") == ["HDFC-00002", "HDFC-00005"] == ids("r1", "", "r3")
+
+
+def _write(folder, text):
+    path = folder / f"f{abs(hash(text))}.csv"
+    path.write_text(text)
+    return path
+
+
+COURIER = """Remittance Ref,Remittance Date,AWB,Order ID,Collected,Row Type,Delivery Date,Freight Charge,GST
+R/1,14-08-2026,w1,ORD-1,100.00,COD,12-08-2026,10.00,1.80
+R/1,14-08-2026,w1,ORD-1,100.00,COD,13-08-2026,10.00,1.80
+R/1,14-08-2026,,,,DEDUCTION,,5.00,
+R/1,14-08-2026,,,,DEDUCTION,,5.00,
+R/1,14-08-2026,,,,DEDUCTION,,-5.00,
+R/1,14-08-2026,w2,,50.00,COD,,,
+R/1,14-08-2026,w3,ORD-3,-1.00,,,,
+R/1,14-08-2026,w4,ORD-4,0.00,COD,,,
+R/1,14-08-2026,w5,ORD-5,7.00,COD,2026/08/01,,
+R/1,2026-08-14,w6,ORD-6,7.00,,,,
+R/1,14-08-2026,w7,ORD-7,7.00,RETURN,,,
+"""
+
+
+def test_courier_with_other_column_names(spark, tmp_path):
+    import datetime as dt
+
+    rows = files.read_rows(spark, str(_write(tmp_path, COURIER)))
+    records, left = adapters.parse(rows, adapters.courier({"waybill": "AWB", "cod_amount": "Collected"}))
+    got = {r.txn_id: (r.txn_type, r.order_id, r.amount, r.captured_at.date(), r.settled_at, r.settlement_id) for r in records.collect()}
+    on, day = dt.date(2026, 8, 14), lambda n: dt.date(2026, 8, n)
+    assert got == {
+        "cod_w1": ("payment", "ORD-1", 10_000, day(12), on, "setl_codR1"), "frt_w1": ("fee", "ORD-1", -1000, day(12), on, "setl_codR1"), "gst_w1": ("tax", "ORD-1", -180, day(12), on, "setl_codR1"),
+        "frt_R1L4": ("fee", None, -500, on, on, "setl_codR1"), "cod_w6": ("payment", "ORD-6", 700, on, on, "setl_codR1"),
+    }
+    assert {r.row: r.reason for r in left.collect()} == {3: "DUPLICATE_ROW", 5: "DUPLICATE_ROW", 6: "AMBIGUOUS_DIRECTION", 7: "MISSING_VALUE", 8: "AMBIGUOUS_DIRECTION", 9: "AMBIGUOUS_DIRECTION", 10: "BAD_DATE", 12: "UNKNOWN_VALUE"}
+    with pytest.raises(ValueError):
+        adapters.courier({"awb": "AWB"})
+
+
+def test_long_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    path = str(_write(tmp_path, SHOP))
+    whole = adapters.ingest(spark, path)
+    monkeypatch.setattr(adapters, "WHOLE_BYTES", 10)
+    ranged = adapters.ingest(spark, path)
+    for a, b in zip(whole[1:], ranged[1:], strict=True):
+        drop = lambda df: sorted(map(tuple, df.drop("file_sha256", "path").collect()), key=str)
+        assert drop(a) == drop(b)
