@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import pct_of
@@ -33,6 +33,33 @@ def _draw(seed: int, purpose: str, *keys: Column, below: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(purpose), *keys), F.lit(below)).cast("long")
 
 
+def separate(lines: DataFrame, reserved: DataFrame) -> DataFrame:
+    """lines (line_id, txn_date, credit, posted) with dates such that no two have one date and credit, and none a reserved (txn_date, credit).
+
+    Slots are claimed in rounds: first every line its own date, then the losers one, two and no days after posting. Of the
+    claims to a free slot that of the least line_id wins. A fixed number of rounds, each a rank by slot; only lines
+    that collide take part. A line without a free slot in its window is an error.
+    """
+    from tallyframe.operators.lineage import cut
+
+    slot = ["txn_date", "credit"]
+    held = reserved.select(*slot).distinct()
+    meet = Window.partitionBy(*slot)
+    counted = cut(lines.join(held.withColumn("kept", F.lit(True)), slot, "left").withColumn("n", F.count("*").over(meet)))
+    free = counted.where("n = 1 and kept is null").select(*lines.columns)
+    left, placed = cut(counted.where("n > 1 or kept is not null").select(*lines.columns)), None
+    if left.isEmpty():
+        return free
+    taken = held.unionByName(free.select(*slot))
+    for after in (None, 1, 2, 0):
+        claims = left if after is None else left.withColumn("txn_date", F.date_add("posted", after))
+        won = cut(claims.join(taken, slot, "left_anti").withColumn("place", F.row_number().over(meet.orderBy("line_id"))).where("place = 1").drop("place"))
+        placed, taken = won if placed is None else placed.unionByName(won), taken.unionByName(won.select(*slot))
+        left = cut(left.join(won, "line_id", "left_anti"))
+    stuck = left.select("line_id", F.raise_error(F.concat(F.lit("no free date in the window of "), "line_id")).cast("date").alias("txn_date"), *(c for c in lines.columns if c not in ("line_id", "txn_date")))
+    return free.unionByName(placed).unionByName(stuck.select(*lines.columns))
+
+
 def generate(spark: SparkSession, batches: int, seed: int = 42, per_hundred: int = 2) -> Dataset:
     """Batches of orders settled together. Of each hundred, per_hundred have each defect in turn; gross amounts are distinct."""
     b = F.col("batch")
@@ -66,8 +93,11 @@ def generate(spark: SparkSession, batches: int, seed: int = 42, per_hundred: int
     credit = F.when(F.col("defect") == "rounding_break", F.col("net") - 50).otherwise(F.col("net"))
     late = F.when(F.col("defect") == "obfuscated_settlement_ref", 4 + _draw(seed, "late", b, below=6)).otherwise(_draw(seed, "post", b, below=2)).cast("int")
     parts = F.when(F.col("defect") == "split_settlement", F.array(pct_of(credit, 6000), credit - pct_of(credit, 6000))).when(F.col("defect") == "ambiguous_unresolvable", F.array(credit, credit)).otherwise(F.array(credit))
-    lines = money.select("batch", "defect", "settlement_id", F.date_add("settled", late).alias("txn_date"), text.alias("narration"), F.posexplode(parts).alias("part", "credit"))
+    delayed = F.when(F.col("defect") == "obfuscated_settlement_ref", late).otherwise(0)
+    lines = money.select("batch", "defect", "settlement_id", F.date_add("settled", delayed).alias("posted"), F.date_add("settled", late).alias("txn_date"), text.alias("narration"), F.posexplode(parts).alias("part", "credit"))
     lines = lines.withColumn("line_id", F.concat(F.lit("BL-"), F.lpad(b.cast("string"), 9, "0"), F.lit("-"), "part"))
+    trap = F.col("defect") == "ambiguous_unresolvable"
+    lines = lines.where(trap).unionByName(separate(lines.where(~trap), lines.where(trap)))
     bank = lines.select("line_id", "txn_date", "narration", "credit", F.lit(None).cast("long").alias("debit"), F.lit(0).cast("long").alias("balance"), F.lit(None).cast("string").alias("utr"))
     sets = each.groupBy("settlement_id").agg(F.array_join(F.array_sort(F.collect_list("order_id")), ",").alias("order_ids"))
     leg_sets = psp.where("settlement_id is not null").groupBy("settlement_id").agg(F.array_sort(F.collect_set("txn_id")).alias("txn_ids"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import parse_comma_amount, parse_date, parse_paise
+from tallyframe.operators.lineage import cut
+from tallyframe.operators.ordinals import numbered
 from tallyframe.sources.files import decode, without_comments
 
 #: The grammar of a statement line and of a balance.
@@ -28,8 +30,8 @@ def is_mt940(text: str) -> float:
 
 def is_statement_text(text: str) -> float:
     """Dated lines with rupee amounts at their end."""
-    dated = len(re.findall(r"(?m)^\d{2} [A-Z][a-z]{2} '\d{2}\b", text))
-    money = len(re.findall(r"-?₹[\d,]+(?:\.\d{1,2})? -?₹[\d,]+(?:\.\d{1,2})?\s*$", text, re.M))
+    dated = len(re.findall(r"(?m)^\d{1,2} [A-Z][a-z]{2} '\d{2}\b", text))
+    money = len(re.findall(r"-?₹[\d,]+(?:\.\d{1,2})?\s+-?₹[\d,]+(?:\.\d{1,2})?\s*$", text, re.M))
     return 0.95 if dated >= 1 and money >= 1 else 0.0
 
 
@@ -80,49 +82,96 @@ def parse_mt940(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return records, left
 
 
-_START = re.compile(r"^(\d{2} [A-Z][a-z]{2} '\d{2}) (?!-)(.*)$")
-_END = re.compile(r"^(.*?)\s*\b(\d{10,22}) (-?)₹([\d,]+(?:\.\d+)?) (-?)₹([\d,]+(?:\.\d+)?)\s*$")
-#: Lines that a row of a printed statement may be wrapped over.
+#: How a row of a printed statement begins and ends, what is a page's furniture, and the lines a row may take.
+_START = re.compile(r"^(\d{1,2} [A-Z][a-z]{2} '\d{2})\b")
+_FURNITURE = re.compile(r"^\d{1,2} [A-Z][a-z]{2} '\d{2}\s*-\s*\d{1,2} [A-Z][a-z]{2} '\d{2}\s*$|^\d{1,3}\s*/\s*\d{1,3}\s*$")
+_END = re.compile(r"(?:(?<=\s)|^)(?:(\d{6,})\s+)?(-?)₹(\S+)\s+₹(\S+)\s*$")
+_END_ONLY = re.compile(r"^\s*(?:\d{6,}\s+)?-?₹\S+\s+₹\S+\s*$")
 MOST_LINES = 6
+_ENTRY = "path string, kind string, row long, raw string, day string, narration string, ref string, sign string, amount string, claimed string"
+
+
+def page_entries(page: str, before: int) -> Iterator[tuple]:
+    """(kind, row, raw, day, narration, ref, sign, amount, claimed) of a page whose first line has the number before + 1.
+
+    kind is row, broken (a row that never ends, or an end without a begin) or furniture. A row begins at a date, when none is
+    open, and ends at once where its lines have amount and balance. A line is glued to the one before it, as rows wrap
+    inside words; one that is only the end of a row is a column of its own. Rows don't go on on the next page.
+    """
+    nothing, held, joined, start = (None,) * 6, [], "", 0
+    for row, line in enumerate(page.split("\n"), before + 1):
+        line = line.rstrip()
+        if not line:
+            continue
+        ending = _END_ONLY.match(line)
+        if _FURNITURE.match(line) or not (held or ending or _START.match(line)):
+            yield ("furniture", row, line, *nothing)
+        elif not held and not _START.match(line):
+            yield ("broken", row, line, *nothing)
+        else:
+            start, joined = (start, joined + (" " if ending else "") + line) if held else (row, line)
+            held.append(line)
+            if end := _END.search(joined):
+                day = _START.match(joined)
+                yield ("row", start, "\n".join(held), day[1], joined[day.end() : end.start()].strip(), *end.groups())
+                held = []
+            elif len(held) >= MOST_LINES:
+                yield ("broken", start, "\n".join(held), *nothing)
+                held = []
+    if held:
+        yield ("broken", start, "\n".join(held), *nothing)
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of printed statements, joined over their wrapped lines."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            body, skipped = without_comments(decode(content) or "")
-            out, held, start = [], [], 0
-            for i, line in enumerate(body.replace("\f", "\n").split("\n"), skipped + 1):
-                if m := _START.match(line):
-                    if held:
-                        out.append((path, start, "\n".join(held), None, None, None, None, None))
-                    held, start = [line], i
-                elif held:
-                    held.append(line)
-                joined = "".join(held[:-1]) + (" " if len(held) > 1 and held[-1][:1].isdigit() else "") + held[-1] if held else ""
-                if held and (e := _END.match(joined)):
-                    when = _START.match(held[0])[1]
-                    out.append((path, start, "\n".join(held), when, e[1][len(when) + 1 :].strip(), e[2], e[3] + e[4], e[5] + e[6]))
-                    held = []
-                elif len(held) > MOST_LINES or (held and line.strip() == ""):
-                    out.append((path, start, "\n".join(held), None, None, None, None, None))
-                    held = []
-            if held:
-                out.append((path, start, "\n".join(held), None, None, None, None, None))
-            yield pd.DataFrame(out, columns=["path", "row", "raw", "day", "narration", "ref", "amount", "claimed"])
-
-
-def parse_statement_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine). A row whose balance doesn't follow from the claimed balance before it, and its amount, is quarantined."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_entries, "path string, row int, raw string, day string, narration string, ref string, amount string, claimed string")
-    money, balance, when = parse_paise(F.col("amount")), parse_paise(F.col("claimed")), F.try_to_date(F.regexp_replace("day", "'", ""), "dd MMM yy")
-    judged = rows.withColumns({"moved": money, "balance": balance, "on": when})
-    before = F.lag("balance", 1).over(Window.partitionBy("path").orderBy("row"))
+        out = []
+        for path, page, before, latin in zip(batch["path"], batch["page"], batch["before"], batch["latin"], strict=True):
+            text, dropped = bytes(page).decode("latin-1" if latin else "utf-8"), 0
+            if before == 0:
+                text, dropped = without_comments(text.removeprefix("\ufeff"))
+            out += [(path, *e) for e in page_entries(text, before + dropped)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+
+
+def statement_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every row, broken row and line of furniture of the text layers of printed statements, with physical line numbers.
+
+    Pages part at form feeds, where Spark splits a file of any length; the lines before a page are a sum over the
+    pages in order. A page is one value. Comments before the first page's lines are left out but counted.
+    """
+    order = ["path", "block", "at"]
+    pages = cut(spark.read.option("lineSep", "\f").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("page"), (~F.is_valid_utf8("value")).alias("latin")))
+    text = F.decode("page", "ISO-8859-1")
+    sized = pages.select(*order, "latin", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    placed = cut(numbered(sized, order, "number", running={"upto": F.col("n")}).withColumn("upto", F.col("upto") - F.col("n")))
+    files = placed.groupBy("path").agg(F.min("upto").alias("from"), F.max("latin").alias("latin"))
+    full = pages.drop("latin").join(placed.select(*order, "upto"), order).join(files, "path")
+    return full.select("path", "page", (F.col("upto") - F.col("from")).alias("before"), "latin").mapInPandas(_entries, _ENTRY)
+
+
+def parse_statement_text(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine). A row whose balance doesn't follow from the balance that the row before it claimed, and its amount, is quarantined; the first row of a file is taken as it is.
+
+    A reference of twelve digits is the utr; any other stays in the narration.
+    """
+    entries = cut(statement_entries(spark, path).where("kind <> 'furniture'"))
+    size, balance, when = parse_paise(F.col("amount")), parse_paise(F.col("claimed")), F.try_to_date(F.regexp_replace("day", "'", ""), "d MMM yy")
+    utr = F.when(F.col("ref").rlike("^[0-9]{12}$"), F.col("ref"))
+    text = F.when(F.col("ref").isNotNull() & utr.isNull() & ~F.coalesce(F.contains("narration", "ref"), F.lit(False)), F.trim(F.concat_ws(" ", "narration", "ref"))).otherwise(F.col("narration"))
+    judged = entries.withColumns({"moved": F.when(F.col("sign") == "-", -size).otherwise(size), "balance": balance, "on": when, "utr": utr, "narration": text})
     reason = (
-        F.when(F.col("day").isNull(), "TRUNCATED_ROW").when(F.col("on").isNull(), "BAD_DATE").when(F.col("moved").isNull() | F.col("balance").isNull(), "BAD_DECIMAL").when(F.col("moved") == 0, "AMBIGUOUS_DIRECTION")
-        .when(before.isNotNull() & (before + F.col("moved") != F.col("balance")), "BALANCE_MISMATCH").when(F.row_number().over(Window.partitionBy("path", "ref").orderBy("row")) > 1, "DUPLICATE_ROW")
+        F.when(F.col("kind") == "broken", "TRUNCATED_ROW").when(F.col("on").isNull(), "BAD_DATE").when(F.col("moved").isNull() | F.col("balance").isNull(), "BAD_DECIMAL").when(F.col("moved") == 0, "AMBIGUOUS_DIRECTION").when(F.col("narration") == "", "MISSING_VALUE")
     )
     judged = judged.withColumn("reason", reason)
-    utr = F.nullif(F.regexp_extract("narration", r"\b([0-9]{12})\b", 1), F.lit(""))
-    records = judged.where("reason is null").select("path", "row", F.col("ref").alias("line_id"), F.col("on").alias("txn_date"), "narration", F.when(F.col("moved") > 0, F.col("moved")).alias("credit"), F.when(F.col("moved") < 0, -F.col("moved")).alias("debit"), "balance", utr.alias("utr"))
-    return records, judged.where("reason is not null").select("path", F.lit(None).cast("string").alias("file_sha256"), "row", "raw", F.lit("slice-pdf-v1").alias("format_id"), "reason")
+    # a row meets the one before it by their numbers: no window over a file
+    good = cut(numbered(judged.where("reason is null"), ["path", "row"], "number"))
+    earlier = good.select((F.col("number") + 1).alias("number"), F.col("path").alias("its_path"), F.col("balance").alias("claimed_before"))
+    chained = good.join(earlier, "number", "left").withColumn("claimed_before", F.when(F.col("path") == F.col("its_path"), F.col("claimed_before")))
+    off = F.coalesce(F.col("claimed_before") + F.col("moved") != F.col("balance"), F.lit(False))
+    records = chained.where(~off).select(
+        "path", "row", F.concat(F.lit("SLICE-"), F.lpad(F.col("row").cast("string"), F.greatest(F.lit(5), F.length(F.col("row").cast("string"))), F.lit("0"))).alias("line_id"), F.col("on").alias("txn_date"), "narration", F.when(F.col("moved") > 0, F.col("moved")).alias("credit"),
+        F.when(F.col("moved") < 0, -F.col("moved")).alias("debit"), "balance", "utr",
+    )
+    left = judged.where("reason is not null").select("path", "row", "raw", "reason").unionByName(chained.where(off).select("path", "row", "raw", F.lit("ARITHMETIC_MISMATCH").alias("reason")))
+    return records, left.select("path", F.lit(None).cast("string").alias("file_sha256"), F.col("row").cast("int").alias("row"), "raw", F.lit("slice-pdf-v1").alias("format_id"), "reason")

@@ -169,3 +169,119 @@ def test_uploads_in_the_order_of_their_files(spark):
     assert uploads.upload_inputs(records, registry, "o", ["u1"], "order").isEmpty()
     counts = {(r.org_id, r.upload_id): r.n_psp_txn for r in uploads.upload_counts(registry, records).collect()}
     assert counts[("o", "u1")] == 3 and counts[("o", "empty")] == 0 and counts[("other", "u1")] == 1
+
+
+def test_lines_are_kept_apart(spark):
+    import datetime as dt
+
+    from tallyframe.sources.generate import separate
+
+    rng, on = random.Random(8), dt.date(2026, 3, 1)
+    rows = []
+    for i in range(1200):
+        posted = on + dt.timedelta(rng.randrange(400))
+        rows.append((f"l{i:05d}", posted + dt.timedelta(rng.randrange(2)), 100 * rng.randrange(40), posted))
+    reserved = [(on + dt.timedelta(k), 100 * k) for k in range(40)]
+    shape = "line_id string, txn_date date, credit long, posted date"
+    table, held = spark.createDataFrame(rows, shape), spark.createDataFrame(reserved, "txn_date date, credit long")
+    got = {r.line_id: (r.txn_date, r.credit, r.posted) for r in separate(table, held).collect()}
+    slots = [(d, c) for d, c, _ in got.values()]
+    assert len(got) == 1200 == len(set(slots)) and not set(slots) & set(reserved)
+    moved = 0
+    for line, day, credit, posted in rows:
+        new = got[line]
+        assert new[1:] == (credit, posted) and (new[0] == day or 0 <= (new[0] - posted).days <= 2)
+        moved += new[0] != day
+    assert moved > 20
+    # a line that nobody meets stays where it is
+    first = {}
+    for line, day, credit, _ in rows:
+        first.setdefault((day, credit), []).append(line)
+    assert all(got[x[0]][0] == slot[0] for slot, x in first.items() if len(x) == 1 and slot not in set(reserved))
+    from pyspark.errors import PySparkException
+
+    crowded = spark.createDataFrame([(f"x{i}", on, 5, on) for i in range(4)], shape)
+    with pytest.raises(PySparkException, match="no free date"):
+        separate(crowded, held).collect()
+
+
+def test_generated_lines_are_apart(spark):
+    d = generate(spark, 5000)
+    traps = d.unresolvable.select("line_id")
+    lines = d.bank.join(traps, "line_id", "left_anti").groupBy("txn_date", "credit").count().where("count > 1")
+    mixed = d.bank.join(traps, "line_id").select("txn_date", "credit").join(d.bank.join(traps, "line_id", "left_anti"), ["txn_date", "credit"], "left_semi")
+    assert lines.isEmpty() and mixed.isEmpty() and d.bank.count() == d.bank.select("line_id").distinct().count()
+
+
+PRINTED = """# note
+slice small finance bank
+01 Apr '25 - 30 Apr '25
+1/2
+1 Apr '25 UPI-Debit-1-A-meeratexti
+les99@examplebank-987654321012
+1234567890123456 -₹85 ₹4,215.50
+02 Apr '25 UPI-Credit from
+ B 123456789012 ₹10.50 ₹4,226.00
+page foot
+03 Apr '25 held over the page\f01 Apr '25 - 30 Apr '25
+2/2
+999999 ₹1.00 ₹2.00
+5 Apr '25 Interest Cr. for 04-Apr-2025 ₹0.35 ₹4,226.35
+06 Apr '25 note that wraps
+07 Apr '25 inside 777777 -₹1.35 ₹4,225.00
+08 Apr '25 wrong balance 123456 ₹1.00 ₹9,999.00
+09 Apr '25 goes on from there 123456 ₹1.00 ₹10,000.00
+31 Feb '25 no such day ₹1.00 ₹1.00
+10 Apr '25 bad money ₹1.0.0 ₹1.00
+11 Apr '25 ₹5.00 ₹10,005.00
+12 Apr '25 never
+ends
+at
+all
+here
+or here
+too late ₹1.00 ₹1.00
+13 Apr '25 nothing moves ₹0.00 ₹10,005.00
+"""
+
+
+def test_printed_statement(spark, tmp_path):
+    import datetime as dt
+
+    from tallyframe.sources import adapters, statements
+
+    path = tmp_path / "printed.txt"
+    path.write_text(PRINTED)
+    found, records, left = adapters.ingest(spark, str(path))
+    assert found == "slice-pdf-v1"
+    day = lambda n: dt.date(2025, 4, n)
+    got = [(r.line_id, r.txn_date, r.narration, r.credit, r.debit, r.balance, r.utr) for r in records.orderBy("row").collect()]
+    assert got == [
+        ("SLICE-00005", day(1), "UPI-Debit-1-A-meeratextiles99@examplebank-987654321012 1234567890123456", None, 8500, 421550, None), ("SLICE-00008", day(2), "UPI-Credit from B", 1050, None, 422600, "123456789012"),
+        ("SLICE-00015", day(5), "Interest Cr. for 04-Apr-2025", 35, None, 422635, None), ("SLICE-00016", day(6), "note that wraps07 Apr '25 inside 777777", None, 135, 422500, None), ("SLICE-00019", day(9), "goes on from there 123456", 100, None, 1_000_000, None),
+    ]
+    assert {r.row: r.reason for r in left.collect()} == {
+        11: "TRUNCATED_ROW", 14: "TRUNCATED_ROW", 18: "ARITHMETIC_MISMATCH", 20: "BAD_DATE", 21: "BAD_DECIMAL", 22: "MISSING_VALUE", 23: "TRUNCATED_ROW", 30: "AMBIGUOUS_DIRECTION"}
+    kinds = statements.statement_entries(spark, str(path)).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in kinds} == {"row": 10, "broken": 3, "furniture": 7}
+
+
+def test_printed_statements_of_many_pages(spark, tmp_path, small_ranges):
+    """Pages over many ranges and two files: numbers and balances go on within a file and don't from one to the other."""
+    from tallyframe.sources import statements
+
+    pages, at, rows = [], 0, 0
+    for p in range(30):
+        lines = [f"{p + 1}/30"]
+        for i in range(p % 4):
+            at += 100 + i
+            rows += 1
+            lines += [f"{1 + i} Jan '25 row {p}", f"of {i} ₹{(100 + i) / 100:.2f} ₹{at / 100:.2f}"]
+        pages.append("\n".join(lines))
+    text = "\f".join(pages)
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text(text)
+    records, left = statements.parse_statement_text(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+    got = sorted((r.path[-5:], r.row) for r in records.collect())
+    numbered_lines = [i for i, x in enumerate(re.split("[\n\f]", text), 1) if "row" in x]
+    assert got == [(name, i) for name in ("a.txt", "b.txt") for i in numbered_lines] and left.isEmpty() and rows == len(numbered_lines)
