@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import expected_fee_and_tax
-from tallyframe.types import ORDER_BEARING, RECOVERY_DAYS
+from tallyframe.types import ORDER_BEARING, RECOVERY_DAYS, TXN_TYPES
 
 EVENT = ["txn_type", "order_id", "captured_at", "amount"]
 
@@ -34,7 +34,9 @@ def active_legs(psp: DataFrame) -> DataFrame:
 
 
 def settlement_totals(active: DataFrame) -> DataFrame:
-    """One row for each settlement: gross, fees, tax, refunds, holds, net, payment_legs, legs and settled_on."""
+    """One row for each settlement: gross, fees, tax, refunds, holds, net, payment_legs, legs and settled_on. A leg of an unknown type is an error: it would be in the net and in none of its parts."""
+    known = F.col("txn_type").isin(*TXN_TYPES)
+    active = active.withColumn("amount", F.when(F.coalesce(known, F.lit(False)), F.col("amount")).otherwise(F.raise_error(F.format_string("leg %s is of no known type: %s", "txn_id", F.coalesce("txn_type", F.lit("null")))).cast("long")))
     part = lambda *types, sign=1: F.coalesce(F.sum(F.when(F.col("txn_type").isin(*types), F.lit(sign).cast("long") * F.col("amount"))), F.lit(0)).cast("long")
     return active.where("settlement_id is not null").groupBy("settlement_id").agg(
         part("payment", "adjustment").alias("gross"), part("fee", sign=-1).alias("fees"), part("tax", sign=-1).alias("tax"), part("refund", sign=-1).alias("refunds"),

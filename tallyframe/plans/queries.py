@@ -566,3 +566,68 @@ def physical_rows(spark, sf_dir):
     ref = F.when(F.col("gross_amount") % 3 == 0, F.concat("customer_ref", F.lit('\n\n"'), "status", F.lit('",'))).otherwise(F.col("customer_ref"))
     file = _register_file(spark, sf_dir, P.orders(spark, sf_dir).withColumn("customer_ref", ref), "physical")
     return read_rows_by_range(spark, file).select("row", F.col("cells")[0].alias("order_id"), F.col("cells")[2].alias("customer_ref"))
+
+
+@_query("""SELECT e.subject_type, e.subject_id, e.reason_code, e.amount, b.narration, p.order_id, coalesce(b.txn_date, CAST(p.captured_at AS DATE)) AS on_day, t.steps, t.last_rule FROM excepted e
+  LEFT JOIN bank b ON e.subject_type = 'bank_line' AND b.line_id = e.subject_id LEFT JOIN psp p ON e.subject_type = 'psp_txn' AND p.txn_id = e.subject_id
+  LEFT JOIN (SELECT subject_id, count(*) AS steps, max({'p': phase, 's': stage, 'r': rule}).r AS last_rule FROM (""" + ORACLE_SQL["audit_trail"].split(f"WITH {P.SQL} ")[1] + """) GROUP BY subject_id) t ON t.subject_id = e.subject_id""")
+def exception_subjects(spark, sf_dir):
+    """Every exception with its record and where its trail ends."""
+    r = _run(spark, sf_dir)
+    full = R.with_subjects(cut(M.exceptions(r)), R.subjects(r.orders, r.psp.drop("suppressed", "twins"), r.bank)).join(R.trails(M.audit(r)), "subject_id", "left")
+    on = F.coalesce("bank_line.txn_date", F.col("psp_txn.captured_at").cast("date"))
+    return full.select("subject_type", "subject_id", "reason_code", "amount", "bank_line.narration", "psp_txn.order_id", on.alias("on_day"), "steps", "last_rule")
+
+
+@_query("SELECT line_id, tier, why, width FROM undecided QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY width DESC, tier) = 1")
+def widest_ambiguity(spark, sf_dir):
+    return R.widest(_run(spark, sf_dir).undecided)
+
+
+@_query()
+def run_history(spark, sf_dir):
+    return R.run_history(_runs(spark, sf_dir)).select("run_id", "org_id", "dataset", "status", "place", "seconds_since")
+
+
+ORACLE_SQL["run_history"] = f"""WITH {_RUNS} SELECT run_id, org_id, dataset, status, CAST(row_number() OVER (PARTITION BY org_id ORDER BY created_at DESC, run_id DESC) AS INTEGER) AS place,
+  date_diff('second', lag(created_at) OVER (PARTITION BY org_id, dataset ORDER BY created_at, run_id), created_at) AS seconds_since FROM runs"""
+
+
+@_query()
+def assisted_rates(spark, sf_dir):
+    """What the ladder and the proposals beside it resolve of what can be resolved."""
+    r = _run(spark, sf_dir)
+    judged = _accepted(r)[0]
+    linkages, traps = P.truth(spark, sf_dir)
+    every = r.matches.select("line_id", "tier").unionByName(V.accepted_matches(judged, r.totals, r.bank).select("line_id", "tier"))
+    return G.match_rates(linkages, traps, every, judged)
+
+
+ORACLE_SQL["assisted_rates"] = f"""WITH RECURSIVE {_VERDICTS}, {_ASKED}, res AS (SELECT DISTINCT line_id FROM linked WHERE line_id NOT IN (SELECT line_id FROM traps)),
+  c AS (SELECT (SELECT count(*) FROM res) AS resolvable, (SELECT count(*) FROM res WHERE line_id IN (SELECT line_id FROM matched)) AS auto, (SELECT count(*) FROM res WHERE line_id IN (SELECT line_id FROM judged WHERE verdict = 'accepted')) AS assisted,
+    (SELECT count(*) FROM judged) AS proposed, (SELECT count(*) FROM judged WHERE verdict <> 'accepted') AS rejected)
+SELECT resolvable, auto, assisted, proposed, rejected, CAST(auto AS DOUBLE) / resolvable AS auto_match_rate, CAST(assisted AS DOUBLE) / resolvable AS assisted_match_rate, CAST(rejected AS DOUBLE) / proposed AS llm_rejection_rate FROM c"""
+
+
+@_query("""SELECT line_id, txn_date, narration, credit, debit, balance, utr FROM (SELECT CAST((i - 1) // 50 * 52 + 2 + (i - 1) % 50 AS BIGINT) AS n, *, i % 97 = 0 OR (i > 1 AND (i - 1) % 97 = 0) AS off FROM (
+    SELECT row_number() OVER w AS i, 'SLICE-' || CASE WHEN (i - 1) // 50 * 52 + 2 + (i - 1) % 50 < 100000 THEN lpad(CAST((i - 1) // 50 * 52 + 2 + (i - 1) % 50 AS VARCHAR), 5, '0') ELSE CAST((i - 1) // 50 * 52 + 2 + (i - 1) % 50 AS VARCHAR) END AS line_id,
+      CAST(txn_date + INTERVAL 30 year AS DATE) AS txn_date, narration, credit, debit, CAST(900000000000 + sum(coalesce(credit, 0) - coalesce(debit, 0)) OVER w AS BIGINT) AS balance, lpad(CAST(i AS VARCHAR), 12, '0') AS utr FROM bank WINDOW w AS (ORDER BY txn_date, line_id))) WHERE NOT off""")
+def printed_statement(spark, sf_dir):
+    """The statement printed in pages of fifty rows, some balances wrong, and read again."""
+    import uuid
+
+    from tallyframe.operators.lineage import shared_dir
+    from tallyframe.operators.ordinals import numbered
+    from tallyframe.sources import emit
+    from tallyframe.sources.statements import parse_statement_text
+
+    moved = F.coalesce("credit", F.lit(0)) - F.coalesce("debit", F.lit(0))
+    lines = numbered(P.bank(spark, sf_dir), ["txn_date", "line_id"], "i", running={"upto": moved})
+    claimed = F.col("upto") + F.lit(900_000_000_000) + F.when(F.col("i") % 97 == 0, 1).otherwise(0)
+    page = F.concat(F.when(F.col("i") > 1, "\f").otherwise(""), F.call_function("div", F.col("i") - 1, F.lit(50).cast("long")) % 1000, F.lit("/999\n"))
+    day = F.date_format(F.add_months("txn_date", 360), "d MMM ''yy")
+    text = F.concat(F.when((F.col("i") - 1) % 50 == 0, page).otherwise(""), F.concat_ws(" ", day, "narration", F.lpad(F.col("i").cast("string"), 12, "0"), F.regexp_replace(money.fmt_inr(F.coalesce("credit", -F.col("debit"))), "^-", "-"), money.fmt_inr(claimed)))
+    base = f"{shared_dir(spark)}/printed-{uuid.uuid4().hex}"
+    emit.write_lines([(lines, text, ["i"])], f"{base}/parts")
+    emit.join_parts(spark, f"{base}/parts", f"{base}/statement.txt")
+    return parse_statement_text(spark, f"{base}/statement.txt")[0].select("line_id", "txn_date", "narration", "credit", "debit", "balance", "utr")

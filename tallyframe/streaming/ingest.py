@@ -22,26 +22,43 @@ def new_uploads(files: DataFrame, known: DataFrame | None, org_id: str) -> DataF
     return once if known is None else once.join(known.select("org_id", "content_sha256"), ["org_id", "content_sha256"], "left_anti")
 
 
-def watch_folder(spark: SparkSession, folder: str, registry: str, checkpoint: str, org_id: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Hand each new content that lands in folder to handle once, all that is there now, and stop; dot files are ignored.
+def watch_folder(spark: SparkSession, folder: str, registry: str, checkpoint: str, org_id: str, handle: Callable[[DataFrame, int], None], source: str = "watch") -> StreamingQuery:
+    """Hand each new content that lands in folder to handle, all that is there now, and stop; dot files are ignored.
 
-    The registry, a table of hashes, and the query's checkpoint make a rerun or an overlapping window harmless.
+    The registry is a table of hashes by source (a name for this checkpoint) and epoch. A batch first writes what is new in
+    it to its own partition, then hands it over; what is new is judged by all other partitions. A batch that failed
+    after either step comes again with the same epoch and the same rows, and replaces its partition. So handle gets a content
+    under one epoch only, and if what it does is a replacement of its epoch's results (see deliver), each content counts once.
     """
     shape = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(shape).option("pathGlobFilter", "[!.]*").load(folder)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(registry)
-        known = spark.read.parquet(registry) if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place) else None
-        fresh = new_uploads(df, known, org_id).persist()
-        handle(fresh, epoch)
-        fresh.write.mode("append").parquet(registry)
-        fresh.unpersist()
+        session = df.sparkSession
+        others = None
+        if _exists(session, registry):
+            others = session.read.schema(REGISTRY).parquet(registry).where(~((F.col("source") == source) & (F.col("epoch") == epoch)))
+        deliver(new_uploads(df, others, org_id), registry, source, epoch)
+        own = session.read.schema(REGISTRY).parquet(registry).where((F.col("source") == source) & (F.col("epoch") == epoch))
+        handle(own.drop("source", "epoch"), epoch)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+REGISTRY = "org_id string, path string, content_sha256 string, length bigint, source string, epoch bigint"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def deliver(df: DataFrame, path: str, source: str, epoch: int) -> None:
+    """Write df as the results of one epoch of a source; writing an epoch again replaces it and nothing else."""
+    keyed = df.withColumns({"source": F.lit(source), "epoch": F.lit(epoch).cast("long")})
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "epoch").parquet(path)
+
+
 def due(connections: DataFrame, now, days: int = 30) -> DataFrame:
     """Connections whose last good sync is so many days ago, or unknown."""
     return connections.where(F.col("last_synced_at").isNull() | (F.datediff(F.lit(now), "last_synced_at") >= days))
