@@ -46,13 +46,23 @@ def referenced_settlements(bank: DataFrame, totals: DataFrame) -> DataFrame:
     return hits.groupBy("line_id").agg(F.min(F.struct("rank", "settlement_id", "source")).alias("b")).select("line_id", "b.settlement_id", "b.source")
 
 
-def resolve(candidates: DataFrame, label: Column) -> tuple[DataFrame, DataFrame]:
-    """candidates (line_id, settlement_id, payment_legs, ...) to (matches, undecided lines with the candidates' number and why)."""
+def resolve(candidates: DataFrame, label: Column) -> DataFrame:
+    """candidates (line_id, settlement_id, ...) with choices (of the line), rivals (lines whose only choice is the settlement) and status: matched, ambiguous, contested, or null where the label doesn't hold."""
     counted = candidates.withColumn("choices", F.count("*").over(Window.partitionBy("line_id")))
-    sole = counted.where(F.col("choices") == 1).where(label).withColumn("rivals", F.count("*").over(Window.partitionBy("settlement_id")))
-    ambiguous = counted.where("choices > 1").select("line_id", F.col("choices").alias("width"), F.lit("ambiguous").alias("why")).distinct()
-    contested = sole.where("rivals > 1").select("line_id", F.col("rivals").alias("width"), F.lit("contested").alias("why"))
-    return sole.where("rivals = 1").drop("choices", "rivals"), ambiguous.unionByName(contested)
+    sole = F.coalesce((F.col("choices") == 1) & label, F.lit(False))
+    rivalled = counted.withColumn("rivals", F.count_if(sole).over(Window.partitionBy("settlement_id")))
+    return rivalled.withColumn("status", F.when(F.col("choices") > 1, "ambiguous").when(sole & (F.col("rivals") > 1), "contested").when(sole, "matched"))
+
+
+def _claims(resolved: DataFrame, tier: str) -> DataFrame:
+    cols = ("line_id", "settlement_id", F.lit(tier).alias("tier"), F.lit(CONFIDENCE[tier]).alias("confidence"), "payment_legs", "net", "credit", (F.col("net") - F.col("credit")).alias("delta"))
+    return resolved.where("status = 'matched'").select(*cols)
+
+
+def _stuck(resolved: DataFrame, tier: str) -> DataFrame:
+    """The lines that a tier left, with how wide they were and why."""
+    width = F.when(F.col("status") == "ambiguous", F.col("choices")).otherwise(F.col("rivals"))
+    return resolved.where(F.col("status").isin("ambiguous", "contested")).select("line_id", width.alias("width"), F.col("status").alias("why"), F.lit(tier).alias("tier")).distinct()
 
 
 def reference_candidates(lines: DataFrame, totals: DataFrame, references: DataFrame) -> DataFrame:
@@ -69,25 +79,35 @@ def amount_candidates(lines: DataFrame, totals: DataFrame, tolerance: int) -> Da
 
 
 def reconcile(orders: DataFrame, psp: DataFrame, bank: DataFrame) -> Reconciliation:
-    """The whole ladder over canonical tables (ids unique in each). matches: (line_id, settlement_id, tier, confidence, payment_legs, net, credit, delta)."""
-    psp, bank, orders = cut(psp), cut(bank), cut(orders)  # each is read many times
+    """The whole ladder over canonical tables (ids unique in each). matches: (line_id, settlement_id, tier, confidence, payment_legs, net, credit, delta).
+
+    Lineage is cut where a table is read by all that follows: the statement, the marked legs, the totals and each tier's
+    candidates. Recovered orders, order sets and references are plans until someone reads them. The second tier's candidates
+    are the first one's that are left, under another label.
+    """
+    bank = cut(bank)
     marked = cut(S.suppress_duplicates(psp))
     active = marked.where("not suppressed").drop("suppressed", "twins")
     totals = cut(S.settlement_totals(active))
-    recovered = cut(S.recover_orders(psp, active, orders))
-    references = cut(referenced_settlements(bank, totals))
+    recovered = S.recover_orders(marked, active, orders)
+    references = referenced_settlements(bank, totals)
     lines, pool = bank.where("credit is not null").select("line_id", "txn_date", "credit"), totals
-    matches = undecided = None
+    matches = undecided = exact = None
     tiers = (("T0", None, F.lit(True)), ("T1", 0, F.col("payment_legs") == 1), ("T2", 0, F.col("payment_legs") >= 2), ("T3", TOLERANCE, F.lit(True)))
     for tier, tolerance, label in tiers:
-        candidates = cut(reference_candidates(lines, pool, references) if tolerance is None else amount_candidates(lines, pool, tolerance))
-        found, open_still = resolve(candidates, label)
-        found = cut(found.select("line_id", "settlement_id", F.lit(tier).alias("tier"), F.lit(CONFIDENCE[tier]).alias("confidence"), "payment_legs", "net", "credit", (F.col("net") - F.col("credit")).alias("delta")))
-        open_still = open_still.withColumn("tier", F.lit(tier))
+        if tolerance is None:
+            candidates = reference_candidates(lines, pool, references)
+        elif tier == "T2":
+            candidates = exact
+        else:
+            candidates = amount_candidates(lines, pool, tolerance)
+        resolved = cut(resolve(candidates, label))
+        found, open_still = _claims(resolved, tier), _stuck(resolved, tier)
+        exact = resolved.drop("choices", "rivals", "status").join(found, "line_id", "left_anti").join(found, "settlement_id", "left_anti")
         matches = found if matches is None else matches.unionByName(found)
         undecided = open_still if undecided is None else undecided.unionByName(open_still)
         lines, pool = lines.join(found, "line_id", "left_anti"), pool.join(found, "settlement_id", "left_anti")
-    return Reconciliation(marked, active, totals, recovered, S.order_sets(active, orders, recovered), references, cut(matches), cut(undecided), bank, orders)
+    return Reconciliation(marked, active, totals, recovered, S.order_sets(active, orders, recovered), references, matches, undecided, bank, orders)
 
 
 def match_groups(r: Reconciliation) -> DataFrame:

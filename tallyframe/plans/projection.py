@@ -103,9 +103,9 @@ def orders(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame]
     return own.join(gross, "order_id").select("order_id", "order_date", "customer_ref", "gross_amount", F.lit("INR").alias("currency"), "status")
 
 
-def truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(linkages: line_id, settlement_id; unresolvable: line_id) by construction; debits and clones' lines link to nothing certain."""
-    lines = bank(spark, sf_dir).where("credit is not null").select("line_id", F.expr("substring(line_id, 4)").alias("settlement_id"))
+def truth(statement: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(linkages: line_id, settlement_id; unresolvable: line_id) of bank()'s lines, by construction; debits and clones' lines link to nothing certain."""
+    lines = statement.where("credit is not null").select("line_id", F.expr("substring(line_id, 4)").alias("settlement_id"))
     trapped = lines.where(F.col("line_id").endswith("c")).select(F.explode(F.array(F.col("line_id"), F.expr("substring(line_id, 1, length(line_id) - 1)"))).alias("line_id"))
     return lines, trapped
 

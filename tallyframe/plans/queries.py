@@ -201,10 +201,11 @@ def _itc(spark, sf_dir):
     """Invoices for the demonstration: every month's own tax, some short, some over, November missing."""
     r = _run(spark, sf_dir)
     groups = M.match_groups(r)
-    own = G.itc_periods(groups, r.bank, M.exceptions(r), None)
+    open_now = cut(M.exceptions(r).where("subject_type = 'bank_line'"))
+    own = G.itc_periods(groups, r.bank, open_now, None)
     month = F.substring("period", 6, 2)
     stated = own.where(month != "11").select("period", (F.col("computed") + F.when(month == "03", -5000).when(month == "07", 7000).otherwise(0)).cast("long").alias("gst_amount"))
-    return G.itc_periods(groups, r.bank, M.exceptions(r), stated)
+    return G.itc_periods(groups, r.bank, open_now, stated)
 
 
 @_query()
@@ -228,7 +229,7 @@ verdicts AS (SELECT coalesce(l.line_id, m.line_id) AS line_id, CASE WHEN m.line_
 
 def _graded(spark, sf_dir):
     r = _run(spark, sf_dir)
-    linkages, traps = P.truth(spark, sf_dir)
+    linkages, traps = P.truth(r.bank)
     orders = r.order_sets.select("settlement_id", "order_ids")
     with_orders = lambda t: t.join(orders, "settlement_id", "left").select("line_id", "settlement_id", F.coalesce("order_ids", F.lit("")).alias("order_ids"))
     return r, with_orders(linkages), traps, with_orders(r.matches)
@@ -598,7 +599,7 @@ def assisted_rates(spark, sf_dir):
     """What the ladder and the proposals beside it resolve of what can be resolved."""
     r = _run(spark, sf_dir)
     judged = _accepted(r)[0]
-    linkages, traps = P.truth(spark, sf_dir)
+    linkages, traps = P.truth(r.bank)
     every = r.matches.select("line_id", "tier").unionByName(V.accepted_matches(judged, r.totals, r.bank).select("line_id", "tier"))
     return G.match_rates(linkages, traps, every, judged)
 
