@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,8 @@ def write_csv(df: DataFrame, path: str, table: str, order: list) -> None:
     write_lines([_one(df.sparkSession, ",".join(SCHEMAS[table].names), key), (df, F.to_csv(F.struct(*cols), _CSV), order)], path)
 
 
-def join_parts(spark: SparkSession, folder: str, file: str) -> None:
-    """The part files of a folder, in order, as one file under its name, which appears when it is whole. The bytes go through a buffer, never a whole part."""
+def join_parts(spark: SparkSession, folder: str, file: str, head: bytes = b"") -> None:
+    """head and the part files of a folder, in order, as one file under its name, which appears when it is whole. The bytes go through a buffer, never a whole part."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path
     fs = place(file).getFileSystem(conf)
@@ -49,6 +51,8 @@ def join_parts(spark: SparkSession, folder: str, file: str) -> None:
     unready = place(f"{file}.unready")
     out = fs.create(unready, True)
     try:
+        if head:
+            out.write(bytearray(head))
         for part in parts:
             source = fs.open(part)
             try:
@@ -103,3 +107,51 @@ def emit_dataset(d: Dataset, out: str, seed: int, whole: bool = True) -> None:
     if whole:
         for name in [*files, "truth.json"]:
             join_parts(spark, f"{out}/parts/{name}", f"{out}/{name}")
+
+
+#: The files of an export, and the rows that a damaged one has more: a fraction of a paisa, a row cut short, a row in
+#: another encoding that moves nothing.
+REPORT, STATEMENT, SHOP = "settlement_report.csv", "bank_statement.csv", "orders_export.csv"
+DIRTY_REPORT = ("pay_dirty1,payment,0.00,95.75,100.00,INR,0.00,4.255,2026-01-05 09:00:00,2026-01-05,setl_dirty,ORD-DIRTY",)
+DIRTY_STATEMENT = ("05/01/26,NEFT CR SOFTWARE PVT LTD,BL-DIRTY-1", "06/01/26,NEFT CR CAFÉ RETAIL PVT LTD,BL-DIRTY-2,06/01/26,0.00,0.00,0.00")
+#: (file, reason, detail) of each piece of damage; what has no reason must change nothing but the file's hash.
+DAMAGE = (
+    (REPORT, "BAD_DECIMAL", "a row whose tax is 4.255"), (STATEMENT, "TRUNCATED_ROW", "a row of three fields"), (STATEMENT, "AMBIGUOUS_DIRECTION", "a row that moves nothing, in Latin-1 as then the whole file is"), (SHOP, None, "a byte-order mark"),
+)
+
+
+def export_dataset(d: Dataset, out: str, dirty: bool = False) -> tuple[tuple[str, str | None, str], ...]:
+    """A data set as the three files that a shop, a processor and a bank would give, each one file in a fixed order. dirty: damaged as DAMAGE says, which is returned.
+
+    Reserves, which the processor's layout can't say, are an error.
+    """
+    from tallyframe.sources.export import to_processor, to_shop, to_statement
+
+    spark = d.orders.sparkSession
+    files = {
+        REPORT: (to_processor(d.psp), ["entity_id"], DIRTY_REPORT), STATEMENT: (to_statement(chain_balances(d.bank)).withColumn("_on", F.to_date("Date", "dd/MM/yy")), ["_on", "`Chq./Ref.No.`"], DIRTY_STATEMENT), SHOP: (to_shop(d.orders), ["Name"], ()),
+    }
+    for name, (df, order, more) in files.items():
+        names = [c for c in df.columns if c != "_on"]
+        key = T.StructType([T.StructField("key", T.StringType())])
+        placed = [F.concat_ws(" ", *(F.col(c) for c in order)).alias("key")]
+        as_bytes = (lambda line: F.encode(line, "ISO-8859-1").cast("string")) if dirty and name == STATEMENT else (lambda line: line)
+        blocks = [_one(spark, ",".join(names), key), (df, as_bytes(F.to_csv(F.struct(*(F.col(f"`{c}`") for c in names)), _CSV)), placed)]
+        if dirty:
+            blocks += [(b[0], as_bytes(b[1]), b[2]) for b in (_one(spark, row, key) for row in more)]
+        write_lines(blocks, f"{out}/parts/{name}")
+        join_parts(spark, f"{out}/parts/{name}", f"{out}/{name}", b"\xef\xbb\xbf" if dirty and name == SHOP else b"")
+    return DAMAGE if dirty else ()
+
+
+def write_result(matches: DataFrame, exceptions: DataFrame, audit: DataFrame, path: str, run_id: str, record_count: int) -> None:
+    """A run as one JSON document in ordered lines: its matches by line, exceptions by subject, audit in order."""
+    from tallyframe.operators.digest import RUN_ORDER
+
+    spark, key = matches.sparkSession, T.StructType([T.StructField("key", T.StringType())])
+    line = lambda text: _one(spark, text, key)
+    blocks = [line("{")]
+    for name, df in (("audit", audit), ("exceptions", exceptions), ("matches", matches)):
+        keyed = df.withColumn("key", F.concat_ws("\x1f", *(F.col(c).cast("string") for c in RUN_ORDER[name])))
+        blocks += [line(f'  "{name}": ['), _json_list(keyed, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), "key"), line("  ],")]
+    write_lines([*blocks, line(f'  "record_count": {record_count},'), line(f'  "run_id": {json.dumps(run_id)}'), line("}")], path)

@@ -35,3 +35,13 @@ def upload_counts(uploads: DataFrame, records: DataFrame) -> DataFrame:
     """Every upload with how many records of each type it has, zeros too."""
     counts = records.groupBy("org_id", "upload_id").agg(*(F.count_if(F.col("record_type") == t).alias(f"n_{t}") for t in RECORD_TYPES))
     return uploads.join(counts, ["org_id", "upload_id"], "left").select(*uploads.columns, *(F.coalesce(f"n_{t}", F.lit(0)).cast("long").alias(f"n_{t}") for t in RECORD_TYPES))
+
+
+def upload_state(n_records: Column, n_quarantined: Column) -> Column:
+    """What became of a file: ingested if it gave any record, else quarantined if it gave any bad row, else empty."""
+    return F.when(n_records > 0, "ingested").when(n_quarantined > 0, "quarantined").otherwise("empty")
+
+
+def uploads_page(uploads: DataFrame, org_id: str, offset: int, limit: int) -> DataFrame:
+    """A page of a tenant's uploads, newest first."""
+    return uploads.where(F.col("org_id") == org_id).orderBy(F.desc("uploaded_at"), F.desc("upload_id")).offset(offset).limit(limit)

@@ -285,3 +285,47 @@ def test_printed_statements_of_many_pages(spark, tmp_path, small_ranges):
     got = sorted((r.path[-5:], r.row) for r in records.collect())
     numbered_lines = [i for i, x in enumerate(re.split("[\n\f]", text), 1) if "row" in x]
     assert got == [(name, i) for name in ("a.txt", "b.txt") for i in numbered_lines] and left.isEmpty() and rows == len(numbered_lines)
+
+
+def test_exports_come_back_and_damage_is_found(spark, tmp_path):
+    from tallyframe.sources import adapters
+
+    d = generate(spark, 200, seed=5)
+    rows = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    for dirty in (False, True):
+        out = tmp_path / f"export-{dirty}"
+        damage = emit.export_dataset(d, str(out), dirty)
+        got = {name: adapters.ingest(spark, str(out / name)) for name in (emit.REPORT, emit.STATEMENT, emit.SHOP)}
+        assert [got[n][0] for n in got] == ["razorpay-settlement-v2", "bank-csv-hdfc-v1", "orders-csv-shopify-v1"]
+        assert rows(got[emit.SHOP][1], *canonical.SCHEMAS["orders"].names) == rows(d.orders, *canonical.SCHEMAS["orders"].names)
+        assert rows(got[emit.REPORT][1], "txn_id", "txn_type", "order_id", "amount", "settlement_id", "settled_at") == rows(d.psp, "txn_id", "txn_type", "order_id", "amount", "settlement_id", "settled_at")
+        assert rows(got[emit.STATEMENT][1], "line_id", "txn_date", "narration", "credit", "debit") == rows(d.bank, "line_id", "txn_date", "narration", "credit", "debit")
+        left = sorted((n, r.reason) for n in got for r in got[n][2].collect())
+        assert left == sorted((n, why) for n, why, _ in damage if why)
+    assert (tmp_path / "export-True" / emit.SHOP).read_bytes() == b"\xef\xbb\xbf" + (tmp_path / "export-False" / emit.SHOP).read_bytes()
+    statement = (tmp_path / "export-True" / emit.STATEMENT).read_bytes()
+    with pytest.raises(UnicodeDecodeError):
+        statement.decode("utf-8")
+    assert statement.decode("latin-1").splitlines()[:-2] == (tmp_path / "export-False" / emit.STATEMENT).read_text().splitlines() and "CAFÉ" in statement.decode("latin-1")
+
+
+def test_a_run_as_one_document(spark, tmp_path):
+    from tallyframe.operators import matching as M
+
+    d = generate(spark, 100)
+    r = M.reconcile(d.orders, d.psp, d.bank)
+    emit.write_result(r.matches, M.exceptions(r), M.audit(r), str(tmp_path / "parts"), 'run "1"', d.orders.count())
+    emit.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "run.json"))
+    made = json.loads((tmp_path / "run.json").read_text())
+    assert made["run_id"] == 'run "1"' and made["record_count"] == d.orders.count()
+    assert [m["line_id"] for m in made["matches"]] == sorted(x.line_id for x in r.matches.collect())
+    assert len(made["exceptions"]) == M.exceptions(r).count() and len(made["audit"]) == M.audit(r).count()
+    emit.write_result(r.matches.limit(0), M.exceptions(r).limit(0), M.audit(r).limit(0), str(tmp_path / "none"), "x", 0)
+    emit.join_parts(spark, str(tmp_path / "none"), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"audit": [], "exceptions": [], "matches": [], "record_count": 0, "run_id": "x"}
+
+
+def test_states_and_pages_of_uploads(spark):
+    table = spark.createDataFrame([("o", "a", 1, 5, 0), ("o", "b", 2, 0, 3), ("o", "c", 2, 0, 0), ("p", "d", 9, 1, 1)], "org_id string, upload_id string, uploaded_at int, n int, bad int")
+    assert {r.upload_id: r.s for r in table.select("upload_id", uploads.upload_state(F.col("n"), F.col("bad")).alias("s")).collect()} == {"a": "ingested", "b": "quarantined", "c": "empty", "d": "ingested"}
+    assert [r.upload_id for r in uploads.uploads_page(table, "o", 0, 2).collect()] == ["c", "b"] and [r.upload_id for r in uploads.uploads_page(table, "o", 2, 2).collect()] == ["a"]
