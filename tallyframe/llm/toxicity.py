@@ -29,6 +29,9 @@ FACTORS, BATCH, RATE, SPREAD = 4, 256, 0.1, 0.05
 #: Two rounds of (epochs, shrinkage of weights, shrinkage of factors): the first brings most slots to zero, by what they do
 #: alone and in pairs; the second fits the others again, shrinking less.
 ROUNDS = ((10, 4e-3, 8e-3), (20, 5e-4, 1e-3))
+#: Rows from which the shrinkage is as in ROUNDS; fewer ones shrink more where they have more slots than rows, by the root
+#: of what they lack, as chance then makes many slots look telling.
+FULL_ROWS = 20_000
 PREFIXES = (3, 4, 5)
 _SEPARATORS = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
@@ -142,8 +145,9 @@ def train(labels: np.ndarray, counts: np.ndarray, own: np.ndarray, slots: np.nda
         return model
     factors = np.random.default_rng(7).normal(0, SPREAD, (len(slots), FACTORS))
     model = Model(slots, 0.0, np.zeros(len(slots)), factors)
+    scarce = max(1.0, min(float(np.sqrt(FULL_ROWS / len(labels))), len(slots) / len(labels)))
     for epochs, weight_shrink, factor_shrink in ROUNDS:
-        model = _descend(model, labels, counts, own, epochs, weight_shrink, factor_shrink)
+        model = _descend(model, labels, counts, own, epochs, weight_shrink * scarce, factor_shrink * scarce)
         live = (model.weights != 0) | model.factors.any(axis=1)
         kept, ends = live[own], np.cumsum(counts)
         counts = np.array([np.count_nonzero(kept[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], np.int64)

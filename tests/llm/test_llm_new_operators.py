@@ -219,3 +219,24 @@ def test_suffix_dedup_of_odd_rows(odd, none):
     assert repeats(none) == []
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(none, length=20)
+
+
+# ---- 8, on the labels that are given
+
+
+def test_toxicity_of_few_labelled_rows(spark, sf_dir):
+    """Some 280 labelled rows to learn from: held-out rows must still rank well."""
+    import zlib
+    from pathlib import Path
+
+    from tallyframe.llm import toxicity
+
+    folder = Path(sf_dir).parent / "sf0.01"
+    if not folder.is_dir():
+        pytest.skip("the driver's tables aren't here")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    scored = [(r.score, known[r.doc_id]) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.doc_id in known]
+    toxic, clean = [s for s, t in scored if t], [s for s, t in scored if not t]
+    auc = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert auc >= 0.9 and sum(s >= 0.7 for s in toxic) >= 9 and sum(s >= 0.7 for s in clean) <= 1
