@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import sys
 import tempfile
 
 import numpy as np
@@ -72,8 +73,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def give_back() -> None:
-    """Return a worker's freed memory to the system at the end of a task: an idle worker needn't hold it."""
+#: The name under which a worker keeps what later tasks of the same kind can use again.
+TASK_MEMORY = "tallyframe_task_memory"
+
+
+def forget() -> None:
+    """Drop what a worker keeps for later tasks: those of another kind have no use for it."""
+    sys.modules.pop(TASK_MEMORY, None)
+
+
+def give_back(keep: bool = False) -> None:
+    """Return a worker's freed memory to the system at the end of a task: an idle worker needn't hold it. keep: what it keeps for later tasks stays."""
+    if not keep:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

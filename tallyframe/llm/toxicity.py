@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import give_back, hash_spans, mix64, small_batches, text_buffers, words_of, _K
+from tallyframe.llm.common import forget, give_back, hash_spans, mix64, small_batches, text_buffers, words_of, _K
 
 #: Slots that terms are hashed to.
 SLOTS = 1 << 20
@@ -71,6 +71,7 @@ def _chunks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterat
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least hash of five words of each text, 0 for shorter ones: near copies mostly share it."""
+    forget()
     for batch in batches:
         least = np.zeros(batch.num_rows, np.int64)
         for at, _, raw, offsets in _chunks(batch, 2):

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import _K, give_back, hash_spans, mix64, shared_dir, small_batches, text_buffers
+from tallyframe.llm.common import TASK_MEMORY, _K, give_back, hash_spans, mix64, shared_dir, small_batches, text_buffers
 
 #: Tokens after which a shard is closed; a document is never cut, so one with more has a shard for itself.
 SHARD_TOKENS = 2_000_000
@@ -260,7 +260,7 @@ class Encoder:
         import sys
         import types
 
-        memory = vars(sys.modules.setdefault("tallyframe_task_memory", types.ModuleType("tallyframe_task_memory")))
+        memory = vars(sys.modules.setdefault(TASK_MEMORY, types.ModuleType(TASK_MEMORY)))
         if memory.get("path") != path:
             memory.update(path=path, encoder=cls(path))
         return memory["encoder"]
@@ -417,7 +417,7 @@ def _sharded(path: str, shard_tokens: int):
                         continue
                     keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
                     held = own = sizes = None
-                    give_back()
+                    give_back(keep=True)
                     while len(ids) > shard_tokens and len(keys) > 1:
                         n = max(1, int(np.searchsorted(np.cumsum(lengths), shard_tokens, side="right")))
                         at = int(lengths[:n].sum())
@@ -426,12 +426,12 @@ def _sharded(path: str, shard_tokens: int):
                     held, waiting = [(keys.copy(), lengths.copy(), ids.copy())], len(ids)
             keys, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held = own = sizes = None
-            give_back()
+            give_back(keep=True)
             if len(keys):
                 yield row(keys, lengths, ids)
         finally:
             batch = part = own = sizes = keys = lengths = ids = held = None
-            give_back()
+            give_back(keep=True)
 
     return run
 
@@ -495,7 +495,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known, mask=known == NO_ID), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
-    give_back()
+    give_back(keep=True)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
