@@ -53,7 +53,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     words = np.bincount(doc, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(words)])
     grams = h.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(h))):
         grams[: len(h) - k] = mix64(grams[: len(h) - k] * _K + h[k:])
     out, counts = [], np.zeros(n_docs, np.int64)
     for d in np.flatnonzero(words):

@@ -303,6 +303,16 @@ def test_jaccard_components_of_families(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_components_of_few_words_a_task(spark):
+    """A task whose texts have fewer words together than an n-gram."""
+    rows = [(i, t) for i, t in enumerate(["a b", "c", "A  b", "d e f", ""])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")).collect()}
+    assert got == brute_components(rows)
+    for n in range(7):
+        raw = np.frombuffer(b"w " * n, np.uint8)
+        assert ngram_join.shingle_sets(raw, np.array([0, len(raw)]), 5)[1].tolist() == [min(n, 1)]
+
+
 def test_jaccard_components_of_odd_rows(odd, none):
     got = sorted(map(tuple, ngram_join.jaccard_components(odd).collect()), key=str)
     want = [(-7, 1, -7), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (4, 3, 4), (5, 997, 5), (6, 997, 5), (None, 4, None)]
