@@ -1,9 +1,12 @@
 """HTML extraction by site template removal.
 
-Pages are parsed to elements; every subtree outside the article is hashed, Spark counts on how many pages of a host a
-subtree stands, and subtrees that recur on many pages of their host are deleted. So are elements that are no main text
-by their tag, class, id or role. What is left of the article (or else of the main element, or else of the body) is the
-text. The article itself is no template, even where a site shows one article many times.
+Pages are parsed to elements; every subtree is hashed, Spark counts on how many pages of a host a subtree stands, and
+subtrees that recur on many pages of their host are deleted. So are elements that are no main text by their tag, class,
+id or role. What is left of the article (or else of the main element, or else of the body) is the text.
+
+The article itself is no template, even where a site shows one article many times. So a block inside articles is
+template only if it stands on half of the host's pages and the texts around it differ: each page carries a sketch of its
+text, which near copies mostly share, and half of the block's pages at least must have sketches of their own.
 """
 
 from __future__ import annotations
@@ -13,15 +16,21 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import BROADCAST_ROWS, cut, give_back, small_batches
+from tallyframe.llm.ngram_join import shingle_sets
 from tallyframe.llm.url_filter import host_and_path
 
 #: A subtree is template that stands on so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A block inside articles stands on this share of its host's pages, in so many different texts, and this share of its pages have texts of their own.
+INNER_SHARE, MIN_TEXTS, OWN_TEXTS = 0.5, 5, 0.5
+#: Elements that can be template inside an article; a heading, an item or a cell by itself, or words in a line, can't.
+INNER = frozenset("address blockquote center details div dl fieldset figure hgroup header ol p section table ul".split())
 
 #: Elements without content, with content that isn't markup, that part blocks, and that are no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,24 +153,19 @@ def _within(nodes: list[Node]) -> list[bool]:
     return inside
 
 
-def subtrees(page: str) -> set[int]:
-    """Hashes of the page's subtrees with content that neither hold nor lie in an article or main element."""
-    nodes, _ = parse(page, True)
-    inside = _within(nodes)
-    return {int.from_bytes(node.digest, "little", signed=True) for i, node in enumerate(nodes) if i and not inside[i] and not node.guarded and node.last > node.first and node.tag not in ("html", "body")}
+def _id(node: Node) -> int:
+    return int.from_bytes(node.digest, "little", signed=True)
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text without the template's subtrees: blocks in order, white space as single spaces, references decoded."""
-    nodes, pieces = parse(page, bool(template))
-    inside = _within(nodes)
-    gone = [False] * len(nodes)
-    for i, node in enumerate(nodes[1:], 1):
-        recurs = template and not inside[i] and not node.guarded and int.from_bytes(node.digest, "little", signed=True) in template
-        gone[i] = gone[node.parent] or bool(recurs) or node.unwanted(inside[i])
+def _found(nodes: list[Node], gone: list[bool]) -> list[int]:
+    """The elements whose text is the page's: articles, or else main elements, or else all."""
+    articles = [i for i, node in enumerate(nodes) if node.tag == "article" and not gone[i]]
+    return articles or [i for i, node in enumerate(nodes) if (node.tag == "main" or "main" in node.roles) and not gone[i]] or [0]
+
+
+def _text(nodes: list[Node], pieces: list[str], gone: list[bool]) -> str:
     keep = bytearray(len(pieces))
-    found = [i for i, node in enumerate(nodes) if node.tag == "article" and not gone[i]] or [i for i, node in enumerate(nodes) if (node.tag == "main" or "main" in node.roles) and not gone[i]] or [0]
-    for i in found:
+    for i in _found(nodes, gone):
         keep[nodes[i].first : nodes[i].last] = b"\1" * (nodes[i].last - nodes[i].first)
     for i, node in enumerate(nodes):
         if gone[i] and not gone[node.parent]:
@@ -170,43 +174,84 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return " ".join("".join(entities.unescape(p) if k else " " for p, k in zip(pieces, keep, strict=True)).split())
 
 
+def _gone(nodes: list[Node], inside: list[bool], template: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> list[bool]:
+    """Whether each element is deleted, by its tag or names, as template outside or inside articles, or with one that it lies in."""
+    gone = [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], 1):
+        recurs = not node.guarded and ((template and not inside[i] and _id(node) in template) or (inner and inside[node.parent] and node.tag in INNER and _id(node) in inner))
+        gone[i] = gone[node.parent] or bool(recurs) or node.unwanted(inside[i])
+    return gone
+
+
+def sketch(text: str) -> int:
+    """The least hash of the text's 5-word shingles: texts with most shingles in common mostly have the same."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    grams, _ = shingle_sets(raw, np.array([0, len(raw)], np.int64), 5)
+    return int(grams[0]) if len(grams) else 0
+
+
+def subtrees(page: str) -> tuple[set[int], set[int], int]:
+    """(outer, inner, sketch): hashes of the page's subtrees with content that neither hold nor lie in an article or main
+    element, hashes of those inside one that aren't deleted by tag or name, and the sketch of the page's text."""
+    nodes, pieces = parse(page, True)
+    inside = _within(nodes)
+    outer = {_id(node) for i, node in enumerate(nodes) if i and not inside[i] and not node.guarded and node.last > node.first and node.tag not in ("html", "body")}
+    gone = _gone(nodes, inside)
+    inner = {_id(node) for i, node in enumerate(nodes) if i and inside[node.parent] and not gone[i] and not node.guarded and node.tag in INNER and node.last > node.first}
+    return outer, inner, sketch(_text(nodes, pieces, gone)) if inner else 0
+
+
+def main_text(page: str, template: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
+    """The page's main text without the template's subtrees: blocks in order, white space as single spaces, references decoded."""
+    nodes, pieces = parse(page, bool(template or inner))
+    return _text(nodes, pieces, _gone(nodes, _within(nodes), template, inner))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["host", "subtree", "sketch"]
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, hashes, sketches = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = subtrees(page)
-            hosts += [host] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+            outer, inner, text = subtrees(page)
+            hosts += [host] * (len(outer) + len(inner))
+            hashes += [*outer, *inner]
+            sketches += [None] * len(outer) + [text] * len(inner)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.int64())], names=names)
     give_back()
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page, frozenset(template or ())) for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "template", "inner")), strict=True)
+        texts = [main_text(page, frozenset(template or ()), frozenset(inner or ())) for page, template, inner in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): the hashes of each host's recurring subtrees; at most a page's number of subtrees over min_share."""
+    """(host, template, inner): the hashes of each host's recurring subtrees outside and inside of articles; at most a page's number of subtrees over min_share."""
     on_host = pages.where("host <> ''")
-    counts = on_host.select("host", "html").mapInArrow(_counted, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    seen = on_host.select("host", "html").mapInArrow(_counted, "host string, subtree long, sketch long")
+    # first by text, so that a block of one text many times is one row
+    by_text = seen.groupBy("host", "subtree", "sketch").agg(F.count("*").alias("pages"))
+    counts = by_text.groupBy("host", "subtree", F.col("sketch").isNotNull().alias("is_inner")).agg(F.sum("pages").alias("pages"), F.count("sketch").alias("texts")).where(F.col("pages") >= min_pages)
     sizes = on_host.groupBy("host").agg(F.count("*").alias("all_pages"))
-    recurring = counts.join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * min_share)
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    differs = (F.col("texts") >= MIN_TEXTS) & (F.col("texts") >= F.col("pages") * OWN_TEXTS) & (F.col("pages") >= F.col("all_pages") * INNER_SHARE)
+    recurring = counts.join(sizes, "host").where(F.when(F.col("is_inner"), differs).otherwise(F.col("pages") >= F.col("all_pages") * min_share))
+    return recurring.groupBy("host").agg(*(F.collect_list(F.when(w, F.col("subtree"))).alias(c) for c, w in (("template", ~F.col("is_inner")), ("inner", F.col("is_inner")))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
     A null page is empty and has an empty text. Pages of a null or malformed url belong to no host, and lose elements
-    by tag and class only. Repeated rows are pages of their own. Other columns are ignored.
+    by tag and class only. Repeated rows are pages of their own: a page many times is one text, and its blocks stay.
+    Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     slim = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_and_path(F.col("url").cast("string"))[0].alias("host"))
     found = cut(templates(slim)).withColumnRenamed("host", "site")
     # broadcast by the number of hashes, not of hosts
-    hashes = found.agg(F.sum(F.size("template") + 8)).first()[0] or 0
-    joined = slim.join(F.broadcast(found) if hashes <= BROADCAST_ROWS else found, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "template")
+    hashes = found.agg(F.sum(F.size("template") + F.size("inner") + 8)).first()[0] or 0
+    joined = slim.join(F.broadcast(found) if hashes <= BROADCAST_ROWS else found, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "template", "inner")
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url {dict(pages.dtypes)['url']}, text string"
     return joined.mapInArrow(_extracted, schema).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -643,6 +643,43 @@ def test_templates_go_and_articles_stay(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_templates_inside_articles(spark, monkeypatch):
+    """A block of neutral class in every article of a host goes; syndicated articles, near copies of one, and what few articles share stay."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    block = "<div class=x><p>Read our other stories too, they are as good</p></div>"
+    page = lambda *parts: f"<body><article><h1>Summary</h1>{''.join(parts)}</article></body>"
+    p = lambda t: f"<p>{t}</p>"
+    rows, want = [], {}
+
+    def add(host, html_, text):
+        want[len(rows)] = f"Summary {text}"
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html_))
+
+    shared = words(30)
+    for i in range(30):
+        own, few = words(40), i < 9
+        add("recurs.org", page(p(own), p(shared) if few else "", block, p(f"<b>Note</b> {i}")), f"{own} {shared + ' ' if few else ''}Note {i}")
+    one = words(80)
+    for _ in range(30):
+        add("syndicated.org", page(p(one), block), f"{one} Read our other stories too, they are as good")
+    parts = [words(30) for _ in range(6)]
+    for i in range(30):
+        own = list(parts)
+        own[i % 6] = own[i % 6].replace(" ", f" edit{i} ", 1)
+        add("copies.org", page(*map(p, own)), " ".join(own))
+    for i in range(4):
+        own = words(20)
+        add("small.org", page(p(own), block), f"{own} Read our other stories too, they are as good")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    # without the counted templates those texts keep the block
+    found = html_text.templates
+    monkeypatch.setattr(html_text, "templates", lambda pages: found(pages).limit(0))
+    bare = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert {i for i in want if bare[i] != want[i]} == set(range(30))
+
+
 def test_pages_of_the_driver(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
