@@ -115,10 +115,17 @@ def _document_windows(docs: DataFrame, kinds: list[tuple[str, int]]) -> DataFram
     return words.select("doc_id", F.explode(F.concat(*parts)).alias("w")).select("doc_id", "w.at", "w.window")
 
 
+def _cutouts(sides: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """(key, at, name): the words of a window at each of the places of a row of sides."""
+    cutouts = F.transform("places", lambda p: F.struct(p.alias(at), F.slice("words", p + 1, F.lit(WINDOW)).alias(name)))
+    return sides.select(key, F.inline(cutouts)).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, kind) of each document and benchmark item that it holds.
 
-    kind is exact or reparameterised. matched counts the item's windows found. An item of fewer words than a window
+    kind is exact where one alignment has all of the item's windows with the item's values, partial where it has some of
+    them with these values, else reparameterised. matched counts the item's windows found. An item of fewer words than a window
     is one window; one without words matches nothing. Null texts hold nothing; rows with a null id take no part; rows that
     share an id are judged together. An empty benchmark gives no rows. Other columns are ignored.
     """
@@ -138,22 +145,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = placed.groupBy("doc_id", "item_id", "windows", "shift").agg(F.count("*").alias("matched"), F.collect_list(F.struct("item_at", "at")).alias("places"))
     held = cut(held.where((F.col("matched") >= F.col("windows") * COVERAGE) | (F.col("matched") >= LONG_RUN)))
 
-    texts = slim.join(bounded(held.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", marked_words(F.col("text")).alias("doc_words"))
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked_words(F.col("text").cast("string")).alias("words"))
-    sides = held.join(texts, "doc_id").join(asked, "item_id")
-    # of each place only the window's words go on, so that rows stay small however long a text is
-    cutouts = F.transform("places", lambda p: F.arrays_zip(F.slice("words", p["item_at"] + 1, F.lit(WINDOW)).alias("asked"), F.slice("doc_words", p["at"] + 1, F.lit(WINDOW)).alias("found")))
-    pairs = sides.select("doc_id", "item_id", "shift", F.explode(cutouts).alias("both")).select("doc_id", "item_id", "shift", F.explode(F.filter("both", lambda b: _is_slot(b["asked"]))).alias("b"))
+    # each place is a row and meets the window's words by its number: no row holds the words of a whole text
+    aligned = held.select("doc_id", "item_id", "shift", F.inline("places"))
+    needed = aligned.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    texts = slim.join(bounded(held.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", marked_words(F.col("text")).alias("words"))
+    found = _cutouts(texts.join(needed, "doc_id"), "doc_id", "at", "found")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), marked_words(F.col("text").cast("string")).alias("words"))
+    asked = _cutouts(items.join(wanted.groupBy("item_id").agg(F.collect_set("item_at").alias("places")), "item_id"), "item_id", "item_at", "asked")
+    sides = aligned.join(bounded(asked, BROADCAST_ROWS), ["item_id", "item_at"]).join(found, ["doc_id", "at"])
+    slots = F.filter(F.arrays_zip("asked", "found"), lambda b: _is_slot(b["asked"]))
+    pairs = sides.select("doc_id", "item_id", "shift", F.explode(slots).alias("b"))
     pairs = pairs.select("doc_id", "item_id", "shift", F.col("b.asked").startswith(NAME).alias("named"), value(F.col("b.asked")).alias("asked"), value(F.col("b.found")).alias("found")).distinct()
     one_to_one = lambda side: F.countDistinct(F.when(F.col("named"), F.struct("asked", "found"))) == F.countDistinct(F.when(F.col("named"), F.col(side)))
     judged = pairs.groupBy("doc_id", "item_id", "shift").agg(one_to_one("asked").alias("one_found"), one_to_one("found").alias("one_asked"), F.bool_and(F.col("asked").eqNullSafe(F.col("found"))).alias("equal"))
     judged = judged.withColumnsRenamed({"doc_id": "d", "item_id": "i", "shift": "s"})
     same = (F.col("doc_id") == F.col("d")) & (F.col("item_id") == F.col("i")) & F.col("shift").eqNullSafe(F.col("s"))
     good = held.join(judged, same, "left").where("equal is null or equal or (one_found and one_asked)")
-    out = good.groupBy("doc_id", "item_id", "windows").agg(F.max("matched").alias("matched"), F.max(F.coalesce("equal", F.lit(True))).alias("equal"))
-    return out.select(
-        "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), F.when(F.col("equal"), "exact").otherwise("reparameterised").alias("kind")
-    )
+    equal = F.coalesce("equal", F.lit(True))
+    out = good.groupBy("doc_id", "item_id", "windows").agg(F.max("matched").alias("matched"), F.max(equal).alias("equal"), F.max(equal & (F.col("matched") == F.col("windows"))).alias("whole"))
+    kind = F.when(F.col("whole"), "exact").when(F.col("equal"), "partial").otherwise("reparameterised")
+    return out.select("doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), kind.alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

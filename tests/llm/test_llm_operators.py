@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -145,6 +146,23 @@ def test_decontamination_of_new_values_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_names_what_it_found(spark):
+    ask = "In March Alice bought 12 apples and 7 pears for 19 dollars at the small market, so how many did Alice still have left to eat in 12 days?"
+    texts = [ask, ask.lower(), ask.replace("small", "small old"), ask.replace("12", "15"), ask.replace("12 apples", "five apples"), ask.replace("12 apples", "five apples").replace("19", "20")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.coverage == 1) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, ask)], "item_id long, text string")).collect()}
+    assert got == {0: ("exact", True), 1: ("exact", True), 2: ("partial", False), 3: ("reparameterised", True), 4: ("partial", False), 5: ("reparameterised", False)}
+
+
+def test_decontamination_of_many_copies_in_one_text(spark):
+    """Rows are linear in the copies: a place is a row, whatever the length of its text."""
+    ask = "In March Alice bought 12 apples and 7 pears for 19 dollars, so how many did Alice eat in 12 days?"
+    docs = spark.createDataFrame([(1, " ".join(f"{ask} Number {i}." for i in range(3000))), (2, "nothing")], "doc_id long, text string")
+    began = time.time()
+    assert [(r.doc_id, r.kind) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, ask)], "item_id long, text string")).collect()] == [(1, "exact")]
+    assert time.time() - began < 30
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "repeated row of text with several words"), (1, "repeated row of text with several words"), (2, "some words that have no id at all")], "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(odd, bench).collect()} == {(4, 1, "exact")}
