@@ -26,6 +26,8 @@ from tallyframe.llm.components import connected_components
 
 #: n-grams that a task holds before it sends them on, and that a bucket should hold.
 BLOCK, BUCKET = 1_000_000, 1_500_000
+#: Bytes of text whose words a task looks at together; a longer text is looked at whole.
+CHUNK = 1_000_000
 #: Bits of an n-gram's hash that are dropped, so that packed differences get shorter; 56 stay.
 DROPPED = np.uint64(8)
 #: Ranges of the hash space in the suffix filter's histogram.
@@ -104,7 +106,7 @@ def _send(size: int, buckets: int, parts: int):
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             while at < len(keys):
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 4_000_000, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
                 own, n = shingle_sets(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], size)
                 ids.append(keys[at:to])
                 sets.append(own)

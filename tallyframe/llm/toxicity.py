@@ -59,7 +59,7 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (keys >> np.uint64(20)).astype(np.int64), (keys & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _chunks(batch: pa.RecordBatch, column: int, size: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of parts of a batch of about size bytes; a text is never cut."""
     raw, offsets = text_buffers(batch.column(column))
     at, n = 0, len(offsets) - 1
