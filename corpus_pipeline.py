@@ -42,6 +42,9 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return wavelet.tokens(docs, tokenizer_path())
 
 
+#: Bytes that a task gathers of a stage's rows before it writes them: tasks hold whole texts, and Parquet's 128 MB would fill an executor's heap.
+ROW_GROUP = 16 << 20
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("ngram_jaccard_join", drop_near_copies),
@@ -59,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
         if before:
             remove(spark, before)
