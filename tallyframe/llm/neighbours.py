@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is assigned to its centroid's list and
-coded. Queries meet the lists of their best centroids, score codes by asymmetric tables, and rerank the best of each
-list exactly on the original vectors. Equal vectors are one entry with their smallest ids, so that a very common vector
-costs no more than another, and long lists are split into blocks.
+coded. Some of the queries meet all vectors, which tells how many lists the queries need. Queries meet the lists of
+their best centroids, score codes by asymmetric tables, and rerank exactly on the original vectors the best of each
+list and all that the codes' errors could have hidden. Equal vectors are one entry with their smallest ids, so that a
+very common vector costs no more than another, and long lists are split into blocks.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from tallyframe.llm.common import cut
 #: Distinct vectors that centroids and codebooks are fitted on, about.
 SAMPLE_ROWS = 20_000
 #: Lists: the square root of the number of vectors, at most MOST_LISTS. A query reads as many of them as held this share
-#: of the neighbours of SOUNDINGS vectors of the sample.
-MOST_LISTS, SHARE, SOUNDINGS = 4096, 0.985, 200
-#: Values of a code, dimensions that share one, and codes of a block of a list that are reranked for a query.
-CODES, SPAN, RERANK = 256, 4, 96
+#: of the neighbours, among all vectors, of SOUNDINGS of the queries.
+MOST_LISTS, SHARE, SOUNDINGS = 4096, 0.985, 400
+#: Values of a code, dimensions that share one, and codes of a block of a list that are reranked for a query at least;
+#: others are where errors CAUTION times as large, for their vectors, as the largest among these would lift them to the best.
+CODES, SPAN, RERANK, CAUTION = 256, 4, 96, 1.5
 #: Vectors of a block and queries of a slice, about, and parts that the ids of a very common vector are dealt to.
 BLOCK, SLICE, SALTS = 4096, 4096, 256
 
@@ -33,7 +35,6 @@ BLOCK, SLICE, SALTS = 4096, 4096, 256
 class Index:
     centroids: np.ndarray
     codebooks: list[np.ndarray]
-    probes: int
 
     def spans(self) -> list[slice]:
         d = self.centroids.shape[1]
@@ -59,19 +60,11 @@ def _means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, lists: int, k: int = 20) -> Index:
-    """Centroids and, of each span of dimensions of the residuals, a codebook; and how many lists to read for k neighbours."""
+def fit(sample: np.ndarray, lists: int) -> Index:
+    """Centroids and, of each span of dimensions of the residuals, a codebook."""
     centroids = _means(sample, lists, 10, 11)
     rest = sample - centroids[_nearest(sample, centroids)]
-    d = sample.shape[1]
-    asked = sample[:: max(1, len(sample) // SOUNDINGS)][:SOUNDINGS]
-    scores = asked @ sample.T
-    k = min(k + 1, len(sample))
-    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    order = np.argsort(np.argsort(-(asked @ centroids.T), axis=1), axis=1)
-    depth = np.take_along_axis(order, _nearest(sample, centroids)[near], axis=1)
-    probes = int(np.quantile(depth, SHARE)) + 2
-    return Index(centroids, [_means(rest[:, a : a + SPAN], CODES, 6, 13 + a) for a in range(0, d, SPAN)], probes)
+    return Index(centroids, [_means(rest[:, a : a + SPAN], CODES, 6, 13 + a) for a in range(0, sample.shape[1], SPAN)])
 
 
 def _vectors(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
@@ -87,13 +80,44 @@ def _assign(index: Index):
             x = _vectors(batch, "embedding")
             cell = _nearest(x, index.centroids)
             rest = x - index.centroids[cell]
-            codes = np.stack([_nearest(rest[:, s], book).astype(np.uint8) for s, book in zip(index.spans(), index.codebooks, strict=True)], axis=1) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*batch.schema.names, "cell", "code"])
+            codes = np.zeros((len(x), len(index.codebooks)), np.uint8)
+            for m, (s, book) in enumerate(zip(index.spans(), index.codebooks, strict=True)):
+                own = _nearest(rest[:, s], book)
+                codes[:, m] = own
+                rest[:, s] -= book[own]
+            error = np.sqrt((rest**2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=[*batch.schema.names, "cell", "code", "error"])
 
     return run
 
 
-def _probe(index: Index, sizes: np.ndarray, k: int):
+def _sound(index: Index, soundings: np.ndarray, k: int):
+    """(sounding, score, depth): of each batch the k best for each sounding, and which of the sounding's lists holds them, from 0."""
+    order = np.argsort(np.argsort(-(soundings @ index.centroids.T), axis=1, kind="stable"), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), BLOCK):
+                batch = whole.slice(a, BLOCK)
+                scores, cell = soundings @ _vectors(batch, "embedding").T, batch.column("cell").to_numpy()
+                best = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+                columns = np.repeat(np.arange(len(scores), dtype=np.int32), best.shape[1]), np.take_along_axis(scores, best, axis=1).ravel(), np.take_along_axis(order, cell[best], axis=1).ravel().astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sounding", "score", "depth"])
+
+    return run
+
+
+def _probes(index: Index, coded: DataFrame, queries: DataFrame, k: int) -> int:
+    """How many lists hold SHARE of the k nearest of SOUNDINGS queries, chosen by a hash, by brute force over all vectors."""
+    some = queries.orderBy(F.xxhash64("vec_id"), "k1", "k2").select("embedding").limit(SOUNDINGS).toArrow()
+    if not len(some):
+        return 1
+    met = coded.select("embedding", "cell").mapInArrow(_sound(index, _vectors(some, "embedding"), k), "sounding int, score double, depth int")
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("sounding").orderBy(F.desc("score"), F.desc("depth")))).where(F.col("r") <= k)
+    return int(np.quantile(best.select("depth").toArrow().column("depth").to_numpy(), SHARE)) + 2
+
+
+def _probe(index: Index, probes: int, sizes: np.ndarray, k: int):
     """The lists that each query reads: its best ones, and more of them until they hold k entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +126,7 @@ def _probe(index: Index, sizes: np.ndarray, k: int):
             if not len(x):
                 continue
             near = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")
-            depth = np.maximum(index.probes, (np.cumsum(sizes[near], axis=1) < k).sum(axis=1) + 1)
+            depth = np.maximum(probes, (np.cumsum(sizes[near], axis=1) < k).sum(axis=1) + 1)
             rows, ranks = np.nonzero(np.arange(near.shape[1])[None, :] < depth[:, None])
             taken = batch.select(["k1", "k2"]).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near[rows, ranks].astype(np.int32))], names=["k1", "k2", "cell"])
@@ -122,6 +146,7 @@ def _search(index: Index, k: int):
             return schema.empty_table()
         q, x = _vectors(queries, "embedding"), _vectors(block, "embedding")
         codes = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+        error, size = block.column("error").to_numpy(), np.sqrt((q**2).sum(axis=1))
         ids, out = block.column("ids").to_pylist(), []
         keys = list(zip(queries.column("k1").to_pylist(), queries.column("k2").to_pylist(), strict=True))
         base = q @ index.centroids[block.column("cell")[0].as_py()]
@@ -134,8 +159,17 @@ def _search(index: Index, k: int):
             best = np.argpartition(-rough, RERANK - 1, axis=1)[:, :RERANK] if len(x) > RERANK else np.tile(np.arange(len(x)), (len(part), 1))
             exact = (x[best] * part[:, None, :]).sum(axis=2)
             for i in range(len(part)):
-                kept = np.flatnonzero(exact[i] >= np.partition(exact[i], -k)[-k]) if len(exact[i]) > k else np.arange(len(exact[i]))
-                scored = sorted((-score, v) for score, row in zip(exact[i][kept].tolist(), best[i][kept].tolist(), strict=True) for v in ids[row])[:k]
+                rows, scores = best[i], exact[i]
+                if len(x) > len(rows) > k:
+                    # the codes' errors are at most |query| * error; what share of that they reach is seen where the score is known
+                    most = size[a + i] * error
+                    share = min(1.0, CAUTION * float(np.max(np.divide(np.abs(scores - rough[i, rows]), most[rows], out=np.zeros(len(rows)), where=most[rows] > 0))))
+                    open_ = rough[i] + share * most + 1e-12 * np.abs(rough[i]) >= np.partition(scores, -k)[-k]
+                    open_[rows] = False
+                    more = np.flatnonzero(open_)
+                    rows, scores = np.concatenate([rows, more]), np.concatenate([scores, (x[more] * part[i]).sum(axis=1)])
+                kept = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+                scored = sorted((-score, v) for score, row in zip(scores[kept].tolist(), rows[kept].tolist(), strict=True) for v in ids[row])[:k]
                 out += [(*keys[a + i], -score, v) for score, v in scored]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -178,15 +212,16 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = 20) -> DataFrame:
     sample = distinct.where(F.pmod(F.col("k1"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("embedding").toArrow()
     if not len(sample):
         sample = distinct.select("embedding").limit(1000).toArrow()
-    index = fit(_vectors(sample, "embedding"), min(MOST_LISTS, max(1, int(np.sqrt(count)))), k)
+    index = fit(_vectors(sample, "embedding"), min(MOST_LISTS, max(1, int(np.sqrt(count)))))
 
-    width = "k1 long, k2 long, embedding array<double>, ids array<long>, cell int, code binary"
+    width = "k1 long, k2 long, embedding array<double>, ids array<long>, cell int, code binary, error double"
     coded = cut(distinct.select("k1", "k2", "embedding", "ids").mapInArrow(_assign(index), width))
     held = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # a row a list
     sizes = np.array([held.get(c, 0) for c in range(len(index.centroids))], np.int64)
 
     asked = rows.where(is_query).select(*key).distinct().join(distinct, key).select(*key, "embedding")
-    probes = cut(asked.mapInArrow(_probe(index, sizes, k + 1), "k1 long, k2 long, cell int"))
+    needed = _probes(index, coded, rows.where(is_query), k + 1)
+    probes = cut(asked.mapInArrow(_probe(index, needed, sizes, k + 1), "k1 long, k2 long, cell int"))
     # lists are dealt to blocks and their queries to slices, both of bounded size; each block meets each slice. A row a list.
     shape = probes.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLICE).alias("slices")).join(coded.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).alias("blocks")), "cell")
     shape = F.broadcast(cut(shape))  # at most MOST_LISTS rows

@@ -382,6 +382,25 @@ def test_nearest_of_odd_vectors(spark, monkeypatch):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_nearest_of_other_queries_and_poor_codes(spark, monkeypatch):
+    """Few queries that don't look like the rows, and codes whose errors hide the best from a short rerank."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(200, 16)))
+    clusters, plain = unit(centres[rng.integers(200, size=6000)] + 0.01 * rng.normal(size=(6000, 16))), rng.normal(size=(3000, 16))
+
+    def recall(rows, asked):
+        table = [(20 * i, v.tolist()) for i, v in enumerate(asked)] + [(i + i // 19 + 1, v.tolist()) for i, v in enumerate(rows)]
+        want = exact_nearest(table, 20)
+        got = neighbours.nearest(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+        return sum(r.vec_id in dict(want[r.query_id]) for r in got) / sum(map(len, want.values()))
+
+    assert recall(clusters, rng.normal(size=(8, 16))) >= 0.9
+    for name, value in (("MOST_LISTS", 1), ("RERANK", 22), ("CODES", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert recall(plain, rng.normal(size=(8, 16))) >= 0.9
+
+
 # ---- 6
 
 
