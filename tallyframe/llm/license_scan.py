@@ -13,8 +13,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ascii_lower
-
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Licenses; a label, a word to look for before its names that hold it, and its names as regexes over words.
@@ -195,14 +193,40 @@ def _spaced(pattern: str) -> str:
     return f" {pattern.replace(" ", "  ")} "
 
 
-def words_text(lowered: Column) -> Column:
-    """' w1  w2  w3 ': each word of a lower-cased text between two spaces of its own; '' without words."""
-    bare = F.trim(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
-    return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+def literal(pattern: str, key: str) -> str:
+    """The longest text around the key, if there is one, that every match of a regex of rules() holds: no group, class, wild card or optional letter is in it."""
+    out, depth, i = [], 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "[":
+            i = pattern.index("]", i)
+        elif c == ".":
+            i = pattern.index("?", i)
+        elif c == "?":
+            out = out if depth or pattern[i - 1] in ")]" else out[:-1]
+        depth += (c == "(") - (c == ")")
+        plain = not depth and c not in "[].()?"
+        out.append(c if plain else "\n")
+        i += 1
+    parts = "".join(out).split("\n")
+    return max(parts, key=lambda p: (key in p.split(), len(p))).lstrip()
+
+
+#: The ASCII characters that change: capitals to small letters, and to spaces what is in no word.
+_FROM = "".join(chr(c) for c in range(128) if not (48 <= c < 58 or 97 <= c < 123))
+_TO = "".join(c.lower() if "A" <= c <= "Z" else " " for c in _FROM)
+
+
+def words_text(text: Column) -> Column:
+    """' w1  w2  w3 ': each word of a text, A-Z lower-cased, between two spaces of its own; '' without words."""
+    bare = F.trim(F.translate(text, _FROM, _TO))
+    # runs of spaces to two each, without a regex: controls are gone, so they can stand for the ends of spaces
+    ends = F.replace(F.replace(bare, F.lit(" "), F.lit("\x01\x02")), F.lit("\x02\x01"), F.lit(""))
+    return F.when(bare == "", "").otherwise(F.concat(F.lit(" "), F.replace(ends, F.lit("\x01\x02"), F.lit("  ")), F.lit(" ")))
 
 
 def _count_words(spaced: Column) -> Column:
-    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
+    return ((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
 def _gated(text: Column) -> Column:
@@ -222,10 +246,12 @@ def detections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """
     spark = docs.sparkSession
     table = F.broadcast(_rule_table(spark))  # hundreds of rows, whatever the data
-    asked = docs.where(_gated(F.col("text"))).select(*keep, F.xxhash64("text").alias("text_key"), words_text(ascii_lower(F.col("text"))).alias("spaced"))
+    asked = docs.where(_gated(F.col("text"))).select(*keep, F.xxhash64("text").alias("text_key"), words_text(F.col("text")).alias("spaced"))
     keys = sorted({r[4] for r in rules()})
-    held = asked.select(*keep, "text_key", "spaced", F.explode(F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col("spaced"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("key"))
-    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.concat(F.lit(" "), "word", F.lit(" ")))).where(F.expr("spaced rlike pattern"))
+    # a search stops at each byte that could begin a match, so what begins with a space is looked for last
+    stands = lambda word: F.contains(F.col("spaced"), F.concat(word, F.lit(" "))) & F.contains(F.col("spaced"), F.concat(F.lit(" "), word, F.lit(" ")))
+    held = asked.select(*keep, "text_key", "spaced", F.explode(F.filter(F.array(*map(F.lit, keys)), stands)).alias("key"))
+    met = held.join(table, "key").where(F.contains(F.col("spaced"), F.col("literal")) & stands(F.col("word"))).where(F.expr("spaced rlike pattern"))
     # words hold no control characters: they part what a regex finds (odd places) from what it doesn't (even ones)
     parts = F.split(F.regexp_replace("spaced", F.concat(F.lit("("), F.col("pattern"), F.lit(")")), F.lit("\x01$1\x01")), "\x01")
     counts = met.select(*keep, "text_key", "label", "priority", "confidence", "pattern", F.transform(parts, lambda p: _count_words(p)).alias("counts"))
@@ -242,7 +268,7 @@ def detections(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def _rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rules(), "label string, priority int, confidence double, word string, key string, pattern string")
+    return spark.createDataFrame([(*r, literal(r[5], r[4])) for r in rules()], "label string, priority int, confidence double, word string, key string, pattern string, literal string")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -254,9 +280,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     added = detections(slim.where("text <> ''")).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("confidence").alias("sure"))
-    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    spaced = F.when(_gated(F.col("text")), words_text(ascii_lower(F.col("text")))).otherwise("")
-    base = slim.select("doc_id", F.xxhash64("text").alias("own_key"), n_words.alias("n_words"), spaced.alias("spaced"))
+    # words are counted by what stands around them: regexp_count would make an object of each
+    spaced = words_text(F.col("text"))
+    base = slim.select("doc_id", F.xxhash64("text").alias("own_key"), _count_words(spaced).alias("n_words"), F.when(_gated(F.col("text")), spaced).otherwise("").alias("spaced"))
     counts, starts, ends, labels = F.lit(0).cast("long"), [F.lit(None).cast("long")], [F.lit(None).cast("long")], []
     for phrase, label in sorted(BASE, key=lambda b: b[1]):
         own = _spaced(phrase)

@@ -584,6 +584,24 @@ def test_license_rules_by_brute_force(spark):
     assert {i: sorted(got[i]) for i in want} == want
 
 
+def test_license_words_and_literals(spark):
+    """Words are counted without an object for each, and each rule's literal stands in whatever its regex finds."""
+    texts = ["", " ", "one", "One,TWO  three!", "\u00e9t\u00e9 \u4e2d\u6587-x", "a\tb\nC", "under the MIT license, twice: under the MIT license", "1 2 3", "...", "end\u00a0here"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = license_scan.scan(table)
+    assert {r.doc_id: r.n_words for r in scanned.collect()} == {i: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)) for i, t in enumerate(texts)}
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan and "RegExpCount" not in plan
+    for *_, key, pattern in license_scan.rules():
+        found = license_scan.literal(pattern, key)
+        # of each group and optional letter the longest form and none
+        for shape in (re.sub(r"https\?", "http", pattern), re.sub(r"https\?", "https", pattern)):
+            while re.search(r"\(\?:[^()]*\)", shape):
+                shape = re.sub(r"\(\?:([^()|]*)[^()]*\)(\??)", lambda m: "" if m[2] and "https" not in shape else m[1], shape)
+            text = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\.\{\d+,\d+\}\?", "x", shape))
+            assert len(found.strip()) > 1 and found in text and re.search(pattern, text)
+
+
 def test_every_license_rule_passes_the_gate():
     for _, _, _, word, key, pattern in license_scan.rules():
         fixed = re.sub(r"\(\?:(?:[^()]|\([^)]*\)\??)*\)\?", " ", pattern)
