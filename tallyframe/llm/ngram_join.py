@@ -172,6 +172,21 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - (num * n + den - 1) // den + 1
 
 
+#: Bytes of an n-gram's hash that can be other than 0, of the 8 that it has in memory.
+_BYTES = 8 - int(DROPPED) // 8
+
+
+def narrow(grams: np.ndarray) -> bytes:
+    """Hashes without their empty bytes: sets are kept twice, and sent to their pairs."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+
+
+def widen(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, _BYTES)
+    return out.view("<u8").ravel()
+
+
 def _gather(num: int, den: int):
     """The messages of one part of the documents to a row each; grams (rare first) only where the prefix reaches shared n-grams."""
 
@@ -204,7 +219,7 @@ def _gather(num: int, den: int):
             edges = np.searchsorted(at, np.arange(len(doc) + 1))
             for i in np.flatnonzero(alive & (n > 0)):
                 own = g[edges[i] : edges[i + 1]]
-                out[i] = own.tobytes()
+                out[i] = narrow(own)
                 if len(own) == n[i]:
                     same[i] = _digest(own)
         return pa.table([pa.array(doc), pa.array(n), pa.array(rows.astype(np.int64)), pa.array(n - shared), pa.array(same, pa.binary()), pa.array(out, pa.binary())], schema=_DOCS)
@@ -226,7 +241,7 @@ def _prefixes(num: int, den: int):
         for batch in batches:
             cols = [[], [], [], [], [], []]
             for doc, n, alone, same, blob in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "alone", "same", "grams")), strict=True):
-                g = np.frombuffer(blob, np.uint64)[: int(prefix_length(np.int64(n), num, den)) - alone].astype(np.int64)
+                g = widen(blob)[: int(prefix_length(np.int64(n), num, den)) - alone].astype(np.int64)
                 cols[0].append(g)
                 cols[1] += [same or doc.to_bytes(8, "little", signed=True)] * len(g)
                 cols[2].append(np.full(len(g), doc))
@@ -251,7 +266,7 @@ def _verified(num: int, den: int):
         for batch in batches:
             found = []
             for a, b, na, nb, ga, gb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64)
+                x, y = widen(ga), widen(gb)
                 least = -(-num * (na + nb) // (num + den))
                 if (len(x) + len(y) - int(np.abs(spread(x) - spread(y)).sum())) // 2 < least:
                     continue
@@ -310,7 +325,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits, over = [], []
         for blob in batch.column("grams").to_pylist():
-            counts = np.bincount((np.frombuffer(blob, np.uint64) >> np.uint64(56 - 9)).astype(np.int64), minlength=SLICES)
+            counts = np.bincount((widen(blob) >> np.uint64(56 - 9)).astype(np.int64), minlength=SLICES)
             unary = np.array([0, 1, 3, 7, 15], np.uint8)[np.minimum(counts, 4)]
             bits.append((unary[0::2] | unary[1::2] << 4).astype(np.uint8).view(np.int64).tolist())
             over.append(int(np.maximum(counts - 4, 0).sum()))

@@ -331,6 +331,14 @@ def test_jaccard_components_of_few_words_a_task(spark):
         assert ngram_join.shingle_sets(raw, np.array([0, len(raw)]), 5)[1].tolist() == [min(n, 1)]
 
 
+def test_sets_of_hashes_take_seven_bytes_each():
+    raw = np.frombuffer(b"some words that stand here and there", np.uint8)
+    grams, counts = ngram_join.shingle_sets(raw, np.array([0, len(raw)]), 5)
+    assert counts.tolist() == [3] and len(ngram_join.narrow(grams)) == 21
+    for own in (grams, grams[:0], np.array([0, 1, 2**56 - 1], np.uint64)):
+        assert ngram_join.widen(ngram_join.narrow(own)).tolist() == own.tolist()
+
+
 def test_jaccard_components_of_odd_rows(odd, none):
     got = sorted(map(tuple, ngram_join.jaccard_components(odd).collect()), key=str)
     want = [(-7, 1, -7), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (4, 3, 4), (5, 997, 5), (6, 997, 5), (None, 4, None)]
