@@ -26,21 +26,32 @@ SHARD_TOKENS = 2_000_000
 #: Bytes of a plane's block before compression.
 BLOCK_BYTES = 4096
 #: Bytes of text that a task encodes at once, bytes that a worker may remember pieces' ids in, and the longest piece remembered.
-SLICE, REMEMBERED, LONGEST = 750_000, 12 << 20, 64
+SLICE, REMEMBERED, LONGEST = 1_500_000, 32 << 20, 64
 #: Pieces that the library encodes in one text, and texts that it encodes in one call: its results take a hundred bytes a token.
 JOINED, CALL = 256, 16
 END_ID = 0
-#: A part between spaces that is empty or has white space, of any script, at an end.
-ODD = r"^[\s\pZ\x{85}\x0b\x1c-\x1f]|[\s\pZ\x{85}\x0b\x1c-\x1f]$|^$"
-#: A part without white space of any script: the library can see it in one text with others.
-SOLID = r"\A[^\s\pZ\x{85}\x0b\x1c-\x1f]+\z"
-#: Such parts with a single line feed between each two.
-LINES = SOLID.replace(r"\z", r"(?:\n[^\s\pZ\x{85}\x0b\x1c-\x1f]+)+\z")
 #: Stands for a null id in shards.
 NO_ID = -(2**63)
 MAGIC = b"WVM2"
 
 
+def _bytes(*ranges: Iterable[int]) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[b for r in ranges for b in r]] = True
+    return table
+
+
+#: Bytes that are white space, or begin a character that may be.
+_MAYBE_WHITE = _bytes(range(0x09, 0x0E), range(0x1C, 0x21), (0xC2, 0xE1, 0xE2, 0xE3))
+_ALNUM = _bytes(b"0123456789", range(0x41, 0x5B), range(0x61, 0x7B))
+#: Bytes of the letters from A to U+017F, with U+00D7 and U+00F7, which are none; bytes of other characters begin with others.
+_LETTER = _bytes(range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0xC0), (0xC3, 0xC4, 0xC5))
+#: The character that stands for each byte in a byte-level vocabulary.
+_SHOWN = np.arange(256, dtype="<u4")
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_SHOWN[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+
+
 # ---- the structure
 
 
@@ -190,38 +201,48 @@ class WaveletMatrix:
 
 
 class Memory:
-    """The ids of pieces seen before, under two hashes of the piece, in arrays of bounded size."""
+    """The ids of pieces seen before, under two hashes of the piece, in a table of bounded size. A piece has two slots; who takes one stays."""
+
+    #: Bytes of a slot and of the ids of a piece in it, about.
+    ENTRY = 30
 
     def __init__(self):
-        self.h1, self.h2, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.h1, self.h2, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.used = 0
+
+    def _slots(self, h2: np.ndarray) -> Iterator[np.ndarray]:
+        for shift in (0, 24):
+            yield ((h2 >> np.uint64(shift)) & np.uint64(len(self.h1) - 1)).astype(np.int64)
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Each piece's place here, or -1."""
-        if not len(self.h1):
-            return np.full(len(h1), -1)
-        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+        out = np.full(len(h1), -1)
+        rest = np.arange(len(h1) if len(self.h1) else 0)
+        for k in range(2):
+            at = list(self._slots(h2[rest]))[k] if len(rest) else rest
+            met = (self.h1[at] == h1[rest]) & (self.h2[at] == (h2[rest] >> np.uint64(32)))
+            out[rest[met]] = at[met]
+            rest = rest[~met]
+        return out
 
     def add(self, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """New pieces; what is over the bound isn't taken."""
-        room = REMEMBERED - sum(x.nbytes for x in (self.h1, self.h2, self.start, self.size, self.ids))
-        fit = int(np.searchsorted(np.cumsum(24 + 4 * size), room))
-        if fit:
-            first = len(self.ids)
-            self.ids = np.concatenate([self.ids, ids[: int(size[:fit].sum())]])
-            starts = first + np.cumsum(size[:fit]) - size[:fit]
-            order = np.argsort(h1[:fit])
-            at = np.searchsorted(self.h1, h1[:fit][order])
-            for name, new in (("h1", h1[:fit]), ("h2", h2[:fit]), ("start", starts), ("size", size[:fit])):
-                old = getattr(self, name)
-                setattr(self, name, np.insert(old, at, new[order].astype(old.dtype)))
-
-
-def _keys(words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = text_buffers(words)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    flag, lengths = np.uint64(spaced), np.diff(offsets)
-    return mix64(hash_spans(padded, offsets[:-1], lengths) + flag), mix64(hash_spans(padded, offsets[:-1], lengths, _K ^ np.uint64(0x5DEECE66C)) + flag)
+        """New pieces, each once and none without ids; what finds no slot, or is over the bound, isn't taken."""
+        if not len(self.h1):
+            slots = 1 << max(0, (REMEMBERED // self.ENTRY).bit_length() - 1)
+            self.h1, self.h2, self.start, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+            self.ids = np.zeros((REMEMBERED - sum(x.nbytes for x in (self.h1, self.h2, self.start, self.size))) // ids.itemsize, ids.dtype)
+        first = np.cumsum(size) - size
+        for slot in self._slots(h2):
+            new = np.flatnonzero((self.size[slot] == 0) & (size > 0))
+            new = new[np.unique(slot[new], return_index=True)[1]]
+            new = new[: np.searchsorted(np.cumsum(size[new]), len(self.ids) - self.used, side="right")]
+            taken, at = size[new], slot[new]
+            self.h1[at], self.h2[at], self.size[at] = h1[new], h2[new] >> np.uint64(32), taken
+            self.start[at] = self.used + np.cumsum(taken) - taken
+            self.ids[self.used : self.used + taken.sum()] = gather(first[new], taken, ids)
+            self.used += int(taken.sum())
+            size = size.copy()
+            size[new] = 0
 
 
 def gather(start: np.ndarray, size: np.ndarray, pool: np.ndarray) -> np.ndarray:
@@ -240,13 +261,33 @@ def _in_order(came: np.ndarray, size: np.ndarray, pool: np.ndarray) -> np.ndarra
     return gather(start, size, pool)
 
 
+def _white(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, bytes) of each white space character of UTF-8, of any script."""
+    at = np.flatnonzero(_MAYBE_WHITE[raw])
+    b, c, d = (np.concatenate([raw, np.zeros(2, np.uint8)])[at + k] for k in range(3))
+    wide = ((b == 0xE2) & (((c == 0x80) & ((d <= 0x8A) | np.isin(d, (0xA8, 0xA9, 0xAF)))) | ((c == 0x81) & (d == 0x9F)))) | ((b == 0xE1) & (c == 0x9A) & (d == 0x80)) | ((b == 0xE3) & (c == 0x80) & (d == 0x80))
+    width = np.where(b < 0x80, 1, 2 * ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) + 3 * wide)
+    return at[width > 0], width[width > 0]
+
+
+def _odd(words: pa.Array) -> np.ndarray:
+    """Which words are empty or have white space, of any script, at an end."""
+    raw, offsets = text_buffers(words)
+    at, width = _white(raw)
+    out = offsets[1:] == offsets[:-1]
+    word = np.searchsorted(offsets, at, side="right") - 1
+    out[word[(at == offsets[word]) | (at + width == offsets[word + 1])]] = True
+    return out
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each different piece of a slice of texts once.
 
     A text is cut before a space between two other characters. A byte-level pre-tokenizer always parts there, with the
     space at the head of what follows, so the ids of the pieces are those of the text. For the same reason a piece may
     be cut around a single line feed, and between letters and a run of plain punctuation that ends it; and pieces can be
-    encoded together with a line feed between them. Another kind of tokenizer is refused.
+    encoded together with a line feed between them. A piece of Latin letters alone is one piece for the pre-tokenizer, too,
+    so it goes to the library's model directly. Another kind of tokenizer is refused.
     """
 
     #: Punctuation that ends a piece; without the apostrophe, which can begin an ending of its own.
@@ -259,11 +300,30 @@ class Encoder:
         self.tokenizer = made = Tokenizer.from_file(path)
         before = made.pre_tokenizer
         feed = made.encode("\n", add_special_tokens=False).ids
-        plain = made.normalizer is None and made.truncation is None and made.padding is None and len(feed) == 1
+        added = made.get_added_tokens_decoder().values()
+        apart = all(t.content and not any(c.isspace() for c in t.content) and not (t.lstrip or t.rstrip or t.single_word) for t in added)
+        plain = made.normalizer is None and made.truncation is None and made.padding is None and len(feed) == 1 and apart
         if not plain or not isinstance(before, ByteLevel) or not before.use_regex or before.add_prefix_space:
             raise ValueError(f"{path}: texts can be cut for a plain byte-level tokenizer only")
         self.feed = feed[0]
+        self.added = [t.content for t in added]
+        self.dtype = np.uint16 if max(made.get_vocab().values()) <= 0xFFFF else np.uint32
+        self._marks = _bytes(self.MARKS.encode())
         self.known = Memory()
+        self._take_model()
+
+    def _take_model(self) -> None:
+        """The library's model without its pre-tokenizer, and a byte to part pieces that no longer entry of the vocabulary holds; None where there is none."""
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+
+        self.bare, model, vocab = None, self.tokenizer.model, self.tokenizer.get_vocab(with_added_tokens=False)
+        if not isinstance(model, BPE) or model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix:
+            return
+        used = set("".join(v for v in vocab if len(v) > 1))
+        parting = [b for b in range(128) if not chr(b).isalpha() and b != 0x20 and chr(_SHOWN[b]) in vocab and chr(_SHOWN[b]) not in used]
+        if parting:
+            self.bare, self.parting, self.parting_id = Tokenizer(model), parting[0], vocab[chr(_SHOWN[parting[0]])]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -303,119 +363,163 @@ class Encoder:
             out += [(stem, spaced and not i), (line[len(stem) :], False)] if cut else [(line, spaced and not i)]
         return out
 
-    def _called(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _called(self, texts: list[str], tokenizer=None) -> Iterator[np.ndarray]:
         """The ids of each text, from the library."""
         for a in range(0, len(texts), CALL):
-            for e in self.tokenizer.encode_batch_fast(texts[a : a + CALL], add_special_tokens=False):
-                yield np.array(e.ids, np.uint32)
+            for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[a : a + CALL], add_special_tokens=False):
+                yield np.array(e.ids, self.dtype)
 
-    def _together(self, pieces: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each piece, all ids), from the library, of pieces without white space but for the same text before each."""
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids), from the library, of pieces without white space but for a space before."""
         if not pieces:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        ids = np.concatenate(list(self._called([before + f"\n{before}".join(pieces[a : a + JOINED]) + "\n" for a in range(0, len(pieces), JOINED)])))
+            return np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        ids = np.concatenate(list(self._called(["\n".join(pieces[a : a + JOINED]) + "\n" for a in range(0, len(pieces), JOINED)])))
         feeds = ids == self.feed
         return np.diff(np.flatnonzero(feeds), prepend=-1) - 1, ids[~feeds]
 
+    def _letters(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids), from the library's model, of pieces of letters alone but for a space before."""
+        ends = np.cumsum(lengths + spaced + 1)
+        shown = np.full(ends[-1], self.parting, np.uint8)
+        body = np.ones(len(shown), bool)
+        body[ends - 1] = False
+        heads = (ends - 1 - lengths - spaced)[spaced]
+        shown[heads], body[heads] = 0x20, False
+        shown[body] = gather(starts, lengths, raw)
+        text = _SHOWN[shown].tobytes().decode("utf-32-le")
+        cuts = [0, *ends[JOINED - 1 :: JOINED].tolist()]
+        texts = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if a < b]
+        ids = np.concatenate(list(self._called(texts, self.bare)))
+        parted = ids == self.parting_id
+        return np.diff(np.flatnonzero(parted), prepend=-1) - 1, ids[~parted]
+
     def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, all ids), from the library."""
         single = [i for i, p in enumerate(pieces) if p.removeprefix(" ").split() != [p.removeprefix(" ")]]
         alone = set(single)
         order = [i for i in range(len(pieces)) if i not in alone]
         sizes = np.zeros(len(pieces), np.int64)
-        sizes[order], joined = self._together([pieces[i] for i in order], "")
+        sizes[order], joined = self._together([pieces[i] for i in order])
         found = [joined]
         for own, i in zip(self._called([pieces[i] for i in single]), single, strict=True):
             sizes[i] = len(own)
             found.append(own)
         return sizes, _in_order(np.array([*order, *single], np.int64), sizes, np.concatenate(found))
 
-    def _looked_up(self, words: pa.Array, spaced: bool, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, pool) of each of the different words: from memory, and what it lacks from make(words), which it then learns."""
-        h1, h2 = _keys(words, spaced)
+    def _looked_up(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spaced: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, pool) of each span of the padded bytes: from memory, and what it lacks from make(spans' numbers), which it then learns."""
+        h1, h2 = (mix64(hash_spans(raw, starts, lengths, k) + spaced.astype(np.uint64)) for k in (_K, _K ^ np.uint64(0x5DEECE66C)))
         at = self.known.find(h1, h2)
         new = np.flatnonzero(at < 0)
-        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        start, size = self.known.start[at].astype(np.int64) if len(self.known.start) else np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         held = at >= 0
-        start[held], size[held] = self.known.start[at[held]], self.known.size[at[held]]
-        pool = self.known.ids
+        size[held] = self.known.size[at[held]]
+        pool = self.known.ids[: self.known.used]
         if len(new):
-            sizes, ids = make(words.take(pa.array(new)))
-            start[new], size[new] = len(pool) + np.cumsum(sizes) - sizes, sizes
+            _, first, same = np.unique(h1[new], return_index=True, return_inverse=True)
+            if (h2[new] != h2[new[first]][same]).any():
+                first = same = np.arange(len(new))
+            once = new[first]
+            sizes, ids = make(once)
+            start[new], size[new] = (len(pool) + np.cumsum(sizes) - sizes)[same], sizes[same]
             pool = np.concatenate([pool, ids])
-            short = pc.binary_length(words).to_numpy(zero_copy_only=False)[new] <= LONGEST
-            self.known.add(h1[new][short], h2[new][short], sizes[short], ids[np.repeat(short, sizes)])
+            short = lengths[once] <= LONGEST
+            self.known.add(h1[once][short], h2[once][short], sizes[short], ids[np.repeat(short, sizes)])
         return start, size, pool
 
-    def _solid(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-        return self._together(words.to_pylist(), " " if spaced else "")
-
-    def _by_lines(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, all ids) of words of several lines without other white space."""
-        lists = pc.split_pattern(words, "\n")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        first = np.zeros(len(lists.values), bool)
-        first[offsets[:-1]] = True
-        # before each line but a word's first one a line feed, the first id of the pool
-        start, size, pool = np.zeros((len(first), 2), np.int64), np.zeros((len(first), 2), np.int64), [np.array([self.feed], np.uint32)]
-        size[:, 0] = ~first
-        for own, space in ((first, spaced), (~first, False)):
-            coded = lists.values.filter(pa.array(own)).dictionary_encode()
-            a, n, ids = self._looked_up(coded.dictionary, space, lambda ws, s=space: self._solid(ws, s))
-            index = coded.indices.to_numpy()
-            start[own, 1], size[own, 1] = sum(map(len, pool)) + a[index], n[index]
-            pool.append(ids)
-        return np.add.reduceat(size.sum(axis=1), offsets[:-1]), gather(start.ravel(), size.ravel(), np.concatenate(pool))
+    def _by_arrays(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, feeds: np.ndarray, counts: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids) of words, from begin to end in the padded bytes, of counts lines with a line feed between each two and no other white space."""
+        begins, ends = np.sort(np.concatenate([begin, feeds + 1])), np.sort(np.concatenate([end, feeds]))
+        firsts = np.cumsum(counts) - counts
+        first = np.zeros(len(begins), bool)
+        first[firsts] = True
+        # a line's punctuation is a piece of its own behind a letter or digit
+        last = np.maximum.accumulate(np.where(self._marks[raw], 0, np.arange(1, len(raw) + 1, dtype=np.int32)))
+        stems = np.maximum(last[ends - 1], begins)
+        other = ~_LETTER[raw]
+        cross = np.flatnonzero(raw[:-1] == 0xC3)
+        other[cross] = (raw[cross + 1] == 0x97) | (raw[cross + 1] == 0xB7)
+        tail, lead = raw[stems - 1], raw[stems - 2]
+        letter = np.where(tail < 0x80, _ALNUM[tail], (lead >= 0xC3) & (lead <= 0xC5) & ~other[stems - 2])
+        marked = (stems > begins) & (stems < ends) & letter
+        stems = np.where(marked, stems, ends)
+        others = np.concatenate([[0], np.cumsum(other, dtype=np.int32)])
+        starts, stops = np.concatenate([begins, stems[marked]]), np.concatenate([stems, ends[marked]])
+        space = np.concatenate([first & spaced, np.zeros(int(marked.sum()), bool)])
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            plain = (others[starts[new]] == others[stops[new]]) & (self.bare is not None)
+            came, sizes, pools = [new[~plain]], np.zeros(len(starts), np.int64), []
+            data = raw.tobytes()
+            sizes[came[0]], ids = self._together([" " * s + data[a:b].decode() for a, b, s in zip(*(x[came[0]].tolist() for x in (starts, stops, space)), strict=True)])
+            pools.append(ids)
+            if plain.any():
+                came.append(new[plain])
+                sizes[came[1]], ids = self._letters(raw, starts[came[1]], (stops - starts)[came[1]], space[came[1]])
+                pools.append(ids)
+            place = np.zeros(len(starts), np.int64)
+            place[new] = np.arange(len(new))
+            return sizes[new], _in_order(place[np.concatenate(came)], sizes[new], np.concatenate(pools))
+
+        a, n, pool = self._looked_up(raw, starts, stops - starts, space, make)
+        # before each line but a word's first one a line feed, the last id of the pool
+        start, size = np.zeros((len(begins), 3), np.int64), np.zeros((len(begins), 3), np.int64)
+        start[:, 0], size[:, 0] = len(pool), ~first
+        start[:, 1], size[:, 1] = a[: len(begins)], n[: len(begins)]
+        start[marked, 2], size[marked, 2] = a[len(begins) :], n[len(begins) :]
+        return np.add.reduceat(size.sum(axis=1), firsts), gather(start.ravel(), size.ravel(), np.append(pool, self.dtype(self.feed)))
+
+    def _one_by_one(self, words: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids) of any words."""
+        numbers: dict[tuple[str, bool], int] = {}
+        used, counts = [], []
+        for word in words:
+            parts = self._parts(word, spaced)
+            counts.append(len(parts))
+            used += [numbers.setdefault(p, len(numbers)) for p in parts]
+        pieces = list(numbers)
+        raw, offsets = text_buffers(pa.array([p for p, _ in pieces], pa.string()))
+        padded, flags = np.concatenate([raw, np.zeros(8, np.uint8)]), np.array([s for _, s in pieces], bool)
+        start, size, pool = self._looked_up(padded, offsets[:-1], np.diff(offsets), flags, lambda new: self._fresh([" " * pieces[i][1] + pieces[i][0] for i in new.tolist()]))
+        return np.add.reduceat(size[used], np.cumsum(counts) - counts), gather(start[used], size[used], pool)
 
     def resolve(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, pool): the span of ids of each of the different words, with or without a space before it."""
-
-        def make(missing: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            solid, lines = (pc.match_substring_regex(missing, r).to_numpy(zero_copy_only=False) for r in (SOLID, LINES))
-            came, sizes, pools = [], [], []
-            for kind, how in ((solid, lambda words: self._solid(words, spaced)), (lines, lambda words: self._by_lines(words, spaced)), (~solid & ~lines, lambda words: cut(words.to_pylist()))):
-                if kind.any():
-                    came.append(np.flatnonzero(kind))
-                    found = how(missing.take(pa.array(came[-1])))
-                    sizes.append(found[0])
-                    pools.append(found[1])
-            order = np.concatenate(came)
-            size = np.zeros(len(missing), np.int64)
-            size[order] = np.concatenate(sizes)
-            return size, _in_order(order, size, np.concatenate(pools))
-
-        def cut(missing: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            numbers: tuple[dict[str, int], dict[str, int]] = ({}, {})
-            used, counts = [], []
-            for word in missing:
-                parts = self._parts(word, spaced)
-                counts.append(len(parts))
-                used += [(s, numbers[s].setdefault(p, len(numbers[s]))) for p, s in parts]
-            flags, index = (np.array(x, np.int64) for x in zip(*used, strict=True))
-            start, size, pools, base = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64), [], 0
-            for space in (0, 1):
-                if numbers[space]:
-                    each = lambda ps, s=space: self._fresh([" " + p for p in ps.to_pylist()] if s else ps.to_pylist())
-                    a, n, pool = self._looked_up(pa.array(list(numbers[space]), pa.string()), bool(space), each)
-                    own = flags == space
-                    start[own], size[own] = base + a[index[own]], n[index[own]]
-                    pools.append(pool)
-                    base += len(pool)
-            first = np.cumsum(counts) - counts
-            return np.add.reduceat(size, first), gather(start, size, np.concatenate(pools))
-
-        return self._looked_up(words, spaced, make)
+        raw, offsets = text_buffers(words)
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        at, _ = _white(raw)
+        word = np.searchsorted(offsets, at, side="right") - 1
+        feed = raw[at] == 0x0A
+        odd = _odd(words)
+        odd[word[~feed]] = True
+        feeds, word = at[feed], word[feed]
+        odd[word[1:][np.diff(feeds) == 1]] = True
+        for content in self.added:
+            odd |= pc.match_substring(words, content).to_numpy(zero_copy_only=False)
+        size, came, pools = np.zeros(len(words), np.int64), [np.flatnonzero(~odd), np.flatnonzero(odd)], []
+        if len(came[0]):
+            own = ~odd[word]
+            counts = 1 + np.bincount(word[own], minlength=len(words))[came[0]]
+            size[came[0]], ids = self._by_arrays(padded, offsets[:-1][came[0]], offsets[1:][came[0]], feeds[own], counts, spaced)
+            pools.append(ids)
+        if len(came[1]):
+            size[came[1]], ids = self._one_by_one(words.take(pa.array(came[1])).to_pylist(), spaced)
+            pools.append(ids)
+        order = np.concatenate(came)
+        start = np.zeros(len(words), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return start, size, np.concatenate(pools) if pools else np.zeros(0, self.dtype)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text) of a string column without nulls."""
         if not len(column):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         lists = pc.split_pattern(column, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets -= offsets[0]
         index = coded.indices.to_numpy().astype(np.int64)
-        odd = pc.match_substring_regex(coded.dictionary, ODD).to_numpy(zero_copy_only=False)
+        odd = _odd(coded.dictionary)
         strange = np.add.reduceat(odd[index], offsets[:-1]) > 0
         # of each text the first word has no space before it; texts with odd white space are cut by pieces()
         own = [self.pieces(t) if s else None for s, t in zip(strange.tolist(), column.to_pylist() if strange.any() else [None] * len(column), strict=True)]
@@ -450,7 +554,7 @@ def _sharded(path: str, shard_tokens: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(path)
-        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, encoder.dtype))]
         waiting = 0
         try:
             for batch in _gathered(batches, SLICE):

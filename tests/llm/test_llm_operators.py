@@ -527,6 +527,38 @@ def test_words_and_lines_need_no_loop(monkeypatch):
     assert looked and all(not w or any(c.isspace() and c != "\n" for c in w) or "\n\n" in w for w in looked)
 
 
+def test_a_stem_goes_to_the_library_once(monkeypatch):
+    """Words that differ in their punctuation or lines only share their pieces, in a slice and later."""
+    import pyarrow as pa
+
+    encoder, sent, called = wavelet.Encoder(queries.tokenizer_path()), [], wavelet.Encoder._called
+    monkeypatch.setattr(wavelet.Encoder, "_called", lambda self, texts, *more: sent.extend(texts) or called(self, texts, *more))
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("abcdeghilmnorstu\u00e9\u00df") for _ in range(9)) for _ in range(3000)]
+    for ends in (["", ".", ",", "!", "...", ")"], ["?", ";", ":", "%%%", ".\nAnd", "-"]):
+        texts = [" ".join(["so", *(s + end for s in stems)]) for end in ends]
+        ids, sizes = encoder.encode(pa.array(texts))
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for e in want for i in e]
+    assert sum(map(len, sent)) < 2 * sum(map(len, stems))
+
+
+def test_pieces_of_every_kind_with_and_without_the_model_alone(monkeypatch):
+    import pyarrow as pa
+
+    encoder, rng = wavelet.Encoder(queries.tokenizer_path()), random.Random(8)
+    assert encoder.bare is not None
+    parts = ["ab", "Z", "\u00fc", "\u00d7", "\u00f7", "\u0149", "\u017f", "\u01c6", "\u00aa", "\u00b2", "\u0301", "\u4e2d", "'", "'s", "'ll", "7", ".", ",", "...", "_", "\x00", "<|endoftext|>", "<|endoftext", "|>", " ", " ", " ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\u2028"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(5000)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for bare, size in ((encoder.bare, wavelet.REMEMBERED), (None, wavelet.REMEMBERED), (encoder.bare, 3000)):
+        monkeypatch.setattr(wavelet, "REMEMBERED", size)
+        encoder.bare, encoder.known = bare, wavelet.Memory()
+        for _ in range(2):
+            ids, sizes = encoder.encode(pa.array(texts))
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for e in want for i in e]
+
+
 # ---- 7
 
 
