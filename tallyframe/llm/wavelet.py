@@ -26,7 +26,7 @@ SHARD_TOKENS = 2_000_000
 #: Bytes of a plane's block before compression.
 BLOCK_BYTES = 4096
 #: Bytes of text that a task encodes at once, bytes that a worker may remember pieces' ids in, and the longest piece remembered.
-SLICE, REMEMBERED, LONGEST = 1_500_000, 32 << 20, 64
+SLICE, REMEMBERED, LONGEST = 1_000_000, 24 << 20, 64
 #: Pieces that the library encodes in one text, and texts that it encodes in one call: its results take a hundred bytes a token.
 JOINED, CALL = 256, 16
 END_ID = 0
