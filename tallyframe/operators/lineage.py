@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,31 @@ def cut(df: DataFrame) -> DataFrame:
     """df after a reliable checkpoint in the folder that the cluster shares."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """Within it, a query's shuffle files go as soon as the query is done, and not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as compressed columns to the folder that the cluster shares, and read from there; for large tables, of which readers need some columns.
+
+    What it was made of leaves no shuffle files. Its own files go with the session. Columns need names of their own and
+    types that Parquet has; rows come back in any order and split.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    with _freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,38 +8,53 @@ k mod 30 = 7 lacks an order id, 8 has a chargeback of an unknown order, 9 a refu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import pct_of
-from tallyframe.operators.lineage import cut
+from tallyframe.operators.lineage import stored
 from tallyframe.types import FEE_BPS, TAX_BPS
 
 _LINE = ["l_orderkey", "l_linenumber"]
 _REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def _payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payment legs with their settlement and k. The line key isn't unique, so a row number within it completes it."""
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment legs as numbers, with what their settlement (a supplier's month) adds up to, stored in order of settlements; ids are spelled by readers.
+
+    The line key isn't unique, so a row number within it completes it. A settlement is (sup, mon), both null where one is.
+    """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     number = F.row_number().over(Window.partitionBy(*_LINE).orderBy(*_REST))
     on = F.col("l_shipdate").cast("date")
     month = (F.year(on) - 1995) * 12 + F.month(on)
-    return items.select(
-        F.concat_ws("_", F.lit("pay"), F.col("l_orderkey"), F.col("l_linenumber"), number).alias("txn_id"), F.lit("payment").alias("txn_type"), F.concat(F.lit("ORD-"), F.col("l_orderkey")).alias("order_id"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("captured_at"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"),
-        F.concat(F.lit("setl_"), F.col("l_suppkey"), F.lit("x"), month).alias("settlement_id"), (F.col("l_suppkey") * 31 + month * 7).cast("long").alias("k"), on.alias("shipped"),
+    legs = items.select(
+        *_LINE, number.alias("number"), F.col("l_shipdate").cast("timestamp_ntz").alias("captured_at"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"),
+        F.when(month.isNotNull(), F.col("l_suppkey")).alias("sup"), F.when(F.col("l_suppkey").isNotNull(), month).alias("mon"),
     )
+    own = Window.partitionBy("sup", "mon")
+    # dealt out before ids are spelled, so that only numbers are shuffled
+    return legs.repartition("sup", "mon").withColumns({
+        "first": F.row_number().over(own.orderBy(_txn_id())) == 1, "gross": F.sum("amount").over(own), "last_capture": F.max("captured_at").over(own),
+    })
+
 
+def _txn_id() -> Column:
+    return F.concat_ws("_", F.lit("pay"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("number"))
 
-def _settlements(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("settlement_id", "k").agg(F.sum("amount").alias("gross"), F.date_add(F.max("shipped"), 2).alias("settled_at"), F.max("captured_at").alias("last_capture"), F.min("txn_id").alias("first_leg"))
+
+def _spelled(base: DataFrame) -> DataFrame:
+    return base.select(
+        _txn_id().alias("txn_id"), F.lit("payment").alias("txn_type"), F.concat(F.lit("ORD-"), F.col("l_orderkey")).alias("order_id"), "captured_at", "amount",
+        F.concat(F.lit("setl_"), F.col("sup"), F.lit("x"), F.col("mon")).alias("settlement_id"), (F.col("sup") * 31 + F.col("mon") * 7).cast("long").alias("k"),
+        F.date_add(F.col("last_capture").cast("date"), 2).alias("settled_at"), "first", "gross", "last_capture",
+    )
 
 
 def base_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(payments, settlements), computed once for all that is made of them."""
-    paid = cut(_payments(spark, sf_dir))
-    return paid, cut(_settlements(paid))
+    paid = _spelled(stored(_base(spark, sf_dir)))
+    return paid, stored(paid.where("first").select("settlement_id", "k", "gross", "settled_at", "last_capture"))
 
 
 _COLUMNS = ("txn_id", "txn_type", "order_id", "captured_at", "amount", "settlement_id", "settled_at")
@@ -48,8 +63,7 @@ _COLUMNS = ("txn_id", "txn_type", "order_id", "captured_at", "amount", "settleme
 def psp(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     paid, made = tables or base_tables(spark, sf_dir)
     mod = lambda n: F.pmod(F.col("k"), F.lit(n))
-    full = paid.join(made.select("settlement_id", "settled_at", "first_leg"), "settlement_id")
-    first = F.col("txn_id") == F.col("first_leg")
+    full, first = paid.where("settlement_id is not null"), F.col("first")
     full = full.withColumn("order_id", F.when(~((mod(30) == 7) & first), F.col("order_id")))
     copies = full.where(first & (mod(20) == 5) & F.col("order_id").isNotNull()).withColumns({
         "txn_id": F.concat("txn_id", F.lit("_d")), "settlement_id": F.when(mod(40) == 5, F.col("settlement_id")), "settled_at": F.when(mod(40) == 5, F.col("settled_at")),
@@ -77,7 +91,7 @@ def _net(net, mod):
 
 
 def bank(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    made = tables[1] if tables else cut(_settlements(_payments(spark, sf_dir)))
+    _, made = tables or base_tables(spark, sf_dir)
     mod = lambda n: F.pmod(F.col("k"), F.lit(n))
     fee = pct_of(F.col("gross"), FEE_BPS)
     net = _net(F.col("gross") - fee - pct_of(fee, TAX_BPS), mod)
@@ -94,13 +108,13 @@ def bank(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] |
     return line.unionByName(clones).unionByName(debits).select("line_id", "txn_date", "narration", "credit", "debit", F.lit(0).cast("long").alias("balance"), "utr")
 
 
-def orders(spark: SparkSession, sf_dir: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered orders: the gross is that of all legs of the order."""
-    gross = (tables[0] if tables else _payments(spark, sf_dir)).groupBy("order_id").agg(F.sum("amount").alias("gross_amount"))
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    amount = F.round(F.col("l_extendedprice") * 100).cast("long")
+    gross = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(amount).alias("gross_amount"))
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet").join(gross, "o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "refunded").otherwise("partially_refunded")
-    own = table.select(F.concat(F.lit("ORD-"), F.col("o_orderkey")).alias("order_id"), F.col("o_orderdate").cast("date").alias("order_date"), F.concat(F.lit("CUST-"), F.col("o_custkey")).alias("customer_ref"), status.alias("status"))
-    return own.join(gross, "order_id").select("order_id", "order_date", "customer_ref", "gross_amount", F.lit("INR").alias("currency"), "status")
+    return table.select(F.concat(F.lit("ORD-"), F.col("o_orderkey")).alias("order_id"), F.col("o_orderdate").cast("date").alias("order_date"), F.concat(F.lit("CUST-"), F.col("o_custkey")).alias("customer_ref"), "gross_amount", F.lit("INR").alias("currency"), status.alias("status"))
 
 
 def truth(statement: DataFrame) -> tuple[DataFrame, DataFrame]:

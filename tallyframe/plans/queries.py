@@ -35,7 +35,7 @@ def _query(sql: str | None = None):
 
 def _run(spark: SparkSession, sf_dir: str) -> M.Reconciliation:
     tables = P.base_tables(spark, sf_dir)
-    return M.reconcile(P.orders(spark, sf_dir, tables), P.psp(spark, sf_dir, tables), P.bank(spark, sf_dir, tables))
+    return M.reconcile(P.orders(spark, sf_dir), P.psp(spark, sf_dir, tables), P.bank(spark, sf_dir, tables))
 
 
 @_query("SELECT * FROM register")
@@ -502,13 +502,11 @@ def audit_sequence(spark, sf_dir):
   SELECT *, 'up' || u AS upload_id, TIMESTAMP '2026-01-01' + INTERVAL 1 day * ((u * 3) % 4) AS uploaded_at, row_number() OVER (PARTITION BY u ORDER BY captured_at DESC, txn_id) AS row FROM (SELECT *, length(txn_id) % 6 AS u FROM psp)) WHERE u <> 2""")
 def upload_union(spark, sf_dir):
     """The legs as records of six uploads, five of which a run takes, in the order of the uploads and of their files."""
-    from pyspark.sql import Window
-
+    from tallyframe.operators.ordinals import numbered_within
     from tallyframe.sources import uploads as U
 
     legs = P.psp(spark, sf_dir).withColumn("u", (F.length("txn_id") % 6).cast("long"))
-    row = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("captured_at"), "txn_id"))
-    records = U.to_records(legs.withColumn("row", row), "psp_txn", "org", F.concat(F.lit("up"), "u"), F.col("row"))
+    records = U.to_records(numbered_within(legs, ["u"], [F.desc("captured_at"), "txn_id"], "row"), "psp_txn", "org", F.concat(F.lit("up"), "u"), F.col("row"))
     uploads = spark.range(6).select(F.lit("org").alias("org_id"), F.concat(F.lit("up"), "id").alias("upload_id"), F.timestamp_add("DAY", (F.col("id") * 3 % 4).cast("int"), F.lit("2026-01-01").cast("timestamp_ntz")).alias("uploaded_at"))
     taken = U.upload_inputs(records, uploads, "org", ["up5", "up0", "up1", "up3", "up4", "up0", "up9"], "psp_txn")
     return taken.select("ordinal", "upload_id", "txn_id", "amount", "settled_at")
