@@ -1,7 +1,11 @@
 """What keeps disk, time and tasks bounded where tables are large."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tallyframe.operators import matching as M
+from tallyframe.operators.lineage import stored
 from tallyframe.operators.ordinals import numbered_within
 from tallyframe.plans import queries as library
 
@@ -23,3 +27,24 @@ def test_rows_of_one_key_need_not_fit_a_task(spark):
 
 def test_uploads_rows_are_not_numbered_by_a_window_over_an_upload(spark, sf_dir):
     assert "windowspecdefinition(u#" not in plan(library.QUERIES["upload_union"](spark, sf_dir))
+
+
+def test_stored_keeps_rows_and_types(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("a"), "id")).alias("s"), F.lit("2026-01-01").cast("timestamp_ntz").alias("at"), F.struct("id").alias("x")).repartition("s")
+    kept = stored(df)
+    assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert "parquet" in plan(kept) and "Exchange" not in plan(kept)
+    assert stored(df.where("id < 0")).count() == 0
+
+
+def test_an_amount_that_recurs_makes_no_pairs(spark):
+    day = dt.date(2026, 6, 1)
+    lines = spark.range(300).select(F.concat(F.lit("l"), "id").alias("line_id"), F.lit(day).alias("txn_date"), F.lit(1000).cast("long").alias("credit"))
+    totals = spark.range(200).select(F.concat(F.lit("s"), "id").alias("settlement_id"), (F.lit(1000) + F.col("id") % 2).cast("long").alias("net"), F.date_add(F.lit(day), (F.col("id") % 10).cast("int") - 5).alias("settled_on"), F.lit(1).cast("long").alias("payment_legs"))
+    for tolerance in (0, 100):
+        got = M.amount_choices(lines, totals, tolerance)
+        fits = [i for i in range(200) if i % 2 <= tolerance and abs(i % 10 - 5) <= 2]
+        assert {r.choices for r in got.collect()} == {len(fits)} and got.count() == 300
+        assert {r.status for r in M.resolve(got, F.lit(True)).collect()} == {"ambiguous"}
+    one = M.amount_choices(lines, totals.where("settlement_id = 's4'"), 0)
+    assert {(r.settlement_id, r.status, r.rivals) for r in M.resolve(one, F.lit(True)).collect()} == {("s4", "contested", 300)}
