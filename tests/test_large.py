@@ -5,9 +5,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyframe.operators import matching as M
+from tallyframe.operators import settlements as S
+from tallyframe.operators import verifier as V
 from tallyframe.operators.lineage import stored
 from tallyframe.operators.ordinals import numbered_within
 from tallyframe.plans import queries as library
+from tallyframe.types import BANK, ORDERS, PSP
 
 
 def plan(df):
@@ -48,3 +51,9 @@ def test_an_amount_that_recurs_makes_no_pairs(spark):
         assert {r.status for r in M.resolve(got, F.lit(True)).collect()} == {"ambiguous"}
     one = M.amount_choices(lines, totals.where("settlement_id = 's4'"), 0)
     assert {(r.settlement_id, r.status, r.rivals) for r in M.resolve(one, F.lit(True)).collect()} == {("s4", "contested", 300)}
+
+
+def test_a_trail_takes_exceptions_that_are_there(spark, sf_dir):
+    r = library._run(spark, sf_dir)
+    excepted = stored(M.exceptions(r))
+    assert M.audit(r, excepted).exceptAll(M.audit(r)).isEmpty() and "bank_line" not in plan(M.audit(r, excepted)).split("== Optimized")[1]
