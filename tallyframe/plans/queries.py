@@ -481,12 +481,10 @@ _FILED = "filed AS (SELECT *, row_number() OVER (ORDER BY captured_at, txn_id) A
 @_query()
 def leg_lists(spark, sf_dir):
     """Legs and orders of every settlement in the order of a file that has the legs by time of capture."""
-    from tallyframe.operators.ordinals import numbered
-
-    filed = numbered(P.psp(spark, sf_dir), ["captured_at", "txn_id"])
-    active, orders = S.active_legs(filed), P.orders(spark, sf_dir)
-    sets = S.order_sets(active, orders, S.recover_orders(filed, active, orders))
-    return S.leg_lists(active).select("settlement_id", F.array_join("txn_ids", ",").alias("txn_ids")).join(sets.select("settlement_id", "order_ids"), "settlement_id", "left")
+    psp, orders, filed = P.psp(spark, sf_dir), P.orders(spark, sf_dir), ("captured_at", "txn_id")
+    active = stored(S.active_legs(psp).drop("settled_at"))
+    sets = stored(S.order_sets(active, orders, stored(S.recover_orders(psp, active, orders)), filed))
+    return S.leg_lists(active, filed).select("settlement_id", F.array_join("txn_ids", ",").alias("txn_ids")).join(sets.select("settlement_id", "order_ids"), "settlement_id", "left")
 
 
 ORACLE_SQL["leg_lists"] = f"""WITH {P.SQL}, {_FILED}, own AS (SELECT a.settlement_id, string_agg(a.txn_id, ',' ORDER BY ordinal) AS txn_ids FROM active a JOIN filed f ON f.txn_id = a.txn_id WHERE a.settlement_id IS NOT NULL GROUP BY a.settlement_id),
