@@ -85,3 +85,8 @@ def test_lists_follow_named_columns_without_ordinals(spark):
     assert [list(x) for x in S.leg_lists(psp, filed).collect()] == [["s", ["c", "d", "b", "e", "a"]]]
     sets = S.order_sets(psp, orders, S.recover_orders(psp, psp, orders), filed)
     assert [list(x) for x in sets.collect()] == [["s", "o3,o2,o1", 3]]
+
+
+def test_reasons_are_counted_once(spark, sf_dir):
+    optimized = plan(library.QUERIES["drift_reasons"](spark, sf_dir)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("Join ") == 1
