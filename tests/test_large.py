@@ -90,3 +90,8 @@ def test_lists_follow_named_columns_without_ordinals(spark):
 def test_reasons_are_counted_once(spark, sf_dir):
     optimized = plan(library.QUERIES["drift_reasons"](spark, sf_dir)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert optimized.count("Join ") == 1
+
+
+def test_a_trail_needs_no_order_sets(spark, sf_dir):
+    r = library._run(spark, sf_dir)
+    assert not M.audit(r).isEmpty() and "order_sets" not in vars(r) and "recovered" in vars(r)
