@@ -95,3 +95,10 @@ def test_reasons_are_counted_once(spark, sf_dir):
 def test_a_trail_needs_no_order_sets(spark, sf_dir):
     r = library._run(spark, sf_dir)
     assert not M.audit(r).isEmpty() and "order_sets" not in vars(r) and "recovered" in vars(r)
+
+
+def test_what_is_open_is_found_once(spark, sf_dir, monkeypatch):
+    calls, real = [], M.line_exceptions
+    monkeypatch.setattr(M, "line_exceptions", lambda r: calls.append(1) or real(r))
+    judged, open_now = library._accepted(library._run(spark, sf_dir))
+    assert len(calls) == 1 and judged.count() > 0 and open_now.count() > 0
